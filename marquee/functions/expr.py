@@ -81,14 +81,14 @@ def day_type(date) -> Column:
 def genres(genre="genre") -> Column:
     """The comma list as an array of trimmed, non-empty names."""
     listed = F.split(F.coalesce(as_col(genre), F.lit("")), ",")
-    return F.filter(F.transform(listed, F.trim), lambda g: g != "")
+    return F.filter(F.transform(listed, lambda g: F.trim(g)), lambda g: g != "")
 
 
 def genre_array(genre="genre") -> Column:
     """The comma list as an array of trimmed names; an empty array where there is no list."""
     value = as_col(genre)
     empty = F.array().cast("array<string>")
-    return F.when(F.coalesce(value, F.lit("")) == "", empty).otherwise(F.transform(F.split(value, ","), F.trim))
+    return F.when(F.coalesce(value, F.lit("")) == "", empty).otherwise(F.transform(F.split(value, ","), lambda g: F.trim(g)))
 
 
 def payment_fee(payment_type) -> Column:

@@ -1,0 +1,7 @@
+"""One SQL query per operator, on the same Parquet files."""
+
+
+def all_sql() -> dict[str, str]:
+    from twins import kpi
+
+    return {**kpi.QUERIES}
