@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators import kpi
+from marquee.operators import kpi, rules, sales, titles
 from marquee.plans.filters import Filters
 from marquee.session import tune
 from marquee.sources.retail import read_retail
@@ -57,7 +57,62 @@ KPI: dict[str, Operator] = {
     "venue_status_summary": kpi.venue_status_summary,
 }
 
-OPERATORS: dict[str, Operator] = {**KPI}
+SALES: dict[str, Operator] = {
+    "exec_film_contribution": lambda t: sales.exec_film_contribution(t, WINDOW),
+    "sales_overview": lambda t: sales.sales_overview(t, WINDOW),
+    "revenue_by_cinema": lambda t: sales.revenue_by_cinema(t, WINDOW),
+    "revenue_by_cinema_summary": lambda t: sales.revenue_by_cinema_summary(t, WINDOW),
+    "revenue_by_studio": lambda t: sales.revenue_by_studio(t, WINDOW),
+    "revenue_by_studio_summary": lambda t: sales.revenue_by_studio_summary(t, WINDOW),
+    "revenue_by_movie": lambda t: sales.revenue_by_movie(t, WINDOW),
+    "revenue_by_movie_summary": lambda t: sales.revenue_by_movie_summary(t, WINDOW),
+    "time_slots": lambda t: sales.time_slots(t, WINDOW),
+    "time_slots_asia": lambda t: sales.time_slots(t, ASIA),
+    "time_slots_peak_quiet": lambda t: sales.time_slots_peak_quiet(t, WINDOW),
+    "sales_trend_daily": lambda t: sales.sales_trend(t, WINDOW, "daily"),
+    "sales_trend_monthly": lambda t: sales.sales_trend(t, WINDOW, "monthly"),
+    "sales_trend_summary": lambda t: sales.sales_trend_summary(t, WINDOW),
+    "sales_trend_forecast": lambda t: sales.sales_trend_forecast(t, WINDOW, "daily"),
+    "sales_trend_forecast_monthly": lambda t: sales.sales_trend_forecast(t, WINDOW, "monthly"),
+    "yearly_breakdown": lambda t: sales.yearly_breakdown(t, WINDOW),
+    "weekend_weekday": lambda t: sales.weekend_weekday(t, WINDOW),
+    "weekend_weekday_summary": lambda t: sales.weekend_weekday_summary(t, WINDOW),
+    "payment_mix": lambda t: sales.payment_mix(t, WINDOW),
+    "payment_mix_summary": lambda t: sales.payment_mix_summary(t, WINDOW),
+    "risk_summary": lambda t: sales.risk_summary(t, WINDOW),
+    "risk_schedules": lambda t: sales.risk_schedules(t, WINDOW),
+    "risk_by_movie": lambda t: sales.risk_by_movie(t, WINDOW),
+}
+
+TITLES: dict[str, Operator] = {
+    "films_overview": lambda t: titles.films_overview(t, WINDOW),
+    "films_performance": lambda t: titles.films_performance(t, WINDOW),
+    "schedule_performance": lambda t: titles.schedule_performance(t, WINDOW),
+    "repeat_schedule": lambda t: titles.repeat_schedule(t, WINDOW),
+    "audience_density": lambda t: titles.audience_density(t, WINDOW),
+    "occupancy_by_movie": lambda t: titles.occupancy_by_movie(t, WINDOW),
+    "occupancy_by_day": lambda t: titles.occupancy_by_day(t, WINDOW),
+    "occupancy_by_studio": lambda t: titles.occupancy_by_studio(t, WINDOW),
+    "genre_popularity": lambda t: titles.genre_popularity(t, WINDOW),
+    "studio_format": lambda t: titles.studio_format(t, WINDOW),
+}
+
+RULES: dict[str, Operator] = {
+    "pricing_recommendation": lambda t: rules.pricing_recommendation(t, WINDOW),
+    "pricing_recommendation_summary": lambda t: rules.pricing_recommendation_summary(t, WINDOW),
+    "best_ad_slot": lambda t: rules.best_ad_slot(t, WINDOW),
+    "best_ad_slot_summary": lambda t: rules.best_ad_slot_summary(t, WINDOW),
+    "early_blockbuster": lambda t: rules.early_blockbuster(t, WINDOW),
+    "early_blockbuster_loose": lambda t: rules.early_blockbuster(t, WINDOW, min_tickets=50, min_growth=0),
+    "early_blockbuster_summary": lambda t: rules.early_blockbuster_summary(t, WINDOW),
+    "cannibalization": lambda t: rules.cannibalization(t, WINDOW),
+    "cannibalization_summary": lambda t: rules.cannibalization_summary(t, WINDOW),
+    "forecast": lambda t: rules.forecast(t, WINDOW),
+    "forecast_next_week": lambda t: rules.forecast(t, WINDOW.without_dates()),
+    "forecast_summary": lambda t: rules.forecast_summary(t, WINDOW),
+}
+
+OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES}
 
 
 def plain(frame: DataFrame) -> DataFrame:
