@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators import kpi, rules, sales, titles
+from marquee.operators import actions, insights, kpi, rules, sales, scopes, titles
 from marquee.plans.filters import Filters
-from marquee.session import tune
+from marquee.session import new_folder, tune
+from marquee.sources import examples, snapshots
 from marquee.sources.retail import read_retail
 from marquee.sources.tables import Tables
 
@@ -112,7 +114,65 @@ RULES: dict[str, Operator] = {
     "forecast_summary": lambda t: rules.forecast_summary(t, WINDOW),
 }
 
-OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES}
+ACTIONS: dict[str, Operator] = {
+    "scope_list": scopes.scope_list,
+    "scope_expand": lambda t: scopes.scope_expand(t, WINDOW),
+    "scope_metrics": lambda t: scopes.scope_metrics(t, WINDOW),
+    "scope_time_slots": lambda t: scopes.scope_time_slots(t, WINDOW),
+    "scope_peak_quiet": lambda t: scopes.scope_peak_quiet(t, WINDOW),
+    "scope_pricing": lambda t: scopes.scope_pricing(t, WINDOW),
+    "scope_ad_slots": lambda t: scopes.scope_ad_slots(t, WINDOW),
+    "move_to_larger_studio": lambda t: actions.public(actions.move_to_larger_studio(t, WINDOW)),
+    "reduce_showtimes": lambda t: actions.public(actions.reduce_showtimes(t, WINDOW)),
+    "promotion_opportunity": lambda t: actions.public(actions.promotion_opportunity(t, WINDOW)),
+    "premium_pricing": lambda t: actions.public(actions.premium_pricing(t, WINDOW)),
+    "candidate_actions": lambda t: actions.candidate_actions(t, WINDOW),
+    "scope_insight": lambda t: actions.scope_insight(
+        scopes.scope_metrics(t, WINDOW), actions.candidate_actions(t, WINDOW)
+    ).drop("recommended_actions"),
+}
+
+RUNS = (
+    ("2024-02-11", datetime(2024, 2, 12, 3)),
+    ("2024-02-25", datetime(2024, 2, 26, 3)),
+    ("2024-02-11", datetime(2024, 2, 26, 4)),
+)
+
+
+_STORES: dict[tuple[str, str], snapshots.SnapshotStore] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with two runs and a third that repeats the period of the first; filled once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        t, store = read_retail(spark, sf_dir), snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
+        for as_of, run_at in RUNS:
+            store.upsert(insights.insight_records(t, as_of, run_at))
+        _STORES[key] = store
+    return _STORES[key].read()
+
+
+OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES, **ACTIONS}
+
+# Operators that read a table besides the base tables.
+WithFolder = Callable[[SparkSession, str], DataFrame]
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = insights.insight_payload_normalized(examples.responses(spark, sf_dir))
+    return rows.withColumn("recommended_count", F.size("recommended_actions").cast("long")).drop("recommended_actions")
+
+
+OTHERS: dict[str, WithFolder] = {
+    "insight_upsert": lambda spark, d: insights.decoded(_stored(spark, d)),
+    "insight_history": lambda spark, d: insights.decoded(
+        insights.insight_history(_stored(spark, d), scope_type="city", start="2024-01-29", end="2024-02-25")
+    ),
+    "insight_latest": lambda spark, d: insights.decoded(insights.insight_latest(_stored(spark, d))),
+    "insight_latest_counts": lambda spark, d: insights.insight_latest_counts(_stored(spark, d)),
+    "insight_payload_normalized": _responses,
+}
 
 
 def plain(frame: DataFrame) -> DataFrame:
@@ -142,4 +202,7 @@ def _bind(operator: Operator) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bind(operator) for name, operator in OPERATORS.items()}
+    bound = {name: _bind(operator) for name, operator in OPERATORS.items()}
+    for name, operator in OTHERS.items():
+        bound[name] = lambda spark, sf_dir, operator=operator: plain(operator(tune(spark), sf_dir))
+    return bound

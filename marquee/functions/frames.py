@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.session import ensure_checkpoint_dir
+from marquee.session import stored
 
 
 def value_of(frame: DataFrame, *columns: Column | str) -> Column:
@@ -37,17 +37,12 @@ def numbered(frame: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """Position of every row in a total order, without sending all rows to one task.
 
     Rows are range-partitioned and sorted; the position inside a partition plus the number
-    of rows in earlier partitions is the answer. The sorted rows are read twice, so they are
-    checkpointed: a second run of the range partitioning could choose other bounds.
+    of rows in earlier partitions is the answer. The placed rows are read twice, so they are
+    written first: a second run of the range partitioning could choose other bounds.
     """
-    ensure_checkpoint_dir(frame.sparkSession)
-    placed = (
-        frame.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn("_part", F.shiftright("_id", 33))
-    )
+    placed = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
     # One row per partition: as small as the number of shuffle partitions.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -11,7 +11,15 @@ from marquee import constants as C
 from marquee.functions.expr import day_type, minmax, money, payment_fee, percent, round2, rounded_ratio
 from marquee.functions.frames import attach, numbered, top_numbered
 from marquee.operators import kpi
-from marquee.plans.facts import sales_facts, session_facts, shows, sold_shows, ticket_sums, with_tickets
+from marquee.plans.facts import (
+    sales_facts,
+    session_facts,
+    shows,
+    sold_shows,
+    ticket_sums,
+    with_rollup,
+    with_tickets,
+)
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
@@ -456,7 +464,8 @@ def risk_by_movie(t: Tables, f: Filters) -> DataFrame:
 
 
 def sales_bundle(t: Tables, f: Filters, cinema_top_n: int = 10, movie_top_n: int = 7) -> dict[str, DataFrame]:
-    """The eight sales reports for one set of filters."""
+    """The eight sales reports for one set of filters, from one rollup of the shows."""
+    t = with_rollup(t, f.with_previous())
     return {
         "overview": sales_overview(t, f),
         "revenue_by_cinema": revenue_by_cinema(t, f, cinema_top_n),

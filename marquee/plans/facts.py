@@ -11,11 +11,14 @@ and the column is not read.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.expr import ratio, slot_label
 from marquee.plans.filters import Filters
+from marquee.session import stored
 from marquee.sources.tables import Tables
 
 SCOPE_COLUMNS = ("city", "cinema_id", "studio_id", "movie_id")
@@ -53,11 +56,7 @@ def with_tickets(show_rows: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def session_facts(t: Tables, f: Filters) -> DataFrame:
-    """One row per show in the window: tickets, revenue, capacity, share of seats sold.
-
-    The share is 0 without capacity and is not capped at 1.
-    """
+def _rolled_up(t: Tables, f: Filters) -> DataFrame:
     return (
         with_tickets(shows(t, f), ticket_sums(t))
         .withColumn("seat_share", ratio("tickets", "total_capacity"))
@@ -65,8 +64,39 @@ def session_facts(t: Tables, f: Filters) -> DataFrame:
     )
 
 
+ROLLUP_COLUMNS = [
+    *["schedule_id", "movie_id", "studio_id", "studio_name", "cinema_id", "cinema_name", "city", "screen_type"],
+    *["show_date", "start_time", "time_slot", "status", "price", "total_capacity"],
+    *["tickets", "revenue", "seat_share"],
+]
+
+
+def with_rollup(t: Tables, f: Filters) -> Tables:
+    """Tables that hold the rolled-up shows of a window, for several reports on it.
+
+    The ticket table is read once; reports on dates inside the window then start from one
+    row per show. ``f`` sets the dates only, the rollup holds every scope.
+    """
+    rows = _rolled_up(t, Filters(start=f.start, end=f.end)).select(*ROLLUP_COLUMNS)
+    return replace(t, rollup=stored(rows, "rollup"), rollup_days=(f.start, f.end))
+
+
+def session_facts(t: Tables, f: Filters) -> DataFrame:
+    """One row per show in the window: tickets, revenue, capacity, share of seats sold.
+
+    The share is 0 without capacity and is not capped at 1.
+    """
+    if t.rollup is not None and f.start is not None:
+        first, last = t.rollup_days
+        if first <= f.start and f.end <= last:
+            return t.rollup.filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
+    return _rolled_up(t, f)
+
+
 def sold_shows(t: Tables, f: Filters, *extra: str) -> DataFrame:
     """Shows in the window that sold something, per ``extra`` ticket columns (inner join)."""
+    if not extra and t.rollup is not None:
+        return session_facts(t, f).filter("tickets > 0")
     return ticket_sums(t, *extra).join(shows(t, f), "schedule_id")
 
 

@@ -1,10 +1,11 @@
-"""Session settings and the folder for checkpoints."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that the operators rely on; all can be changed on a running session.
 RUNTIME = {
@@ -41,19 +42,33 @@ def local_session(cpus: int | str = "*", app: str = "marquee", **conf: str) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, for data that outlives a stage.
 
     A folder of our own is used on a local master only: on a cluster a folder that one
     machine sees would be lost with that machine.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="marquee-checkpoint-"))
-    else:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="marquee-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """The name of a folder that nobody has used yet, below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame and read it back: one computation for several uses, and a short lineage.
+
+    The files are columnar, so later uses read only the columns and dates they need, and
+    they stay readable when executors are lost. The folder is left to the clean-up of the
+    shared folder.
+    """
+    path = new_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,9 @@ class Tables:
     movies: DataFrame
     studio: DataFrame
     cinema: DataFrame
+    # Rolled-up shows of a window, where they have been stored (see plans.facts.with_rollup).
+    rollup: DataFrame | None = None
+    rollup_days: tuple[date, date] | None = None
 
     def register_views(self) -> None:
         """Make the tables available to ``spark.sql``."""

@@ -2,6 +2,6 @@
 
 
 def all_sql() -> dict[str, str]:
-    from twins import kpi, rules, sales, titles
+    from twins import actions, kpi, rules, sales, titles
 
-    return {**kpi.QUERIES, **sales.QUERIES, **titles.QUERIES, **rules.QUERIES}
+    return {**kpi.QUERIES, **sales.QUERIES, **titles.QUERIES, **rules.QUERIES, **actions.QUERIES}
