@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators import actions, insights, kpi, rules, sales, scopes, titles
+from marquee.operators import actions, alerts, extra, insights, kpi, lists, rules, sales, scopes, titles
 from marquee.plans.filters import Filters
 from marquee.session import new_folder, tune
 from marquee.sources import examples, snapshots
 from marquee.sources.retail import read_retail
 from marquee.sources.tables import Tables
+from marquee.streaming import activity
 
 WINDOW = Filters(start="2024-01-29", end="2024-02-11", as_of="2024-02-25")
 ASIA = WINDOW.scoped(city="ASIA")
@@ -153,7 +154,39 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _STORES[key].read()
 
 
-OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES, **ACTIONS}
+LISTS: dict[str, Operator] = {
+    "movies_list": lists.movies_list,
+    "movies_list_page": lambda t: lists.movies_list(t, search="BLUE", genre="bolt", page_number=2),
+    "movies_count": lambda t: lists.movies_count(t, search="BLUE", genre="bolt"),
+    "studios_list": lambda t: lists.studios_list(t, screen_type="BUILDING"),
+    "schedules_list": lambda t: lists.schedules_list(t, WINDOW),
+    "schedules_list_page": lambda t: lists.schedules_list(t, WINDOW, status="Delayed", page_number=1),
+    "tickets_list": lambda t: lists.tickets_list(t, WINDOW),
+    "tickets_list_page": lambda t: lists.tickets_list(t, WINDOW.scoped(payment_type="QRIS"), page_number=2),
+    "ticket_detail": lists.ticket_detail,
+    "cities": lists.cities,
+    "payment_config": lists.payment_config,
+    "studio_inventory": lists.studio_inventory,
+    "filter_violations": lambda t: lists.filter_violations(t, examples.filter_requests(t)),
+}
+
+ALERTS: dict[str, Operator] = {
+    "alerts": lambda t: alerts.alerts(t, WINDOW),
+    "alerts_filtered": lambda t: alerts.alerts_filtered(
+        alerts.alerts(t, WINDOW), examples.read_log(t), status="unread", severity="info"
+    ).drop("read_at"),
+    "alert_summary": lambda t: alerts.alert_summary(alerts.alerts(t, WINDOW), examples.read_log(t)),
+}
+
+EXTRA: dict[str, Operator] = {
+    "movie_contribution_by_cinema": lambda t: extra.movie_contribution_by_cinema(t, WINDOW),
+    "cinema_health_score": lambda t: extra.cinema_health_score(t, WINDOW),
+    "seat_demand_heatmap": lambda t: extra.seat_demand_heatmap(t, WINDOW),
+    "repeat_schedule_trend": lambda t: extra.repeat_schedule_trend(t, Filters()),
+    "genre_share": lambda t: extra.genre_share(t, WINDOW),
+}
+
+OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES, **ACTIONS, **LISTS, **ALERTS, **EXTRA}
 
 # Operators that read a table besides the base tables.
 WithFolder = Callable[[SparkSession, str], DataFrame]
@@ -164,7 +197,30 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("recommended_count", F.size("recommended_actions").cast("long")).drop("recommended_actions")
 
 
+def _streamed(slide: str | None = None, append: bool = False) -> WithFolder:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = activity.hourly_activity(activity.event_stream(spark, f"{sf_dir}/events*.parquet"), slide)
+        sink = activity.run_append if append else activity.run_complete
+        return sink(spark, rows, "activity")
+
+    return run
+
+
+def _streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs arrive as files, each file with rows of one run."""
+    landing = new_folder(spark, "landing")
+    t = read_retail(spark, sf_dir)
+    for as_of, run_at in RUNS:
+        insights.insight_records(t, as_of, run_at).write.mode("append").parquet(landing)
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
+    return insights.decoded(activity.upsert_stream(spark, landing, store))
+
+
 OTHERS: dict[str, WithFolder] = {
+    "stream_hourly_activity": _streamed(),
+    "stream_hourly_activity_sliding": _streamed(slide="10 minutes"),
+    "stream_hourly_activity_append": _streamed(append=True),
+    "stream_upsert": _streamed_upsert,
     "insight_upsert": lambda spark, d: insights.decoded(_stored(spark, d)),
     "insight_history": lambda spark, d: insights.decoded(
         insights.insight_history(_stored(spark, d), scope_type="city", start="2024-01-29", end="2024-02-25")

@@ -584,7 +584,7 @@ def city_revenue(t: Tables, f: Filters) -> DataFrame:
 # ---------------------------------------------------------------- activity
 
 
-def _last_hour(t: Tables) -> DataFrame:
+def last_hour_tickets(t: Tables) -> DataFrame:
     """Tickets of the hour up to the newest ticket, both ends included, summed per show."""
     newest = t.tiket.agg(F.max("trans_time").alias("newest")).scalar()
     recent = t.tiket.filter(F.col("trans_time").between(newest - F.expr("INTERVAL 1 HOUR"), newest))
@@ -602,7 +602,7 @@ def _sold(frame: DataFrame, *keys: str) -> DataFrame:
 def last_hour_total(t: Tables) -> DataFrame:
     newest = t.tiket.agg(F.max("trans_time").alias("window_end"))
     return attach(
-        _last_hour(t).agg(F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets_last_hour")), newest, "window_end"
+        last_hour_tickets(t).agg(F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets_last_hour")), newest, "window_end"
     ).select(
         F.col("window_end").alias("last_data_in"),
         (F.col("window_end") - F.expr("INTERVAL 1 HOUR")).alias("window_start"),
@@ -612,17 +612,17 @@ def last_hour_total(t: Tables) -> DataFrame:
 
 
 def last_hour_by_city(t: Tables) -> DataFrame:
-    return _sold(_last_hour(t).join(all_shows(t), "schedule_id"), "city")
+    return _sold(last_hour_tickets(t).join(all_shows(t), "schedule_id"), "city")
 
 
 def last_hour_by_studio(t: Tables) -> DataFrame:
     return _sold(
-        _last_hour(t).join(all_shows(t), "schedule_id"), "studio_id", "studio_name", "cinema_id", "city"
+        last_hour_tickets(t).join(all_shows(t), "schedule_id"), "studio_id", "studio_name", "cinema_id", "city"
     )
 
 
 def last_hour_by_movie(t: Tables) -> DataFrame:
-    return _sold(_last_hour(t).join(t.schedules, "schedule_id"), "movie_id").join(
+    return _sold(last_hour_tickets(t).join(t.schedules, "schedule_id"), "movie_id").join(
         t.movies.select("movie_id", "title"), "movie_id"
     ).select("movie_id", "title", "tickets_sold", "revenue")
 
