@@ -10,7 +10,7 @@ from marquee.functions.expr import fill, money, number_text, percent, round2, st
 from marquee.functions.frames import top_per
 from marquee.operators import sales, scopes
 from marquee.operators.scopes import SCOPE, by_scope
-from marquee.plans.facts import session_facts, venues
+from marquee.plans.facts import rolled, session_facts, venues
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
@@ -161,6 +161,7 @@ def _in_slots(rows: DataFrame, t: Tables, f: Filters, action: str) -> DataFrame:
 
 def promotion_opportunity(t: Tables, f: Filters) -> DataFrame:
     """The four emptiest shows of each scope in discount slots, of those worth a promotion."""
+    t = rolled(t, f)
     rows = by_scope(_show_rows(t, f).filter((F.col("occupancy") > 20) & (F.col("occupancy") <= 45)))
     rows = _first(_in_slots(rows, t, f, C.PRICE_DOWN), [F.asc("occupancy")], 4)
     return _candidates(rows, C.PROMO, F.lit(75) - F.col("occupancy"), "schedule_time", "studio_name", F.col("_place"))
@@ -168,6 +169,7 @@ def promotion_opportunity(t: Tables, f: Filters) -> DataFrame:
 
 def premium_pricing(t: Tables, f: Filters) -> DataFrame:
     """The three fullest shows of each scope in slots whose price should rise."""
+    t = rolled(t, f)
     rows = by_scope(_show_rows(t, f).filter(F.col("occupancy") >= 78))
     rows = _first(_in_slots(rows, t, f, C.PRICE_UP), [F.desc("occupancy")], 3)
     return _candidates(rows, C.PREMIUM, F.col("occupancy") + 12, "schedule_time", "studio_name", F.col("_place"))
@@ -185,8 +187,9 @@ def candidate_actions(t: Tables, f: Filters, top_n: int = 6) -> DataFrame:
     """The best actions of every scope.
 
     Equal actions (type, place, title, hour) count once with their highest score, in the
-    place of the first of them.
+    place of the first of them. All four lists start from one rollup of the shows.
     """
+    t = rolled(t, f)
     everything = (
         move_to_larger_studio(t, f)
         .unionByName(reduce_showtimes(t, f))

@@ -15,13 +15,20 @@ from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
 
-def _activity(t: Tables) -> DataFrame:
-    """Per scope over all time: venues with shows, and those of them with tickets."""
-    rows = by_scope(session_facts(t, Filters()))
-    return rows.groupBy(*SCOPE).agg(
-        F.count_distinct("cinema_id").alias("total_cinemas"),
-        F.count_distinct(F.when(F.col("tickets") > 0, F.col("cinema_id"))).alias("active_cinemas"),
+def _overview(t: Tables, f: Filters) -> DataFrame:
+    """Per scope: the sales overview of the window, and over all time the venues with shows
+    and those of them with tickets. One pass over all shows gives both."""
+    active = F.when(F.col("tickets") > 0, F.col("cinema_id"))
+    sums = kpi.window_sums(
+        by_scope(session_facts(t, Filters())),
+        f,
+        *SCOPE,
+        more=(
+            F.count_distinct("cinema_id").alias("total_cinemas"),
+            F.count_distinct(active).alias("active_cinemas"),
+        ),
     )
+    return scopes.scope_overview(t, f, sums, "total_cinemas", "active_cinemas")
 
 
 def _recent(t: Tables) -> DataFrame:
@@ -34,13 +41,7 @@ def alerts(t: Tables, f: Filters, system_active: bool = True) -> DataFrame:
 
     ``alert_id`` is the plain id for the network and has the scope in front elsewhere.
     """
-    counts = ["total_cinemas", "active_cinemas", "tickets_last_hour"]
-    rows = (
-        scopes.scope_metrics(t, f)
-        .join(_activity(t), SCOPE, "left")
-        .join(_recent(t), SCOPE, "left")
-        .fillna(0, counts)
-    )
+    rows = _overview(t, f).join(_recent(t), SCOPE, "left").fillna(0, ["tickets_last_hour"])
     revenue, full = F.col("growth_revenue"), F.col("avg_occupancy")
     active, known = F.col("active_cinemas"), F.col("total_cinemas")
     up = F.lit(system_active)

@@ -12,7 +12,7 @@ from marquee.functions.expr import round2
 from marquee.functions.frames import first_per, page
 from marquee.operators import actions, scopes
 from marquee.operators.scopes import SCOPE
-from marquee.plans.facts import with_rollup
+from marquee.plans.facts import rolled
 from marquee.plans.filters import Filters
 from marquee.schemas import INSIGHT, INSIGHT_PAYLOAD
 from marquee.session import stored
@@ -33,7 +33,7 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
     source is the rules; ``run_at`` is the time of the run.
     """
     f = Filters.rolling(as_of)
-    t = with_rollup(t, f.with_previous())
+    t = rolled(t, f.with_previous())
     best = stored(actions.candidate_actions(t, f), "actions")
     insight = actions.scope_insight(scopes.scope_metrics(t, f), best)
     ads = _listed(

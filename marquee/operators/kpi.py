@@ -28,6 +28,7 @@ from marquee.plans.facts import (
     with_tickets,
 )
 from marquee.plans.filters import Filters
+from marquee.session import stored
 from marquee.sources.tables import Tables
 
 MOVIE_COLUMNS = ["movie_id", "title", "genre", "rating_usia", "duration_min"]
@@ -53,10 +54,11 @@ def show_facts(t: Tables, f: Filters) -> DataFrame:
     )
 
 
-def window_sums(facts: DataFrame, f: Filters, *keys: str) -> DataFrame:
+def window_sums(facts: DataFrame, f: Filters, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """Sums of the window and of the window before it, per ``keys``, from one pass.
 
-    ``facts`` must cover both windows. Occupancies are means of the per-show shares.
+    ``facts`` must cover both windows. Occupancies are means of the per-show shares. ``more``
+    are further aggregates over all of ``facts``.
     """
     now, before = f.in_window(), f.previous().in_window()
 
@@ -76,6 +78,7 @@ def window_sums(facts: DataFrame, f: Filters, *keys: str) -> DataFrame:
         total("tickets", before).alias("previous_tickets"),
         total("revenue", before).alias("previous_revenue"),
         share(before).alias("previous_occupancy"),
+        *more,
     )
 
 
@@ -461,14 +464,16 @@ def cinema_rows(t: Tables, f: Filters) -> DataFrame:
     sold = with_tickets(rows, ticket_sums(t, f=f))
     shown = f.show_window()
 
-    # Shows to (venue, room, title), the finest grain any of the branches below needs.
-    # Each branch goes on from these few rows.
+    # Shows to (venue, room, title), the finest grain any of the branches below needs. The
+    # branches differ in columns, so Spark would run the tickets once for each; the sums are
+    # written once instead.
     grain = sold.groupBy("cinema_id", "studio_id", "movie_id").agg(
         F.sum("tickets").alias("tickets"),
         F.sum("revenue").alias("revenue"),
         F.coalesce(F.sum(F.when(shown, F.col("total_capacity"))), F.lit(0)).alias("capacity"),
         F.count_if(shown).alias("shown"),
     )
+    grain = stored(grain, "venues")
     sales = grain.groupBy("cinema_id").agg(
         F.sum("tickets").alias("total_tickets"),
         F.sum("revenue").alias("total_revenue"),

@@ -17,7 +17,7 @@ from marquee.plans.facts import (
     shows,
     sold_shows,
     ticket_sums,
-    with_rollup,
+    rolled,
     with_tickets,
 )
 from marquee.plans.filters import Filters
@@ -465,7 +465,7 @@ def risk_by_movie(t: Tables, f: Filters) -> DataFrame:
 
 def sales_bundle(t: Tables, f: Filters, cinema_top_n: int = 10, movie_top_n: int = 7) -> dict[str, DataFrame]:
     """The eight sales reports for one set of filters, from one rollup of the shows."""
-    t = with_rollup(t, f.with_previous())
+    t = rolled(t, f.with_previous())
     return {
         "overview": sales_overview(t, f),
         "revenue_by_cinema": revenue_by_cinema(t, f, cinema_top_n),

@@ -101,9 +101,14 @@ def scope_expand(t: Tables, f: Filters) -> DataFrame:
 
 def scope_metrics(t: Tables, f: Filters) -> DataFrame:
     """Sales overview of every scope; a scope without shows has zeros."""
-    sums = window_sums(by_scope(session_facts(t, f.with_previous())), f, *SCOPE)
+    return scope_overview(t, f, window_sums(by_scope(session_facts(t, f.with_previous())), f, *SCOPE))
+
+
+def scope_overview(t: Tables, f: Filters, sums: DataFrame, *more: str) -> DataFrame:
+    """The overview from sums per scope, with the further columns ``more`` of the sums."""
     figures = ["tickets", "capacity", "revenue", "occupancy"]
     figures += [f"previous_{name}" for name in ("tickets", "revenue", "occupancy")]
+    figures += more
     rows = scope_list(t).join(sums, SCOPE, "left")
     for name in figures:
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast(sums.schema[name].dataType)))
@@ -120,6 +125,7 @@ def scope_metrics(t: Tables, f: Filters) -> DataFrame:
         growth("tickets", "previous_tickets").alias("growth_tickets"),
         growth("revenue", "previous_revenue").alias("growth_revenue"),
         growth("occupancy", "previous_occupancy").alias("growth_occupancy"),
+        *more,
     )
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from marquee.functions.expr import genre_array, genres, money, percent, ratio, round2, rounded_ratio, seat_counts
 from marquee.functions.frames import attach, top_numbered
 from marquee.operators import kpi, sales
-from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, shows, ticket_sums, with_rollup
+from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, shows, ticket_sums, rolled
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
 
 def films_overview(t: Tables, f: Filters) -> DataFrame:
+    """Titles on show, shows, tickets, revenue, occupancy (as in the occupancy report) and growth."""
+    t = rolled(t, f.with_previous())
     titles = shows(t, f).join(t.movies.select("movie_id"), "movie_id").agg(
         F.count_distinct("movie_id").alias("active_films")
     )
@@ -176,7 +178,7 @@ def studio_format(t: Tables, f: Filters) -> DataFrame:
 
 def films_bundle(t: Tables, f: Filters, top_n: int = 20) -> dict[str, DataFrame]:
     """The title reports for one set of filters, from one rollup of the shows."""
-    t = with_rollup(t, f.with_previous())
+    t = rolled(t, f.with_previous())
     return {
         "overview": films_overview(t, f),
         "performance": films_performance(t, f, top_n),

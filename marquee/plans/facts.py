@@ -81,21 +81,31 @@ def with_rollup(t: Tables, f: Filters) -> Tables:
     return replace(t, rollup=stored(rows, "rollup"), rollup_days=(f.start, f.end))
 
 
+def rolled(t: Tables, f: Filters) -> Tables:
+    """Tables with a rollup that covers the window: the one there is, or a new one."""
+    return t if covers(t, f) else with_rollup(t, f)
+
+
+def covers(t: Tables, f: Filters) -> bool:
+    if t.rollup is None or f.start is None:
+        return False
+    first, last = t.rollup_days
+    return first <= f.start and f.end <= last
+
+
 def session_facts(t: Tables, f: Filters) -> DataFrame:
     """One row per show in the window: tickets, revenue, capacity, share of seats sold.
 
     The share is 0 without capacity and is not capped at 1.
     """
-    if t.rollup is not None and f.start is not None:
-        first, last = t.rollup_days
-        if first <= f.start and f.end <= last:
-            return t.rollup.filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
+    if covers(t, f):
+        return t.rollup.filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
     return _rolled_up(t, f)
 
 
 def sold_shows(t: Tables, f: Filters, *extra: str) -> DataFrame:
     """Shows in the window that sold something, per ``extra`` ticket columns (inner join)."""
-    if not extra and t.rollup is not None:
+    if not extra and covers(t, f):
         return session_facts(t, f).filter("tickets > 0")
     return ticket_sums(t, *extra).join(shows(t, f), "schedule_id")
 
