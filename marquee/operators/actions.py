@@ -12,6 +12,7 @@ from marquee.operators import sales, scopes
 from marquee.operators.scopes import SCOPE, by_scope
 from marquee.plans.facts import rolled, session_facts, venues
 from marquee.plans.filters import Filters
+from marquee.session import stored
 from marquee.sources.tables import Tables
 
 ACTION_COLUMNS = [
@@ -59,6 +60,9 @@ def _show_rows(t: Tables, f: Filters) -> DataFrame:
     )
 
 
+# Pricing takes part in the actions with its first five slots.
+PRICED = 5
+KINDS = [name for name, *_ in C.ACTION_BADGES]
 LATEST = ["_date", "_time", "schedule_id"]
 
 
@@ -68,7 +72,6 @@ def _priority(score: Column) -> Column:
 
 def _candidates(rows: DataFrame, kind: str, score: Column, hour: str, studio_name: str, place: Column) -> DataFrame:
     """Attach the texts of an action to shows; ``place`` is the position in the list of its type."""
-    order = [MOVE_ORDER.index(kind)]
     text = C.ACTION_TEXT[kind]
     fields = {
         "t": F.col("movie_title"),
@@ -93,13 +96,10 @@ def _candidates(rows: DataFrame, kind: str, score: Column, hour: str, studio_nam
         "occupancy",
         "score",
         "schedule_id",
-        F.struct(F.lit(order[0]).alias("kind"), place.cast("int").alias("place"), *LATEST).alias("_order"),
+        F.struct(F.lit(KINDS.index(kind)).alias("kind"), place.cast("int").alias("place"), *LATEST).alias("_order"),
     )
 
 
-MOVE_ORDER = [badge[0] for badge in C.ACTION_BADGES]
-
-
 def larger_rooms(t: Tables, f: Filters, most_occupancy: float = 60) -> DataFrame:
     """For every venue and capacity: the best room with **more** seats that is not too full.
 
@@ -141,8 +141,8 @@ def move_to_larger_studio(t: Tables, f: Filters, least_occupancy: float = 82) ->
     return _candidates(scoped, C.MOVE, score, "start_time", "target_name", F.lit(0))
 
 
-def _first(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return top_per(rows, SCOPE, [*order, *[F.asc(c) for c in LATEST]], n, "_place")
+def _first(rows: DataFrame, order: list[Column], n: int, *more: str) -> DataFrame:
+    return top_per(rows, [*SCOPE, *more], [*order, *[F.asc(c) for c in LATEST]], n, "_place")
 
 
 def reduce_showtimes(t: Tables, f: Filters) -> DataFrame:
@@ -153,25 +153,31 @@ def reduce_showtimes(t: Tables, f: Filters) -> DataFrame:
     return _candidates(rows, C.REDUCE, score, "schedule_time", "studio_name", F.col("_place"))
 
 
-def _in_slots(rows: DataFrame, t: Tables, f: Filters, action: str) -> DataFrame:
-    """Shows that start in a slot which pricing gives ``action``, among its first five."""
-    slots = scopes.scope_pricing(t, f, top_n=5).filter(F.col("suggested_action") == action)
-    return rows.join(slots.select(*SCOPE, F.col("time_slot").alias("schedule_time")), [*SCOPE, "schedule_time"], "left_semi")
+def _first_in_slots(rows: DataFrame, pricing: DataFrame, action: str, order: Column, n: int) -> DataFrame:
+    """The first ``n`` shows of each scope that start in a slot which ``pricing`` gives ``action``.
+
+    The first shows of every slot are taken before
+    slots are compared, so that only ``n`` shows per scope and slot take part in the join.
+    """
+    slots = pricing.filter(F.col("suggested_action") == action)
+    slots = slots.select(*SCOPE, F.col("time_slot").alias("schedule_time"))
+    leading = _first(by_scope(rows), [order], n, "schedule_time").drop("_place")
+    return _first(leading.join(slots, [*SCOPE, "schedule_time"], "left_semi"), [order], n)
 
 
-def promotion_opportunity(t: Tables, f: Filters) -> DataFrame:
+def promotion_opportunity(t: Tables, f: Filters, pricing: DataFrame | None = None) -> DataFrame:
     """The four emptiest shows of each scope in discount slots, of those worth a promotion."""
     t = rolled(t, f)
-    rows = by_scope(_show_rows(t, f).filter((F.col("occupancy") > 20) & (F.col("occupancy") <= 45)))
-    rows = _first(_in_slots(rows, t, f, C.PRICE_DOWN), [F.asc("occupancy")], 4)
+    rows = _show_rows(t, f).filter((F.col("occupancy") > 20) & (F.col("occupancy") <= 45))
+    rows = _first_in_slots(rows, pricing or scopes.scope_pricing(t, f, PRICED), C.PRICE_DOWN, F.asc("occupancy"), 4)
     return _candidates(rows, C.PROMO, F.lit(75) - F.col("occupancy"), "schedule_time", "studio_name", F.col("_place"))
 
 
-def premium_pricing(t: Tables, f: Filters) -> DataFrame:
+def premium_pricing(t: Tables, f: Filters, pricing: DataFrame | None = None) -> DataFrame:
     """The three fullest shows of each scope in slots whose price should rise."""
     t = rolled(t, f)
-    rows = by_scope(_show_rows(t, f).filter(F.col("occupancy") >= 78))
-    rows = _first(_in_slots(rows, t, f, C.PRICE_UP), [F.desc("occupancy")], 3)
+    rows = _show_rows(t, f).filter(F.col("occupancy") >= 78)
+    rows = _first_in_slots(rows, pricing or scopes.scope_pricing(t, f, PRICED), C.PRICE_UP, F.desc("occupancy"), 3)
     return _candidates(rows, C.PREMIUM, F.col("occupancy") + 12, "schedule_time", "studio_name", F.col("_place"))
 
 
@@ -183,18 +189,19 @@ def badge(part: int) -> Column:
     return chosen.otherwise(C.DEFAULT_BADGE[part])
 
 
-def candidate_actions(t: Tables, f: Filters, top_n: int = 6) -> DataFrame:
-    """The best actions of every scope.
+def candidate_actions(t: Tables, f: Filters, top_n: int = 6, pricing: DataFrame | None = None) -> DataFrame:
+    """The best actions of every scope; ``pricing`` is :func:`scopes.scope_pricing` where it is known.
 
     Equal actions (type, place, title, hour) count once with their highest score, in the
     place of the first of them. All four lists start from one rollup of the shows.
     """
     t = rolled(t, f)
+    pricing = pricing or stored(scopes.scope_pricing(t, f, PRICED), "pricing")
     everything = (
         move_to_larger_studio(t, f)
         .unionByName(reduce_showtimes(t, f))
-        .unionByName(promotion_opportunity(t, f))
-        .unionByName(premium_pricing(t, f))
+        .unionByName(promotion_opportunity(t, f, pricing))
+        .unionByName(premium_pricing(t, f, pricing))
     )
     key = [*SCOPE, "action_type", "city", "cinema_name", "studio_name", "movie_title", "schedule_time"]
     rest = [c for c in ACTION_COLUMNS if c not in key and c != "_order"]

@@ -34,7 +34,8 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
     """
     f = Filters.rolling(as_of)
     t = rolled(t, f.with_previous())
-    best = stored(actions.candidate_actions(t, f), "actions")
+    pricing = stored(scopes.scope_pricing(t, f, actions.PRICED), "pricing")
+    best = stored(actions.candidate_actions(t, f, pricing=pricing), "actions")
     insight = actions.scope_insight(scopes.scope_metrics(t, f), best)
     ads = _listed(
         scopes.scope_ad_slots(t, f),
@@ -43,7 +44,7 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
         "top_slots",
     )
     prices = _listed(
-        scopes.scope_pricing(t, f, top_n=3),
+        pricing.filter("position <= 3"),
         ["time_slot", "demand", "revenue", "occupancy", "optimization_score", "suggested_action",
          "suggested_price_change_pct", "reason", "confidence"],
         "recommendations",

@@ -21,21 +21,41 @@ from marquee.sources.tables import Tables
 SCOPE = ["scope_type", "scope_value"]
 
 
-def by_scope(frame: DataFrame, types: tuple[str, ...] = ("global", "city", "cinema", "studio")) -> DataFrame:
-    """Each row once per scope it belongs to; ``frame`` has city, cinema_id and studio_id."""
+SCOPE_TYPES = ("global", "city", "cinema", "studio")
+
+
+def by_scope(frame: DataFrame, types: tuple[str, ...] = SCOPE_TYPES, label: bool = False) -> DataFrame:
+    """Each row once per scope it belongs to; ``frame`` has city, cinema_id and studio_id.
+
+    ``label`` adds the name of the scope, from the names in the row.
+    """
     values = {
         "global": F.lit(""),
         "city": F.col("city"),
         "cinema": F.col("cinema_id").cast("string"),
         "studio": F.col("studio_id").cast("string"),
     }
+    names = {
+        "global": F.lit("Global"),
+        "city": F.col("city"),
+        "cinema": F.coalesce("cinema_name", values["cinema"]) if label else None,
+        "studio": F.coalesce("studio_name", values["studio"]) if label else None,
+    }
+    fields = [*SCOPE, "label"] if label else SCOPE
     scopes = F.array(
-        *[F.struct(F.lit(kind).alias("scope_type"), values[kind].alias("scope_value")) for kind in types]
+        *[
+            F.struct(
+                F.lit(kind).alias("scope_type"),
+                values[kind].alias("scope_value"),
+                *([names[kind].alias("label")] if label else []),
+            )
+            for kind in types
+        ]
     )
     named = F.col("scope_value").isNotNull() & ((F.col("scope_type") != "city") | (F.col("scope_value") != ""))
     return (
         frame.withColumn("_scope", F.explode(scopes))
-        .select("*", "_scope.scope_type", "_scope.scope_value")
+        .select("*", *[f"_scope.{name}" for name in fields])
         .drop("_scope")
         .filter(named)
     )
@@ -91,12 +111,11 @@ def scope_list(t: Tables) -> DataFrame:
 
 
 def scope_expand(t: Tables, f: Filters) -> DataFrame:
-    """Shows of the window, once per scope, with the label of the scope."""
-    return (
-        by_scope(shows(t, f))
-        .select("schedule_id", *SCOPE)
-        .join(scope_list(t).select(*SCOPE, "label"), SCOPE)
-    )
+    """Shows of the window, once per scope, with the label of the scope.
+
+    The labels come from the row: a join by scope would bring all shows of the network together.
+    """
+    return by_scope(shows(t, f), label=True).select("schedule_id", *SCOPE, "label")
 
 
 def scope_metrics(t: Tables, f: Filters) -> DataFrame:
@@ -142,13 +161,22 @@ def scope_pricing(t: Tables, f: Filters, top_n: int = 5) -> DataFrame:
     return top_per(rules.price_actions(scope_time_slots(t, f), *SCOPE), SCOPE, rules.price_order(), top_n)
 
 
+SALTS = 64
+
+
 def scope_ad_slots(t: Tables, f: Filters, top_n: int = 3) -> DataFrame:
     """The first advertising slots of every scope.
 
-    The extremes of a scope are an aggregate that is joined back, so that the titles of the
-    network do not have to meet in one task.
+    The extremes of a scope are an aggregate that is joined back. The titles of one scope may
+    be many, so the join key has a salt: the extremes of a scope that can be large are repeated
+    once per salt, and its titles spread over as many tasks. A room is small and has one salt.
     """
     sums = rules.ad_sums(by_scope(session_facts(t, f)), *SCOPE)
     titled = sums.join(t.movies.select("movie_id", "title", "genre"), "movie_id")
-    scored = rules.ad_scores(titled.join(rules.ad_span(titled, *SCOPE), SCOPE), *SCOPE)
+    salts = F.when(F.col("scope_type") == "studio", F.lit(1)).otherwise(F.lit(SALTS))
+    salted = titled.withColumn("_salt", F.pmod(F.xxhash64("movie_id", "time_slot"), salts))
+    span = rules.ad_span(titled, *SCOPE).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))
+    )
+    scored = rules.ad_scores(salted.join(span, [*SCOPE, "_salt"]), *SCOPE)
     return top_per(scored, SCOPE, rules.ad_order(), top_n)

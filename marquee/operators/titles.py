@@ -71,12 +71,12 @@ def films_performance(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
     )
 
 
-def _titled(t: Tables, f: Filters) -> DataFrame:
-    return session_facts(t, f).join(t.movies.select("movie_id", "title"), "movie_id")
+def _titles(t: Tables) -> DataFrame:
+    return t.movies.select("movie_id", "title")
 
 
 def schedule_performance(t: Tables, f: Filters) -> DataFrame:
-    return _titled(t, f).select(
+    return session_facts(t, f).join(_titles(t), "movie_id").select(
         "schedule_id",
         "movie_id",
         "title",
@@ -93,13 +93,14 @@ def schedule_performance(t: Tables, f: Filters) -> DataFrame:
 def repeat_schedule(t: Tables, f: Filters) -> DataFrame:
     """Per title and date: shows, tickets, revenue."""
     return (
-        _titled(t, f)
-        .groupBy("movie_id", "title", "show_date")
+        session_facts(t, f)
+        .groupBy("movie_id", "show_date")
         .agg(
             F.count(F.lit(1)).alias("total_schedules"),
             F.sum("tickets").alias("total_tickets"),
             money(F.sum("revenue")).alias("revenue"),
         )
+        .join(_titles(t), "movie_id")
     )
 
 
@@ -107,14 +108,15 @@ def audience_density(t: Tables, f: Filters) -> DataFrame:
     """Per title: tickets per show and share of all seats sold."""
     n, k = F.count(F.lit(1)), F.sum("tickets")
     return (
-        _titled(t, f)
-        .groupBy("movie_id", "title")
+        session_facts(t, f)
+        .groupBy("movie_id")
         .agg(
             n.alias("total_schedules"),
             k.alias("total_tickets"),
             rounded_ratio(k, n).alias("audience_density"),
             percent(k, F.coalesce(F.sum("total_capacity"), F.lit(0))).alias("capacity_utilization"),
         )
+        .join(_titles(t), "movie_id")
     )
 
 
@@ -131,7 +133,8 @@ def occupancy_by_movie(t: Tables, f: Filters) -> DataFrame:
     overall = kpi.occupancy_summary(t, f).select(F.col("occupancy").alias("_all"))
     relative = ratio("occupancy", "_all")
     known = F.col("_all") > 0
-    return attach(_occupancy_by(_titled(t, f), "movie_id", "title"), overall, "_all").select(
+    rows = _occupancy_by(session_facts(t, f), "movie_id").join(_titles(t), "movie_id")
+    return attach(rows, overall, "_all").select(
         "movie_id",
         "title",
         "total_tickets",
