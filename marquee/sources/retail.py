@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.schemas import EVENTS, MONEY
+from marquee.schemas import EVENTS
 from marquee.sources.tables import Tables
 
 # Declared layouts: a read then needs no pass over the files to find them.
@@ -24,95 +24,74 @@ LAYOUT = {
     "l_discount double, l_returnflag string, l_shipdate timestamp_ntz",
 }
 
-FIRST_DAY = "DATE'2024-01-01'"
-SOURCE_DAY = "DATE'1995-01-01'"
-DAYS = 56
 TITLES_ON_SHOW = 48
 
 
+def _folded_day(column: str) -> str:
+    """Move a date of several years into the 56 days that the shows are spread over."""
+    return f"date_add(DATE'2024-01-01', CAST(datediff({column}, DATE'1995-01-01') % 56 AS INT))"
+
+
+_LISTED = "replace(p_name, ' ', ', ')"
+
+# What each base table takes from its source.
+CINEMA = (
+    "CAST(n_nationkey AS LONG) AS cinema_id",
+    "n_name AS cinema_name",
+    "r_name AS city",
+    "concat_ws(', ', n_name, r_name) AS address",
+)
+STUDIO = (
+    "c_custkey AS studio_id",
+    "CAST(c_nationkey AS LONG) AS cinema_id",
+    "c_name AS studio_name",
+    "IF(c_custkey % 50 = 0, 0, 4 + (c_custkey % 5) * 2) AS total_capacity",
+    "nullif(c_mktsegment, 'MACHINERY') AS screen_type",
+)
+MOVIES = (
+    "p_partkey AS movie_id",
+    "concat(p_name, ' #', p_partkey) AS title",
+    f"CASE p_partkey % 16 WHEN 0 THEN NULL WHEN 1 THEN concat({_LISTED}, ', ') ELSE {_LISTED} END AS genre",
+    "CASE p_partkey % 5 WHEN 1 THEN 'SU' WHEN 2 THEN '13+' WHEN 3 THEN '17+' WHEN 4 THEN '21+' END AS rating_usia",
+    "CAST(80 + p_size AS LONG) AS duration_min",
+)
+SCHEDULES = (
+    "o_orderkey AS schedule_id",
+    f"(o_orderkey * 7 + o_custkey) % {TITLES_ON_SHOW} AS movie_id",
+    "o_custkey AS studio_id",
+    f"{_folded_day('o_orderdate')} AS show_date",
+    "concat(10 + 3 * (o_orderkey % 4), IF(o_custkey % 3 = 0, ':30:00', ':00:00')) AS start_time",
+    "CAST(o_totalprice AS DECIMAL(18,4)) AS price",
+    """CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'Cancelled'
+            WHEN o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' THEN 'canceled'
+            WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN 'Delayed'
+            WHEN o_orderstatus <> 'O' THEN 'scheduled' END AS status""",
+)
+TIKET = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS tiket_id",
+    "l_orderkey AS schedule_id",
+    "CASE l_returnflag WHEN 'A' THEN 'Regular' WHEN 'N' THEN 'VIP' WHEN 'R' THEN 'Sweetbox' END AS seat_category",
+    "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS final_price",
+    f"CAST({_folded_day('l_shipdate')} AS TIMESTAMP) + make_dt_interval(0, 0, CAST(l_partkey % 1440 AS INT), 0)"
+    " AS trans_time",
+    """CASE l_linenumber WHEN 1 THEN 'Cash' WHEN 2 THEN 'Debit Card' WHEN 3 THEN 'credit_card' WHEN 4 THEN 'QRIS'
+       WHEN 5 THEN 'ewallet' WHEN 6 THEN 'voucher' END AS payment_type""",
+)
+
+
 def read_retail(spark: SparkSession, root: str) -> Tables:
     def raw(name: str) -> DataFrame:
         return spark.read.schema(LAYOUT[name]).parquet(f"{root}/{name}.parquet")
 
-    nation, region = raw("nation"), raw("region")
-    cinema = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").cast("long").alias("cinema_id"),
-        F.col("n_name").alias("cinema_name"),
-        F.col("r_name").alias("city"),
-        F.concat_ws(", ", "n_name", "r_name").alias("address"),
-    )
-    studio = raw("customer").select(
-        F.col("c_custkey").alias("studio_id"),
-        F.col("c_nationkey").cast("long").alias("cinema_id"),
-        F.col("c_name").alias("studio_name"),
-        F.when(F.col("c_custkey") % 50 == 0, 0).otherwise(4 + (F.col("c_custkey") % 5) * 2).alias("total_capacity"),
-        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("screen_type"),
+    return Tables(
+        spark=spark,
+        cinema=raw("nation").join(raw("region"), F.expr("n_regionkey = r_regionkey")).selectExpr(*CINEMA),
+        studio=raw("customer").selectExpr(*STUDIO),
+        movies=raw("part").selectExpr(*MOVIES),
+        schedules=raw("orders").selectExpr(*SCHEDULES),
+        tiket=raw("lineitem").selectExpr(*TIKET),
     )
-    key = F.col("p_partkey")
-    listed = F.replace("p_name", F.lit(" "), F.lit(", "))
-    movies = raw("part").select(
-        key.alias("movie_id"),
-        F.concat("p_name", F.lit(" #"), key.cast("string")).alias("title"),
-        F.when(key % 16 == 0, F.lit(None))
-        .when(key % 16 == 1, F.concat(listed, F.lit(", ")))
-        .otherwise(listed)
-        .alias("genre"),
-        F.when(key % 5 == 1, "SU")
-        .when(key % 5 == 2, "13+")
-        .when(key % 5 == 3, "17+")
-        .when(key % 5 == 4, "21+")
-        .alias("rating_usia"),
-        (80 + F.col("p_size")).cast("long").alias("duration_min"),
-    )
-    order = F.col("o_orderkey")
-    urgent = F.substring("o_orderpriority", 1, 1)
-    schedules = raw("orders").select(
-        order.alias("schedule_id"),
-        ((order * 7 + F.col("o_custkey")) % TITLES_ON_SHOW).alias("movie_id"),
-        F.col("o_custkey").alias("studio_id"),
-        _folded_day("o_orderdate").alias("show_date"),
-        F.concat(
-            (10 + 3 * (order % 4)).cast("string"),
-            F.when(F.col("o_custkey") % 3 == 0, ":30:00").otherwise(":00:00"),
-        ).alias("start_time"),
-        F.col("o_totalprice").cast(MONEY).alias("price"),
-        F.when((F.col("o_orderstatus") == "P") & (urgent == "1"), "Cancelled")
-        .when((F.col("o_orderstatus") == "P") & (urgent == "2"), "canceled")
-        .when((F.col("o_orderstatus") == "P") & (urgent == "3"), "Delayed")
-        .when(F.col("o_orderstatus") != "O", "scheduled")
-        .alias("status"),
-    )
-    line = F.col("l_linenumber")
-    tiket = raw("lineitem").select(
-        F.concat_ws(
-            "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-        ).alias("tiket_id"),
-        F.col("l_orderkey").alias("schedule_id"),
-        F.when(F.col("l_returnflag") == "A", "Regular")
-        .when(F.col("l_returnflag") == "N", "VIP")
-        .when(F.col("l_returnflag") == "R", "Sweetbox")
-        .alias("seat_category"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast(MONEY).alias("final_price"),
-        (
-            _folded_day("l_shipdate").cast("timestamp")
-            + F.make_dt_interval(mins=(F.col("l_partkey") % 1440).cast("int"))
-        ).alias("trans_time"),
-        F.when(line == 1, "Cash")
-        .when(line == 2, "Debit Card")
-        .when(line == 3, "credit_card")
-        .when(line == 4, "QRIS")
-        .when(line == 5, "ewallet")
-        .when(line == 6, "voucher")
-        .alias("payment_type"),
-    )
-    return Tables(spark=spark, tiket=tiket, schedules=schedules, movies=movies, studio=studio, cinema=cinema)
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{root}/events.parquet")
-
-
-def _folded_day(column: str):
-    """Move a date of several years into the 56 days that the shows are spread over."""
-    offset = F.datediff(F.col(column), F.expr(SOURCE_DAY)) % DAYS
-    return F.date_add(F.expr(FIRST_DAY), offset.cast("int"))
