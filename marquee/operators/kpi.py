@@ -449,6 +449,14 @@ def _activity(tickets: str = "total_tickets") -> Column:
     return F.when(F.col(tickets) > 0, F.lit("active")).otherwise(F.lit("inactive"))
 
 
+def _venues_asked_for(t: Tables, f: Filters) -> DataFrame:
+    cinema = t.cinema.filter(f.scope("city", "cinema_id"))
+    if f.studio_id in (None, ""):
+        return cinema
+    owner = t.studio.filter(f.scope("studio_id")).select("cinema_id")
+    return cinema.join(owner, "cinema_id", "left_semi")
+
+
 def cinema_rows(t: Tables, f: Filters) -> DataFrame:
     """Per venue with shows: sales, capacity, occupancy, best title and best genre.
 
@@ -456,10 +464,7 @@ def cinema_rows(t: Tables, f: Filters) -> DataFrame:
     and active titles are those **shown** in it, and the occupancy divides one by the other.
     A room filter keeps the venues that own the room.
     """
-    cinema = t.cinema.filter(f.scope("city", "cinema_id"))
-    if f.studio_id not in (None, ""):
-        owner = t.studio.filter(f.scope("studio_id")).select("cinema_id")
-        cinema = cinema.join(owner, "cinema_id", "left_semi")
+    cinema = _venues_asked_for(t, f)
     rows = t.schedules.filter(f.scope("movie_id")).join(t.studio, "studio_id").join(cinema, "cinema_id")
     sold = with_tickets(rows, ticket_sums(t, f=f))
     shown = f.show_window()
@@ -527,11 +532,8 @@ def cinema_stats(t: Tables, f: Filters = Filters()) -> DataFrame:
 
 def cinema_totals(t: Tables, f: Filters) -> DataFrame:
     """Figures per venue without the best title and genre, for totals over venues."""
-    grain = with_tickets(
-        t.schedules.filter(f.scope("movie_id")).join(t.studio, "studio_id").join(t.cinema, "cinema_id"),
-        ticket_sums(t, f=f),
-    ).filter(f.scope("city", "cinema_id"))
-    return grain.groupBy("cinema_id", "cinema_name", "city").agg(
+    rows = t.schedules.filter(f.scope("movie_id")).join(t.studio, "studio_id").join(_venues_asked_for(t, f), "cinema_id")
+    return with_tickets(rows, ticket_sums(t, f=f)).groupBy("cinema_id", "cinema_name", "city").agg(
         F.sum("tickets").alias("total_tickets"),
         F.sum("revenue").alias("total_revenue"),
         F.count_distinct(F.when(f.show_window(), F.col("movie_id"))).alias("active_movies"),

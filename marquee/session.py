@@ -12,6 +12,8 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot key is split even where that costs another shuffle behind the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A date window or a venue keeps few shows. Spark then builds a Bloom filter of the
     # kept shows and applies it where tickets are scanned, so that tickets of other shows
     # never reach the shuffle. The default limit of 10 MB on the show side is too low for
@@ -24,10 +26,22 @@ RUNTIME = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that someone else created."""
+# Bytes that one shuffle partition should hold before adaptive execution merges small ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to a session that someone else created.
+
+    ``shuffle_bytes`` is the size of the largest shuffle that is expected, for instance the
+    sums of all tickets per show. Adaptive execution merges partitions but does not split
+    them, so it must start with enough of them. Without it the session's own number stays.
+    """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    if shuffle_bytes:
+        parts = max(spark.sparkContext.defaultParallelism, -(-shuffle_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     return spark
 
 

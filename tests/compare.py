@@ -63,6 +63,10 @@ if __name__ == "__main__":
     wanted = sys.argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if "--no-broadcast" in wanted:  # the way of large tables: every join is a shuffle
+        wanted.remove("--no-broadcast")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     con, q, o = database(sf), queries(), oracle_sql()
     bad = 0
     for name in q:

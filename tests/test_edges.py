@@ -130,6 +130,13 @@ def test_rooms_without_sales_are_absent(house):
 # ---------------------------------------------------------------- texts and missing values
 
 
+def test_room_filter_keeps_its_venue(house):
+    house.cinema("C2", "Two", "Bandung").studio("S2").studio("S9", "C2")
+    t = house.show("A", "2024-03-05", sold=1).show("B", "2024-03-05", studio="S9", sold=1).tables()
+    assert set(by(kpi.cinema_stats(t, W.scoped(studio_id="S2")), "cinema_id")) == {"C1"}
+    assert one(kpi.cinema_stats_summary(t, W.scoped(studio_id="S2")))["total_tickets"] == 1
+
+
 def test_genres(house):
     house.movie("M2", genre=None).movie("M3", genre=" Comedy ,, ").movie("M4", genre="")
     for i, m in enumerate(("M1", "M2", "M3", "M4")):
