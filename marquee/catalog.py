@@ -122,6 +122,7 @@ ACTIONS: dict[str, Operator] = {
     "scope_time_slots": lambda t: scopes.scope_time_slots(t, WINDOW),
     "scope_peak_quiet": lambda t: scopes.scope_peak_quiet(t, WINDOW),
     "scope_pricing": lambda t: scopes.scope_pricing(t, WINDOW),
+    "scope_pricing_summary": lambda t: scopes.scope_pricing_summary(t, WINDOW),
     "scope_ad_slots": lambda t: scopes.scope_ad_slots(t, WINDOW),
     "move_to_larger_studio": lambda t: actions.public(actions.move_to_larger_studio(t, WINDOW)),
     "reduce_showtimes": lambda t: actions.public(actions.reduce_showtimes(t, WINDOW)),
@@ -158,7 +159,8 @@ LISTS: dict[str, Operator] = {
     "movies_list": lists.movies_list,
     "movies_list_page": lambda t: lists.movies_list(t, search="BLUE", genre="bolt", page_number=2),
     "movies_count": lambda t: lists.movies_count(t, search="BLUE", genre="bolt"),
-    "studios_list": lambda t: lists.studios_list(t, screen_type="BUILDING"),
+    "studios_list": lists.studios_list,
+    "studios_list_format": lambda t: lists.studios_list(t, screen_type="BUILDING"),
     "schedules_list": lambda t: lists.schedules_list(t, WINDOW),
     "schedules_list_page": lambda t: lists.schedules_list(t, WINDOW, status="Delayed", page_number=1),
     "tickets_list": lambda t: lists.tickets_list(t, WINDOW),

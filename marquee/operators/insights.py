@@ -37,8 +37,13 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
     pricing = stored(scopes.scope_pricing(t, f, actions.PRICED), "pricing")
     best = stored(actions.candidate_actions(t, f, pricing=pricing), "actions")
     insight = actions.scope_insight(scopes.scope_metrics(t, f), best)
+    slots = scopes.scope_pricing_summary(t, f)
+    first_ads = stored(scopes.scope_ad_slots(t, f), "ads")
+    candidates = first_ads.filter("position = 1").select(
+        *SCOPE, "total_candidates", F.lit(C.AD_FORMULA).alias("scoring_formula")
+    )
     ads = _listed(
-        scopes.scope_ad_slots(t, f),
+        first_ads,
         ["title", "genre", "time_slot", "total_shows", "audience_size", "total_revenue", "revenue_per_show",
          "occupancy", "ad_score"],
         "top_slots",
@@ -53,7 +58,16 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
         *SCOPE,
         F.to_json(F.struct("label", "city", "cinema_id", "cinema_name", "studio_id", "studio_name")).alias("scope_meta"),
     )
-    rows = insight.join(ads, SCOPE, "left").join(prices, SCOPE, "left").join(meta, SCOPE)
+    rows = insight.join(meta, SCOPE)
+    for part in (ads, candidates, prices, slots):
+        rows = rows.join(part, SCOPE, "left")
+    ad_summary = F.struct(F.coalesce("total_candidates", F.lit(0)).alias("total_candidates"), "scoring_formula")
+    slot_summary = F.struct(
+        F.coalesce("total_slots_analyzed", F.lit(0)).alias("total_slots_analyzed"),
+        F.coalesce("recommended_changes", F.lit(0)).alias("recommended_changes"),
+        F.struct(F.col("peak_time_slot").alias("time_slot"), F.col("peak_revenue").alias("revenue")).alias("peak_sales_hour"),
+        F.struct(F.col("quiet_time_slot").alias("time_slot"), F.col("quiet_revenue").alias("revenue")).alias("quiet_hour"),
+    )
     growth = F.struct(*[F.col(f"growth_{c}").alias(c) for c in ("tickets", "revenue", "occupancy")]).alias("growth")
     text = F.struct(
         "title", "description", "recommendation", "action_items", "impact_level", "category", "recommended_actions"
@@ -66,8 +80,8 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
         "period_start",
         "period_end",
         F.to_json(F.struct("period_start", "period_end", *SUMMARY, growth)).alias("summary_snapshot"),
-        F.to_json(F.struct("top_slots")).alias("ad_score_snapshot"),
-        F.to_json(F.struct("recommendations")).alias("pricing_snapshot"),
+        F.to_json(F.struct(ad_summary.alias("summary"), "top_slots")).alias("ad_score_snapshot"),
+        F.to_json(F.struct(slot_summary.alias("summary"), "recommendations")).alias("pricing_snapshot"),
         F.to_json(F.struct(source.alias("source"), model.alias("model"), text.alias("insight"))).alias("ai_payload"),
         "title",
         "description",
@@ -141,6 +155,9 @@ def decoded(stored: DataFrame) -> DataFrame:
         number("summary_snapshot", "$.growth.revenue").alias("growth_revenue"),
         F.get_json_object("ad_score_snapshot", "$.top_slots[0].title").alias("top_ad_title"),
         number("ad_score_snapshot", "$.top_slots[0].ad_score").alias("top_ad_score"),
+        F.get_json_object("ad_score_snapshot", "$.summary.total_candidates").cast("long").alias("ad_candidates"),
+        F.get_json_object("pricing_snapshot", "$.summary.recommended_changes").cast("long").alias("recommended_changes"),
+        F.get_json_object("pricing_snapshot", "$.summary.peak_sales_hour.time_slot").alias("peak_time_slot"),
         F.get_json_object("pricing_snapshot", "$.recommendations[0].suggested_action").alias("top_price_action"),
         "title",
         "description",

@@ -83,13 +83,13 @@ def ad_sums(facts: DataFrame, *keys: str) -> DataFrame:
 
 
 def ad_span(sums: DataFrame, *keys: str) -> DataFrame:
-    """Smallest and largest value of the scored figures, one row per ``keys``."""
+    """Smallest and largest value of the scored figures and their number, one row per ``keys``."""
     ends = [
         end(name).alias(f"{label}_{name}")
         for name in ("audience_size", "amount", "occupancy")
         for label, end in (("low", F.min), ("high", F.max))
     ]
-    return sums.groupBy(*keys).agg(*ends)
+    return sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_candidates"), *ends)
 
 
 AD_SPAN = [f"{end}_{name}" for name in ("audience_size", "amount", "occupancy") for end in ("low", "high")]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee import constants as C
 from marquee.functions.expr import growth, money, rounded_ratio
 from marquee.functions.frames import top_per
 from marquee.operators import rules, sales
@@ -161,6 +162,31 @@ def scope_pricing(t: Tables, f: Filters, top_n: int = 5) -> DataFrame:
     return top_per(rules.price_actions(scope_time_slots(t, f), *SCOPE), SCOPE, rules.price_order(), top_n)
 
 
+def scope_pricing_summary(t: Tables, f: Filters) -> DataFrame:
+    """Per scope: start hours looked at, changes proposed, the best and the weakest hour."""
+    slots = scope_time_slots(t, f)
+    changes = (
+        rules.price_actions(slots, *SCOPE)
+        .groupBy(*SCOPE)
+        .agg(F.count_if(F.col("suggested_action") != C.PRICE_HOLD).alias("recommended_changes"))
+    )
+    counted = slots.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("total_slots_analyzed"))
+    return (
+        counted.join(changes, SCOPE, "left")
+        .fillna(0, ["recommended_changes"])
+        .join(sales.peak_and_quiet(slots, *SCOPE), SCOPE)
+        .select(
+            *SCOPE,
+            "total_slots_analyzed",
+            "recommended_changes",
+            "peak_time_slot",
+            "peak_revenue",
+            "quiet_time_slot",
+            "quiet_revenue",
+        )
+    )
+
+
 SALTS = 64
 
 
@@ -178,5 +204,5 @@ def scope_ad_slots(t: Tables, f: Filters, top_n: int = 3) -> DataFrame:
     span = rules.ad_span(titled, *SCOPE).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))
     )
-    scored = rules.ad_scores(salted.join(span, [*SCOPE, "_salt"]), *SCOPE)
+    scored = rules.ad_scores(salted.join(span, [*SCOPE, "_salt"]), *SCOPE, "total_candidates")
     return top_per(scored, SCOPE, rules.ad_order(), top_n)

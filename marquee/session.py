@@ -59,6 +59,10 @@ def local_session(cpus: int | str = "*", app: str = "marquee", **conf: str) -> S
     return builder.getOrCreate()
 
 
+# Folders of local sessions without the setting, by application.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, for data that outlives a stage.
 
@@ -70,8 +74,10 @@ def shared_folder(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="marquee-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    key = spark.sparkContext.applicationId
+    if key not in _OWN_FOLDERS:
+        _OWN_FOLDERS[key] = tempfile.mkdtemp(prefix="marquee-")
+    return _OWN_FOLDERS[key]
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

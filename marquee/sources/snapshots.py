@@ -1,22 +1,26 @@
-"""Stored insights: upsert on the natural key, kept as complete versions on plain files.
+"""Stored insights: upsert on the natural key, kept as versions of periods on plain files.
 
-Plain Parquet has no update in place. Every upsert writes a new version folder and then adds
-one row to a small pointer table; readers take the version of the newest pointer row. A
-version that was not finished has no pointer and is never read, and the version that an
-upsert reads is never the one it writes.
+Plain Parquet has no update in place. An upsert writes new folders for the periods it touches
+and then adds one row per period to a small pointer table; readers take the newest version of
+each period. Periods that are not touched are neither read nor written, so the cost of a run
+does not grow with the history. A version that was not finished has no pointer and is never
+read, and a folder that is being read is never written.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.schemas import INSIGHT
+from marquee.session import stored
 
 KEY = ["scope_type", "scope_value", "period_start", "period_end"]
-POINTER = T.StructType([T.StructField("version", T.LongType())])
+POINTER = T.StructType([T.StructField("period_end", T.DateType()), T.StructField("version", T.LongType())])
 
 
 def conform(frame: DataFrame, schema: T.StructType = INSIGHT) -> DataFrame:
@@ -49,31 +53,43 @@ def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Versions of the insight table under one folder that all executors can reach."""
+    """The insight table under one folder that all executors can reach. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self) -> int:
+    def _newest(self) -> dict[date, int]:
+        """The newest version of each period: one entry per day that a run has ended on."""
         try:
             pointer = self.spark.read.schema(POINTER).parquet(f"{self.root}/pointer")
         except AnalysisException:
-            return 0
-        return pointer.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+            return {}
+        return {r["period_end"]: r["version"] for r in pointer.groupBy("period_end").agg(F.max("version").alias("version")).collect()}
 
-    def read(self) -> DataFrame:
-        version = self._version()
-        if version == 0:
+    def read(self, periods: set[date] | None = None) -> DataFrame:
+        """All insights, or those of periods that end on the given days."""
+        newest = self._newest()
+        folders = [
+            f"{self.root}/data/version={version}/period_end={day}"
+            for day, version in newest.items()
+            if periods is None or day in periods
+        ]
+        if not folders:
             return self.spark.createDataFrame([], INSIGHT)
-        frame = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/version={version}")
-        return conform(frame)
+        data = f"{self.root}/data"
+        return conform(self.spark.read.options(basePath=data, mergeSchema="true").parquet(*folders))
 
     def upsert(self, incoming: DataFrame) -> int:
-        """Write the merged table as the next version and point readers to it."""
-        version = self._version() + 1
-        merged = merge(self.read(), incoming)
-        merged.write.mode("overwrite").partitionBy("scope_type").parquet(f"{self.root}/version={version}")
-        self.spark.createDataFrame([(version,)], POINTER).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/pointer"
-        )
+        """Write the merged periods as a new version and point readers to it."""
+        # Written once, because it is used twice: for its periods and for its rows.
+        rows = stored(conform(incoming), "incoming")
+        touched = {r["period_end"] for r in rows.select("period_end").distinct().collect()}
+        version = max(self._newest().values(), default=0)
+        if not touched:
+            return version
+        version += 1
+        merged = merge(self.read(touched), rows)
+        merged.write.mode("overwrite").partitionBy("period_end").parquet(f"{self.root}/data/version={version}")
+        pointers = self.spark.createDataFrame([(day, version) for day in touched], POINTER)
+        pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
         return version

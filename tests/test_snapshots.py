@@ -9,10 +9,34 @@ import pytest
 
 from marquee.operators import insights
 from marquee.schemas import INSIGHT
-from marquee.session import new_folder
+from marquee.session import new_folder, shared_folder
 from marquee.sources.snapshots import SnapshotStore, conform, merge
 from tests.conftest import by
 
+class FakeSession:
+    """What the choice of the shared folder looks at."""
+
+    def __init__(self, master, setting=None):
+        self.conf = self
+        self.setting = setting
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"{master}-app"
+
+    def get(self, key, default):
+        return self.setting or default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_shared_folder():
+    assert shared_folder(FakeSession("spark://host", "s3a://bucket/tmp/")) == "s3a://bucket/tmp"
+    local = FakeSession("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError):
+        shared_folder(FakeSession("spark://host"))
+
+
 T1, T2, T3 = (datetime(2024, 3, d, 3) for d in (1, 2, 3))
 
 
@@ -54,10 +78,25 @@ def test_store_versions(spark):
     store.upsert(rows(spark, ("city", "A", "2024-02-01", "two", T2)))
     assert store.read().count() == 2
     # a version without a pointer is not seen
-    rows(spark, ("city", "Z", "2024-02-01", "lost", T3)).write.parquet(f"{store.root}/version=9")
+    rows(spark, ("city", "Z", "2024-02-01", "lost", T3)).write.partitionBy("period_end").parquet(f"{store.root}/data/version=9")
     assert by(store.read(), "scope_type").keys() == {"city", "global"}
 
 
+def test_store_touches_only_the_periods_of_a_run(spark):
+    store = SnapshotStore(spark, new_folder(spark, "store"))
+    store.upsert(rows(spark, ("city", "A", "2024-02-01", "old", T1), ("city", "A", "2024-02-15", "kept", T1)))
+    store.upsert(rows(spark, ("city", "A", "2024-02-01", "new", T2), ("city", "B", "2024-02-29", "added", T2)))
+    assert store.upsert(rows(spark)) == 2
+    got = by(store.read(), "period_end")
+    assert {str(k): r["title"] for k, r in got.items()} == {
+        "2024-02-01": "new",
+        "2024-02-15": "kept",
+        "2024-02-29": "added",
+    }
+    assert store._newest() == {date(2024, 2, 1): 2, date(2024, 2, 15): 1, date(2024, 2, 29): 2}
+    assert store.read({date(2024, 2, 15)}).count() == 1
+
+
 def test_older_layout(spark):
     old = spark.createDataFrame([(None, None, date(2024, 2, 1), date(2024, 2, 2), "t")], "scope_type string, scope_value string, period_start date, period_end date, title string")
     row = conform(old).first()

@@ -156,13 +156,25 @@ INSIGHT = SUMS + ACTIONS + BEST.replace(SCOPES, "") + f"""
    {THEME} AS category FROM metrics LEFT JOIN tops USING (scope_type, scope_value))
 """
 
-RECORDS = INSIGHT + ads("aw", KEYS) + f"""
+PRICE_SUMMARY = f"""
+, slot_place AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY revenue DESC, time_slot) AS hi,
+   ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY revenue, time_slot) AS lo FROM slots)
+, changes AS (SELECT {S}, COUNT(CASE WHEN suggested_action <> '{C.PRICE_HOLD}' THEN 1 END) AS n FROM prices GROUP BY 1, 2)
+, price_summary AS (SELECT {S}, COUNT(*) AS total_slots_analyzed, COALESCE(MAX(n), 0) AS recommended_changes,
+   MAX(CASE WHEN hi = 1 THEN time_slot END) AS peak_time_slot, MAX(CASE WHEN hi = 1 THEN revenue END) AS peak_revenue,
+   MAX(CASE WHEN lo = 1 THEN time_slot END) AS quiet_time_slot, MAX(CASE WHEN lo = 1 THEN revenue END) AS quiet_revenue
+   FROM slot_place LEFT JOIN changes USING (scope_type, scope_value) GROUP BY 1, 2)
+"""
+PRICED = scoped("w", "aw") + slots("aw", KEYS) + prices(KEYS) + PRICE_SUMMARY
+
+RECORDS = INSIGHT + PRICE_SUMMARY + ads("aw", KEYS) + f"""
 , ad1 AS (SELECT * FROM (SELECT {S}, title AS top_ad_title, ad_score AS top_ad_score,
-   ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY {AD_ORDER}) AS rn FROM ads) WHERE rn = 1)
+   COUNT(*) OVER (PARTITION BY {S}) AS ad_candidates, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY {AD_ORDER}) AS rn FROM ads) WHERE rn = 1)
 , records AS (SELECT {S}, label, period_start, period_end, total_tickets, total_revenue, avg_occupancy, growth_revenue,
-   top_ad_title, top_ad_score, suggested_action AS top_price_action, title, description, recommendation, action_items,
+   top_ad_title, top_ad_score, COALESCE(ad_candidates, 0) AS ad_candidates,
+   COALESCE(recommended_changes, 0) AS recommended_changes, peak_time_slot, suggested_action AS top_price_action, title, description, recommendation, action_items,
    impact_level, category, 'fallback' AS ai_source, 'fallback-local' AS ai_model
-   FROM insight LEFT JOIN ad1 USING (scope_type, scope_value)
+   FROM insight LEFT JOIN ad1 USING (scope_type, scope_value) LEFT JOIN price_summary USING (scope_type, scope_value)
    LEFT JOIN (SELECT * FROM top_prices WHERE position = 1) tp USING (scope_type, scope_value))
 """
 
@@ -222,9 +234,10 @@ QUERIES = {
     "scope_ad_slots": sql(
         scoped("w", "aw")
         + ads("aw", KEYS)
-        + f"""SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY {AD_ORDER}) AS position FROM ads)
-        WHERE position <= 3"""
+        + f"""SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {S} ORDER BY {AD_ORDER}) AS position,
+        COUNT(*) OVER (PARTITION BY {S}) AS total_candidates FROM ads) WHERE position <= 3"""
     ),
+    "scope_pricing_summary": sql(PRICED + "SELECT * FROM price_summary"),
     "move_to_larger_studio": sql(ACTIONS + f"{PUBLIC} c_move"),
     "reduce_showtimes": sql(ACTIONS + f"{PUBLIC} c_reduce"),
     "promotion_opportunity": sql(ACTIONS + f"{PUBLIC} c_promo"),

@@ -60,7 +60,10 @@ QUERIES = {
         """SELECT COUNT(*) AS total, CAST(CEIL(COUNT(*) / 20.0) AS BIGINT) AS total_pages FROM movies
         WHERE title ILIKE '%BLUE%' AND genre ILIKE '%bolt%'"""
     ),
-    "studios_list": sql("SELECT studio_id, cinema_id, studio_name, total_capacity, screen_type FROM studio WHERE screen_type = 'BUILDING'"),
+    "studios_list": sql("SELECT studio_id, cinema_id, studio_name, total_capacity, screen_type FROM studio"),
+    "studios_list_format": sql(
+        "SELECT studio_id, cinema_id, studio_name, total_capacity, screen_type FROM studio WHERE screen_type = 'BUILDING'"
+    ),
     "schedules_list": sql(SHOW_LIST + f" WHERE show_date {WINDOW}"),
     "schedules_list_page": sql(
         SHOW_LIST
