@@ -98,14 +98,22 @@ def payment_fee(payment_type) -> Column:
     return F.coalesce(F.try_element_at(fees, name), F.lit(PAYMENT_FEES["unknown"])).cast("long")
 
 
-def seat_counts(tickets="tickets", category="seat_category") -> list[Column]:
-    """Sum of ``tickets`` per known seat category, one column each."""
+SEAT_COLUMNS = [f"{seat}_seats" for seat in SEAT_CATEGORIES]
+
+
+def seat_counts(category="seat_category") -> list[Column]:
+    """Number of rows per known seat category, one column each."""
     return [
-        F.coalesce(F.sum(F.when(F.lower(as_col(category)) == seat, as_col(tickets))), F.lit(0)).alias(f"{seat}_seats")
-        for seat in SEAT_CATEGORIES
+        F.count_if(F.lower(as_col(category)) == seat).alias(name)
+        for seat, name in zip(SEAT_CATEGORIES, SEAT_COLUMNS)
     ]
 
 
+def seat_sums() -> list[Column]:
+    """Sums of the columns that :func:`seat_counts` gives."""
+    return [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in SEAT_COLUMNS]
+
+
 def number_text(value) -> Column:
     """A two-digit number as a short text: ``85``, ``85.5``, ``85.25``."""
     text = F.format_string("%.2f", as_col(value))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.expr import (
+    SEAT_COLUMNS,
     genre_array,
     genres,
     growth,
@@ -14,7 +15,7 @@ from marquee.functions.expr import (
     ratio,
     round2,
     rounded_ratio,
-    seat_counts,
+    seat_sums,
     start_hour,
 )
 from marquee.functions.frames import attach, first_per, page
@@ -186,12 +187,6 @@ def occupancy_summary(t: Tables, f: Filters, group_by: str = "daily") -> DataFra
 # ---------------------------------------------------------------- titles
 
 
-def _movie_shows(t: Tables, f: Filters) -> DataFrame:
-    """Shows in the window with their title; tickets per show and seat category kept as zeros."""
-    rows = shows(t, f).join(t.movies, "movie_id").filter(f.scope("rating_usia"))
-    return with_tickets(rows, ticket_sums(t, "seat_category"))
-
-
 def movie_stats_summary(t: Tables, f: Filters) -> DataFrame:
     """Titles on show, tickets, best title and best genre; a ticket counts once per genre."""
     sold = ticket_sums(t)
@@ -228,40 +223,45 @@ def movie_stats_summary(t: Tables, f: Filters) -> DataFrame:
     )
 
 
+def _seats_by_movie(t: Tables, f: Filters) -> DataFrame:
+    """Per title on show: shows, tickets, revenue and seats by category, with the title's columns."""
+    sums = (
+        with_tickets(shows(t, f), ticket_sums(t, seats=True))
+        .groupBy("movie_id")
+        .agg(
+            F.count(F.lit(1)).alias("shows"),
+            F.sum("tickets").alias("tickets"),
+            F.sum("revenue").alias("revenue"),
+            *seat_sums(),
+        )
+    )
+    return sums.join(t.movies, "movie_id").filter(f.scope("rating_usia"))
+
+
 def rating_breakdown(t: Tables, f: Filters) -> DataFrame:
     """By age rating: tickets, shows, seats by category."""
-    # Shows are counted on their own; beside the seat split a show is several rows.
-    per_rating = (
-        _movie_shows(t, f)
-        .groupBy("schedule_id", "rating_usia")
-        .agg(F.sum("tickets").alias("tickets"), *seat_counts())
+    return (
+        _seats_by_movie(t, f)
         .groupBy(F.coalesce("rating_usia", F.lit("Unknown")).alias("rating_usia"))
-    )
-    return per_rating.agg(
-        F.sum("tickets").alias("total_tickets_sold"),
-        F.count(F.lit(1)).alias("total_showings"),
-        *[F.sum(f"{seat}_seats").alias(f"{seat}_seats") for seat in ("regular", "vip", "sweetbox")],
+        .agg(
+            F.sum("tickets").alias("total_tickets_sold"),
+            F.sum("shows").alias("total_showings"),
+            *seat_sums(),
+        )
     )
 
 
 def movie_rankings(t: Tables, f: Filters, top: int | None = None) -> DataFrame:
     """Per title on show: tickets, revenue, seat split. ``top`` keeps the first by tickets, then title."""
-    sums = (
-        with_tickets(shows(t, f), ticket_sums(t, "seat_category"))
-        .groupBy("movie_id")
-        .agg(F.sum("tickets").alias("tickets_sold"), F.sum("revenue").alias("revenue"), *seat_counts())
-    )
-    rows = sums.join(t.movies, "movie_id").select(
+    rows = _seats_by_movie(t, f).select(
         "movie_id",
         F.coalesce("title", F.lit("Unknown")).alias("title"),
         genre_array().alias("genre"),
         "rating_usia",
         F.coalesce(F.col("duration_min").cast("long"), F.lit(0)).alias("duration_min"),
-        "tickets_sold",
+        F.col("tickets").alias("tickets_sold"),
         F.col("revenue").cast("double").alias("revenue"),
-        "regular_seats",
-        "vip_seats",
-        "sweetbox_seats",
+        *SEAT_COLUMNS,
     )
     return rows if top is None else rows.orderBy(F.desc("tickets_sold"), F.asc("title"), F.asc("movie_id")).limit(top)
 

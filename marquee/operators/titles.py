@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.expr import genre_array, genres, money, percent, ratio, round2, rounded_ratio, seat_counts
+from marquee.functions.expr import (
+    SEAT_COLUMNS,
+    genre_array,
+    genres,
+    money,
+    percent,
+    ratio,
+    round2,
+    rounded_ratio,
+    seat_sums,
+)
 from marquee.functions.frames import attach, top_numbered
 from marquee.operators import kpi, sales
 from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, shows, ticket_sums, rolled
@@ -40,10 +50,10 @@ def films_performance(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
     Genre, age rating, length and seats are those of the title.
     """
     sums = (
-        ticket_sums(t, "seat_category", f=f)
+        ticket_sums(t, f=f, seats=True)
         .join(all_shows(t).filter(f.scope(*SCOPE_COLUMNS)), "schedule_id")
         .groupBy("movie_id")
-        .agg(F.sum("tickets").alias("total_tickets"), F.sum("revenue").alias("total_revenue"), *seat_counts())
+        .agg(F.sum("tickets").alias("total_tickets"), F.sum("revenue").alias("total_revenue"), *seat_sums())
     )
     first = top_numbered(sums.join(t.movies, "movie_id"), kpi.movie_sales_order(), top_n or 10)
     shown = Window.partitionBy()  # top_n rows
@@ -62,9 +72,7 @@ def films_performance(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
         genre_array().alias("genres"),
         F.coalesce("rating_usia", F.lit("SU")).alias("rating_usia"),
         F.coalesce(F.col("duration_min").cast("long"), F.lit(0)).alias("duration_min"),
-        "regular_seats",
-        "vip_seats",
-        "sweetbox_seats",
+        *SEAT_COLUMNS,
         percent(tickets, F.sum(tickets).over(shown)).alias("share_of_tickets"),
         percent(revenue, F.sum(revenue).over(shown)).alias("share_of_revenue"),
         round2(score).alias("blockbuster_score"),

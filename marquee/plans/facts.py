@@ -16,7 +16,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.expr import ratio, slot_label
+from marquee.functions.expr import ratio, seat_counts, slot_label
 from marquee.plans.filters import Filters
 from marquee.session import stored
 from marquee.sources.tables import Tables
@@ -39,11 +39,16 @@ def shows(t: Tables, f: Filters) -> DataFrame:
     return all_shows(t).filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
 
 
-def ticket_sums(t: Tables, *extra: str, f: Filters | None = None) -> DataFrame:
-    """Tickets and revenue per show and ``extra`` ticket columns; ``f`` filters on sale time."""
+def ticket_sums(t: Tables, *extra: str, f: Filters | None = None, seats: bool = False) -> DataFrame:
+    """Tickets and revenue per show and ``extra`` ticket columns; ``f`` filters on sale time.
+
+    ``seats`` adds a count per known seat category, still one row per show.
+    """
     tickets = t.tiket if f is None else t.tiket.filter(f.sale_window())
     return tickets.groupBy("schedule_id", *extra).agg(
-        F.count(F.lit(1)).alias("tickets"), F.sum("final_price").alias("revenue")
+        F.count(F.lit(1)).alias("tickets"),
+        F.sum("final_price").alias("revenue"),
+        *(seat_counts() if seats else []),
     )
 
 

@@ -64,7 +64,8 @@ class SnapshotStore:
             pointer = self.spark.read.schema(POINTER).parquet(f"{self.root}/pointer")
         except AnalysisException:
             return {}
-        return {r["period_end"]: r["version"] for r in pointer.groupBy("period_end").agg(F.max("version").alias("version")).collect()}
+        newest = pointer.groupBy("period_end").agg(F.max("version").alias("version"))
+        return {r["period_end"]: r["version"] for r in newest.collect()}
 
     def read(self, periods: set[date] | None = None) -> DataFrame:
         """All insights, or those of periods that end on the given days."""

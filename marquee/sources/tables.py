@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee.schemas import BASE_TABLES
 
@@ -42,16 +43,27 @@ def read_parquet(spark: SparkSession, root: str) -> Tables:
     return Tables(spark=spark, **frames)
 
 
-def write_parquet(tables: Tables, root: str, partition_shows: bool = True) -> None:
-    """Store the tables in their own layout, shows partitioned by date."""
+# Tasks, and so files, that one date of shows is spread over.
+FILES_PER_DATE = 8
+
+
+def write_parquet(tables: Tables, root: str) -> None:
+    """Store the tables in their own layout.
+
+    Shows are partitioned by date; each date is a few files, and a busy date is not one task.
+    Tickets are in order of sale time, so that the statistics of a file tell which days it has.
+    They are not bucketed by show: a bucket is read by one task, and one show may have a third
+    of all tickets.
+    """
     for name in BASE_TABLES:
         frame = getattr(tables, name)
+        if name == "schedules":
+            frame = frame.repartition("show_date", F.pmod(F.xxhash64("schedule_id"), F.lit(FILES_PER_DATE)))
+        if name == "tiket":
+            frame = frame.repartitionByRange("trans_time").sortWithinPartitions("trans_time")
         writer = frame.write.mode("errorifexists")
-        if name == "schedules" and partition_shows:
-            # One shuffle brings each date together, so a date is a few files and not one
-            # per task. The key salt keeps one busy date from being a single task.
-            frame = frame.repartition("show_date", "studio_id")
-            writer = frame.write.mode("errorifexists").partitionBy("show_date")
+        if name == "schedules":
+            writer = writer.partitionBy("show_date")
         writer.parquet(f"{root}/{name}")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marquee import constants as C
 from twins import base
-from twins.base import END, START, big, dbl, growth, money, num, pct, r2, rratio, sql
+from twins.base import END, START, big, growth, money, num, pct, r2, rratio, sql
 from twins.rules import AD_ORDER, ads, prices
 from twins.sales import STUDIOS, slots
 

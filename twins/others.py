@@ -1,7 +1,7 @@
 """SQL of the lists, the alerts, the reports given by formula and the streams."""
 
 from marquee import constants as C
-from twins.actions import S, SCOPES, SUMS, scoped
+from twins.actions import S, SUMS, scoped
 from twins.base import GENRE_TEXT, WINDOW, big, day, dbl, minmax, money, pct, r2, rratio, sql
 from twins.kpi import LAST_HOUR, cinema_ctes
 from twins.sales import FEE
