@@ -18,17 +18,14 @@ from marquee.sources.tables import Tables
 def _overview(t: Tables, f: Filters) -> DataFrame:
     """Per scope: the sales overview of the window, and over all time the venues with shows
     and those of them with tickets. One pass over all shows gives both."""
-    active = F.when(F.col("tickets") > 0, F.col("cinema_id"))
-    sums = kpi.window_sums(
-        by_scope(session_facts(t, Filters())),
+    rooms = scopes.room_windows(t, f, session_facts(t, Filters()), F.sum("tickets").alias("sold"))
+    return scopes.scope_overview(
+        t,
         f,
-        *SCOPE,
-        more=(
-            F.count_distinct("cinema_id").alias("total_cinemas"),
-            F.count_distinct(active).alias("active_cinemas"),
-        ),
+        rooms,
+        total_cinemas=F.count_distinct("cinema_id"),
+        active_cinemas=F.count_distinct(F.when(F.col("sold") > 0, F.col("cinema_id"))),
     )
-    return scopes.scope_overview(t, f, sums, "total_cinemas", "active_cinemas")
 
 
 def _recent(t: Tables) -> DataFrame:

@@ -55,32 +55,40 @@ def show_facts(t: Tables, f: Filters) -> DataFrame:
     )
 
 
-def window_sums(facts: DataFrame, f: Filters, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
-    """Sums of the window and of the window before it, per ``keys``, from one pass.
-
-    ``facts`` must cover both windows. Occupancies are means of the per-show shares. ``more``
-    are further aggregates over all of ``facts``.
-    """
+def window_parts(f: Filters) -> list[Column]:
+    """Aggregates over shows for the window and for the window before it. They can be added up."""
     now, before = f.in_window(), f.previous().in_window()
 
-    def total(column: str, when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0))
+    def parts(when: Column, prefix: str) -> list[Column]:
+        def total(column: str, name: str) -> Column:
+            return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0)).alias(prefix + name)
 
-    def share(when: Column) -> Column:
-        return round2(F.coalesce(F.avg(F.when(when, F.col("seat_share"))), F.lit(0.0)) * 100)
+        return [
+            F.count_if(when).alias(f"{prefix}shows"),
+            total("tickets", "tickets"),
+            total("total_capacity", "capacity"),
+            total("revenue", "revenue"),
+            total("seat_share", "share"),
+        ]
 
-    return facts.groupBy(*keys).agg(
-        F.count_if(now).alias("shows"),
-        total("tickets", now).alias("tickets"),
-        total("total_capacity", now).cast("long").alias("capacity"),
-        total("revenue", now).alias("revenue"),
-        share(now).alias("occupancy"),
-        F.count_distinct(F.when(now, F.col("cinema_id"))).alias("venues"),
-        total("tickets", before).alias("previous_tickets"),
-        total("revenue", before).alias("previous_revenue"),
-        share(before).alias("previous_occupancy"),
-        *more,
-    )
+    return parts(now, "") + parts(before, "previous_")
+
+
+PARTS = [f"{prefix}{name}" for prefix in ("", "previous_") for name in ("shows", "tickets", "capacity", "revenue", "share")]
+
+
+def with_occupancy(sums: DataFrame) -> DataFrame:
+    """Add the mean occupancy of both windows: the mean of the shares of the shows."""
+    for prefix in ("", "previous_"):
+        mean = ratio(f"{prefix}share", f"{prefix}shows")
+        sums = sums.withColumn(f"{prefix}occupancy", round2(mean * 100))
+    return sums
+
+
+def window_sums(facts: DataFrame, f: Filters) -> DataFrame:
+    """Sums of the window and of the window before it, from one pass; ``facts`` covers both."""
+    venues = F.count_distinct(F.when(f.in_window(), F.col("cinema_id"))).alias("venues")
+    return with_occupancy(facts.agg(*window_parts(f), venues))
 
 
 def sales_summary(t: Tables, f: Filters, compare: bool = True) -> DataFrame:

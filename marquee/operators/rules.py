@@ -68,12 +68,16 @@ def pricing_recommendation_summary(t: Tables, f: Filters) -> DataFrame:
 # ---------------------------------------------------------------- advertising
 
 
-def ad_sums(facts: DataFrame, *keys: str) -> DataFrame:
-    """Shows, audience, revenue and occupancy per title and start hour, within ``keys``."""
+def ad_sums(facts: DataFrame, *keys: str, shows: Column | None = None) -> DataFrame:
+    """Shows, audience, revenue and occupancy per title and start hour, within ``keys``.
+
+    ``shows`` counts the shows where a row of ``facts`` stands for several.
+    """
+    shows = F.count(F.lit(1)) if shows is None else shows
     return (
         facts.groupBy(*keys, "movie_id", "time_slot")
         .agg(
-            F.count(F.lit(1)).alias("total_shows"),
+            shows.alias("total_shows"),
             F.sum("tickets").alias("audience_size"),
             F.sum("revenue").alias("amount"),
             F.coalesce(F.sum("total_capacity"), F.lit(0)).alias("capacity"),

@@ -1,20 +1,20 @@
 """Figures for every scope at once: the network, each city, each venue, each room.
 
-A show belongs to four scopes. Shows are multiplied only after tickets are summed to shows,
-and the sums per scope are combined inside the tasks, so the scope that holds everything
-costs no more than the others.
+A show belongs to four scopes. Tickets are summed to shows and shows to rooms before anything
+is multiplied by four, and the sums per scope are combined inside the tasks, so the scope that
+holds everything costs no more than the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.expr import growth, money, rounded_ratio
 from marquee.functions.frames import top_per
 from marquee.operators import rules, sales
-from marquee.operators.kpi import window_sums
+from marquee.operators.kpi import PARTS, window_parts, with_occupancy
 from marquee.plans.facts import session_facts, shows, venues
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
@@ -119,19 +119,28 @@ def scope_expand(t: Tables, f: Filters) -> DataFrame:
     return by_scope(shows(t, f), label=True).select("schedule_id", *SCOPE, "label")
 
 
+ROOM = ["studio_id", "cinema_id", "city"]
+
+
+def room_windows(t: Tables, f: Filters, facts: DataFrame, *more: Column) -> DataFrame:
+    """Sums of both windows per room, and the further aggregates ``more``."""
+    return facts.groupBy(*ROOM).agg(*window_parts(f), *more)
+
+
 def scope_metrics(t: Tables, f: Filters) -> DataFrame:
     """Sales overview of every scope; a scope without shows has zeros."""
-    return scope_overview(t, f, window_sums(by_scope(session_facts(t, f.with_previous())), f, *SCOPE))
+    return scope_overview(t, f, room_windows(t, f, session_facts(t, f.with_previous())))
 
 
-def scope_overview(t: Tables, f: Filters, sums: DataFrame, *more: str) -> DataFrame:
-    """The overview from sums per scope, with the further columns ``more`` of the sums."""
-    figures = ["tickets", "capacity", "revenue", "occupancy"]
-    figures += [f"previous_{name}" for name in ("tickets", "revenue", "occupancy")]
-    figures += more
+def scope_overview(t: Tables, f: Filters, rooms: DataFrame, **more: Column) -> DataFrame:
+    """The overview from sums per room, with the further aggregates ``more`` over the rooms."""
+    sums = by_scope(rooms).groupBy(*SCOPE).agg(
+        *[F.sum(name).alias(name) for name in PARTS], *[column.alias(name) for name, column in more.items()]
+    )
     rows = scope_list(t).join(sums, SCOPE, "left")
-    for name in figures:
+    for name in [*PARTS, *more]:
         rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast(sums.schema[name].dataType)))
+    rows = with_occupancy(rows)
     return rows.select(
         *SCOPE,
         "label",
@@ -149,8 +158,20 @@ def scope_overview(t: Tables, f: Filters, sums: DataFrame, *more: str) -> DataFr
     )
 
 
+def _room_sums(t: Tables, f: Filters, *keys: str) -> DataFrame:
+    """Shows of the window summed per room and ``keys``, under the names the shows have."""
+    return (
+        session_facts(t, f)
+        .groupBy(*ROOM, *keys)
+        .agg(
+            F.count(F.lit(1)).alias("shows"),
+            *[F.sum(name).alias(name) for name in ("tickets", "revenue", "total_capacity")],
+        )
+    )
+
+
 def scope_time_slots(t: Tables, f: Filters) -> DataFrame:
-    return sales.slot_scores(by_scope(session_facts(t, f)), *SCOPE)
+    return sales.slot_scores(by_scope(_room_sums(t, f, "time_slot")), *SCOPE)
 
 
 def scope_peak_quiet(t: Tables, f: Filters) -> DataFrame:
@@ -197,7 +218,7 @@ def scope_ad_slots(t: Tables, f: Filters, top_n: int = 3) -> DataFrame:
     be many, so the join key has a salt: the extremes of a scope that can be large are repeated
     once per salt, and its titles spread over as many tasks. A room is small and has one salt.
     """
-    sums = rules.ad_sums(by_scope(session_facts(t, f)), *SCOPE)
+    sums = rules.ad_sums(by_scope(_room_sums(t, f, "movie_id", "time_slot")), *SCOPE, shows=F.sum("shows"))
     titled = sums.join(t.movies.select("movie_id", "title", "genre"), "movie_id")
     salts = F.when(F.col("scope_type") == "studio", F.lit(1)).otherwise(F.lit(SALTS))
     salted = titled.withColumn("_salt", F.pmod(F.xxhash64("movie_id", "time_slot"), salts))
