@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import language, neardup
+from marquee.llm import decontaminate, language, neardup, secrets
 from marquee.llm.shipping import ship
 
 
@@ -14,6 +14,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(_table(spark, folder, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per document and benchmark item found in it; clean documents have none."""
+    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(_table(spark, folder, "documents"))
 
@@ -23,7 +32,7 @@ def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_language, op10_neardup]
+    found = [op4_secrets, op6_decontaminate, op7_language, op10_neardup]
     return {f.__name__: f for f in found}
 
 

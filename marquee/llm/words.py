@@ -15,6 +15,10 @@ import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Bytes of words: all but white space, or letters and digits (with all letters beyond ASCII).
+WORD = ~_SPACE
+PLAIN = np.zeros(256, bool)
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -76,12 +80,12 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 class Words:
     """Word hashes of some rows: ``hashes[first[i]:first[i + 1]]`` are the words of row i."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, inner: np.ndarray = WORD):
         self.data, self.offsets = text_bytes(column)
         data = self.data
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = inner[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         ends = inside.copy()
