@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import decontaminate, language, neardup, secrets
+from marquee.llm import decontaminate, language, neardup, pieces, secrets
 from marquee.llm.shipping import ship
 
 
@@ -18,6 +18,10 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(_table(spark, folder, "documents"))
 
 
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(_table(spark, folder, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """A row per document and benchmark item found in it; clean documents have none."""
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -32,7 +36,7 @@ def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_secrets, op6_decontaminate, op7_language, op10_neardup]
+    found = [op4_secrets, op5_pieces, op6_decontaminate, op7_language, op10_neardup]
     return {f.__name__: f for f in found}
 
 
