@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import decontaminate, language, neardup, pieces, secrets
+from marquee.llm import decontaminate, language, neardup, pieces, secrets, substrings
 from marquee.llm.shipping import ship
 
 
@@ -31,12 +31,16 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(_table(spark, folder, "documents"))
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.report(_table(spark, folder, "documents"))
+
+
 def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.group(_table(spark, folder, "documents"), neardup.Options(shingle=3, percent=85))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_secrets, op5_pieces, op6_decontaminate, op7_language, op10_neardup]
+    found = [op4_secrets, op5_pieces, op6_decontaminate, op7_language, op8_substrings, op10_neardup]
     return {f.__name__: f for f in found}
 
 
