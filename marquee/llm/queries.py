@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, language, neardup, pieces, secrets, substrings
+from marquee.llm import ann, chat, decontaminate, language, neardup, packing, pieces, secrets, substrings, urls
 from marquee.llm.shipping import ship
 
 
@@ -14,6 +15,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages are labelled by the quality and toxicity labels of their number."""
+    labels = urls.page_labels(_table(spark, folder, "labels"))
+    return urls.judge(_table(spark, folder, "pages"), labels)
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(packing.pack(_table(spark, folder, "documents")))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(_table(spark, folder, "documents"))
 
@@ -35,12 +51,33 @@ def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.report(_table(spark, folder, "documents"))
 
 
+# A text made of the template's own control strings.
+_OWN_MARKS = "\\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", _OWN_MARKS), (-7, 1, "assistant", _OWN_MARKS)], "conv_id long, turn long, role string, text string")
+    return chat.report(chat.windows(turns.union(own)))
+
+
 def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.group(_table(spark, folder, "documents"), neardup.Options(shingle=3, percent=85))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_secrets, op5_pieces, op6_decontaminate, op7_language, op8_substrings, op10_neardup]
+    found = [
+        op1_ann,
+        op2_urls,
+        op3_packing,
+        op4_secrets,
+        op5_pieces,
+        op6_decontaminate,
+        op7_language,
+        op8_substrings,
+        op9_chat,
+        op10_neardup,
+    ]
     return {f.__name__: f for f in found}
 
 
