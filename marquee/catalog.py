@@ -159,6 +159,10 @@ LISTS: dict[str, Operator] = {
     "movies_list": lists.movies_list,
     "movies_list_page": lambda t: lists.movies_list(t, search="BLUE", genre="bolt", page_number=2),
     "movies_count": lambda t: lists.movies_count(t, search="BLUE", genre="bolt"),
+    "movies_count_rating": lambda t: lists.movies_count(t, rating_usia="13+", limit=500),
+    "studios_count": lambda t: lists.studios_count(t, screen_type="BUILDING", limit=50),
+    "schedules_count": lambda t: lists.schedules_count(t, WINDOW, status="Delayed", limit=500),
+    "tickets_count": lambda t: lists.tickets_count(t, WINDOW.scoped(payment_type="QRIS"), limit=7),
     "studios_list": lists.studios_list,
     "studios_list_format": lambda t: lists.studios_list(t, screen_type="BUILDING"),
     "schedules_list": lambda t: lists.schedules_list(t, WINDOW),
@@ -227,6 +231,12 @@ OTHERS: dict[str, WithFolder] = {
     "insight_history": lambda spark, d: insights.decoded(
         insights.insight_history(_stored(spark, d), scope_type="city", start="2024-01-29", end="2024-02-25")
     ),
+    "insight_history_count": lambda spark, d: insights.insight_history_count(
+        _stored(spark, d), scope_type="city", start="2024-01-29", end="2024-02-25", limit=3
+    ),
+    "insight_latest_page": lambda spark, d: insights.decoded(
+        insights.insight_latest_page(_stored(spark, d), page_number=2, limit=40)
+    ),
     "insight_latest": lambda spark, d: insights.decoded(insights.insight_latest(_stored(spark, d))),
     "insight_latest_counts": lambda spark, d: insights.insight_latest_counts(_stored(spark, d)),
     "insight_payload_normalized": _responses,

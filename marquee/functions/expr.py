@@ -121,10 +121,10 @@ def number_text(value) -> Column:
 
 
 def fill(template: str, **values) -> Column:
-    """Fill the ``{name}`` fields of a fixed text with columns."""
+    """Fill the ``{name}`` fields of a fixed text with columns; a missing value is an empty field."""
     parts, rest = [], template
     while "{" in rest:
         head, _, tail = rest.partition("{")
         name, _, rest = tail.partition("}")
-        parts += [F.lit(head), as_col(values[name]).cast("string")]
+        parts += [F.lit(head), F.coalesce(as_col(values[name]).cast("string"), F.lit(""))]
     return F.concat(*parts, F.lit(rest))

@@ -69,10 +69,18 @@ def top_numbered(frame: DataFrame, order: list[Column], n: int, name: str = "ran
     return frame.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def page(frame: DataFrame, order: list[Column], page_number: int | None = None, limit: int = 20, most: int = 100):
+def page(frame: DataFrame, order: list[Column], page_number: int | None = None, limit: int = 20):
     """One page of a frame in a total order; the whole frame where no page is asked for."""
     if page_number is None:
         return frame
-    size = min(limit, most) if limit > 0 else 20
-    number = page_number if page_number > 0 else 1
-    return frame.orderBy(*order).offset((number - 1) * size).limit(size)
+    if page_number < 1 or limit < 1:
+        raise ValueError("page and limit start at 1")
+    return frame.orderBy(*order).offset((page_number - 1) * limit).limit(limit)
+
+
+def totals(frame: DataFrame, limit: int = 20) -> DataFrame:
+    """Rows of a frame, and its pages of the size that :func:`page` takes."""
+    if limit < 1:
+        raise ValueError("limit starts at 1")
+    pages = F.ceil(F.col("total") / F.lit(limit)).cast("long")
+    return frame.agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", pages)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.expr import round2
-from marquee.functions.frames import first_per, page
+from marquee.functions.frames import first_per, page, totals
 from marquee.operators import actions, scopes
 from marquee.operators.scopes import SCOPE
 from marquee.plans.facts import rolled
@@ -97,7 +97,13 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
 
 
 def newest_first() -> list[Column]:
-    return [F.desc("period_end"), F.desc("updated_at"), F.asc("scope_type"), F.asc("scope_value"), F.desc("period_start")]
+    return [
+        F.desc_nulls_last("period_end"),
+        F.desc_nulls_last("updated_at"),
+        F.asc("scope_type"),
+        F.asc("scope_value"),
+        F.desc_nulls_last("period_start"),
+    ]
 
 
 def insight_history(
@@ -122,6 +128,26 @@ def insight_history(
     return page(stored.filter(condition), newest_first(), page_number, limit)
 
 
+def insight_history_count(
+    stored: DataFrame,
+    scope_type: str | None = None,
+    scope_value: str | None = None,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    limit: int = 50,
+) -> DataFrame:
+    """Rows and pages of the same history."""
+    return totals(insight_history(stored, scope_type, scope_value, start, end), limit)
+
+
+def insight_latest_page(
+    stored: DataFrame, scope_type: str | None = None, page_number: int | None = None, limit: int = 20
+) -> DataFrame:
+    """The newest insight of every scope, the latest updated first."""
+    order = [F.desc_nulls_last("updated_at"), F.asc("scope_type"), F.asc("scope_value")]
+    return page(insight_latest(stored, scope_type), order, page_number, limit)
+
+
 def insight_latest(stored: DataFrame, scope_type: str | None = None) -> DataFrame:
     """The newest stored insight of every scope."""
     rows = stored if scope_type is None else stored.filter(F.col("scope_type") == scope_type)

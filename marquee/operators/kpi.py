@@ -197,7 +197,7 @@ def occupancy_summary(t: Tables, f: Filters, group_by: str = "daily") -> DataFra
 
 def movie_stats_summary(t: Tables, f: Filters) -> DataFrame:
     """Titles on show, tickets, best title and best genre; a ticket counts once per genre."""
-    sold = ticket_sums(t)
+    sold = ticket_sums(t, shown=f)
     rows = with_tickets(shows(t, f), sold).groupBy("movie_id").agg(F.sum("tickets").alias("tickets"))
     by_movie = rows.join(t.movies, "movie_id").filter(f.scope("rating_usia"))
     best_movie = by_movie.filter("tickets > 0").agg(
@@ -234,7 +234,7 @@ def movie_stats_summary(t: Tables, f: Filters) -> DataFrame:
 def _seats_by_movie(t: Tables, f: Filters) -> DataFrame:
     """Per title on show: shows, tickets, revenue and seats by category, with the title's columns."""
     sums = (
-        with_tickets(shows(t, f), ticket_sums(t, seats=True))
+        with_tickets(shows(t, f), ticket_sums(t, shown=f, seats=True))
         .groupBy("movie_id")
         .agg(
             F.count(F.lit(1)).alias("shows"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.expr import genre_array, payment_fee, start_seconds
-from marquee.functions.frames import page
+from marquee.functions.frames import page, totals
 from marquee.plans.facts import venues
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
@@ -44,12 +44,11 @@ def movies_list(
     )
 
 
-def movies_count(t: Tables, search: str | None = None, genre: str | None = None, limit: int = 20) -> DataFrame:
+def movies_count(
+    t: Tables, search: str | None = None, genre: str | None = None, rating_usia: str | None = None, limit: int = 20
+) -> DataFrame:
     """Rows and pages of the same list."""
-    rows = movies_list(t, search, genre)
-    return rows.agg(F.count(F.lit(1)).alias("total")).withColumn(
-        "total_pages", F.ceil(F.col("total") / F.lit(limit)).cast("long")
-    )
+    return totals(movies_list(t, search, genre, rating_usia), limit)
 
 
 def studios_list(
@@ -69,6 +68,10 @@ def studios_list(
     )
 
 
+def studios_count(t: Tables, f: Filters = Filters(), screen_type: str | None = None, limit: int = 20) -> DataFrame:
+    return totals(studios_list(t, f, screen_type), limit)
+
+
 def schedules_list(
     t: Tables, f: Filters = Filters(), status: str | None = None, page_number: int | None = None, limit: int = 20
 ) -> DataFrame:
@@ -76,7 +79,7 @@ def schedules_list(
     rows = t.schedules.join(t.studio.select("studio_id", "cinema_id"), "studio_id").filter(
         f.show_window() & f.scope("movie_id", "cinema_id", "studio_id") & _is("status", status)
     )
-    order = [F.desc("show_date"), F.desc(start_seconds()), F.asc("schedule_id")]
+    order = [F.desc_nulls_last("show_date"), start_seconds().desc_nulls_last(), F.asc("schedule_id")]
     return page(rows, order, page_number, limit).select(
         "schedule_id",
         "movie_id",
@@ -89,6 +92,10 @@ def schedules_list(
     )
 
 
+def schedules_count(t: Tables, f: Filters = Filters(), status: str | None = None, limit: int = 20) -> DataFrame:
+    return totals(schedules_list(t, f, status), limit)
+
+
 def _tickets(t: Tables) -> DataFrame:
     return t.tiket.join(t.schedules.select("schedule_id", "movie_id", "studio_id"), "schedule_id").join(
         t.studio.select("studio_id", "cinema_id"), "studio_id"
@@ -110,7 +117,7 @@ def tickets_list(
         & _is("schedule_id", schedule_id)
         & _is("seat_category", seat_category)
     )
-    order = [F.desc("trans_time"), F.asc("tiket_id")]
+    order = [F.desc_nulls_last("trans_time"), F.asc("tiket_id")]
     return page(rows, order, page_number, limit).select(
         F.col("tiket_id").alias("ticket_id"),
         "schedule_id",
@@ -124,6 +131,12 @@ def tickets_list(
     )
 
 
+def tickets_count(
+    t: Tables, f: Filters = Filters(), schedule_id=None, seat_category: str | None = None, limit: int = 20
+) -> DataFrame:
+    return totals(tickets_list(t, f, schedule_id, seat_category), limit)
+
+
 def ticket_detail(t: Tables, tiket_id=None) -> DataFrame:
     """Every ticket, or one, with title, room and venue."""
     rows = _tickets(t) if tiket_id is None else lookup(_tickets(t), "tiket_id", tiket_id)
@@ -167,7 +180,13 @@ def studio_inventory(t: Tables, f: Filters = Filters()) -> DataFrame:
             "cinema_name",
             "city",
         )
-        .orderBy("city", "cinema_name", F.desc("total_capacity"), "studio_name", "studio_id")
+        .orderBy(
+            F.asc_nulls_last("city"),
+            F.asc_nulls_last("cinema_name"),
+            F.desc_nulls_last("total_capacity"),
+            F.asc_nulls_last("studio_name"),
+            "studio_id",
+        )
     )
 
 

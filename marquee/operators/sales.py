@@ -427,7 +427,7 @@ def risk_summary(t: Tables, f: Filters) -> DataFrame:
 
 def _risk_rows(t: Tables, f: Filters) -> DataFrame:
     affected = shows(t, f).filter(_status().isin(*C.CANCELLED, C.DELAYED))
-    return with_tickets(affected, ticket_sums(t)).join(t.movies.select("movie_id", "title"), "movie_id", "left")
+    return with_tickets(affected, ticket_sums(t, shown=f)).join(t.movies.select("movie_id", "title"), "movie_id", "left")
 
 
 def risk_schedules(t: Tables, f: Filters) -> DataFrame:

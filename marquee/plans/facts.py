@@ -39,12 +39,18 @@ def shows(t: Tables, f: Filters) -> DataFrame:
     return all_shows(t).filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
 
 
-def ticket_sums(t: Tables, *extra: str, f: Filters | None = None, seats: bool = False) -> DataFrame:
+def ticket_sums(
+    t: Tables, *extra: str, f: Filters | None = None, shown: Filters | None = None, seats: bool = False
+) -> DataFrame:
     """Tickets and revenue per show and ``extra`` ticket columns; ``f`` filters on sale time.
 
+    ``shown`` is the window of the shows that the sums will be joined with. Where the stored
+    tickets carry the date of their show it prunes their folders; where not, the join alone decides.
     ``seats`` adds a count per known seat category, still one row per show.
     """
     tickets = t.tiket if f is None else t.tiket.filter(f.sale_window())
+    if shown is not None and "show_date" in tickets.columns:
+        tickets = tickets.filter(shown.show_window())
     return tickets.groupBy("schedule_id", *extra).agg(
         F.count(F.lit(1)).alias("tickets"),
         F.sum("final_price").alias("revenue"),
@@ -63,7 +69,7 @@ def with_tickets(show_rows: DataFrame, sums: DataFrame) -> DataFrame:
 
 def _rolled_up(t: Tables, f: Filters) -> DataFrame:
     return (
-        with_tickets(shows(t, f), ticket_sums(t))
+        with_tickets(shows(t, f), ticket_sums(t, shown=f))
         .withColumn("seat_share", ratio("tickets", "total_capacity"))
         .withColumn("time_slot", slot_label())
     )
@@ -92,10 +98,13 @@ def rolled(t: Tables, f: Filters) -> Tables:
 
 
 def covers(t: Tables, f: Filters) -> bool:
-    if t.rollup is None or f.start is None:
+    """The stored rollup has every show of the window; one without dates covers all windows."""
+    if t.rollup is None:
         return False
     first, last = t.rollup_days
-    return first <= f.start and f.end <= last
+    if first is None:
+        return True
+    return f.start is not None and first <= f.start and f.end <= last
 
 
 def session_facts(t: Tables, f: Filters) -> DataFrame:
@@ -112,7 +121,7 @@ def sold_shows(t: Tables, f: Filters, *extra: str) -> DataFrame:
     """Shows in the window that sold something, per ``extra`` ticket columns (inner join)."""
     if not extra and covers(t, f):
         return session_facts(t, f).filter("tickets > 0")
-    return ticket_sums(t, *extra).join(shows(t, f), "schedule_id")
+    return ticket_sums(t, *extra, shown=f).join(shows(t, f), "schedule_id")
 
 
 def sales_facts(t: Tables, f: Filters) -> DataFrame:

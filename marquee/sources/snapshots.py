@@ -9,18 +9,24 @@ read, and a folder that is being read is never written.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.schemas import INSIGHT
-from marquee.session import stored
+from marquee.session import exists, stored
 
 KEY = ["scope_type", "scope_value", "period_start", "period_end"]
-POINTER = T.StructType([T.StructField("period_end", T.DateType()), T.StructField("version", T.LongType())])
+POINTER = T.StructType(
+    [
+        T.StructField("period_end", T.DateType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("folder", T.StringType()),
+    ]
+)
 
 
 def conform(frame: DataFrame, schema: T.StructType = INSIGHT) -> DataFrame:
@@ -58,21 +64,20 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _newest(self) -> dict[date, int]:
-        """The newest version of each period: one entry per day that a run has ended on."""
-        try:
-            pointer = self.spark.read.schema(POINTER).parquet(f"{self.root}/pointer")
-        except AnalysisException:
+    def _newest(self) -> dict[date, tuple[int, str]]:
+        """The newest version of each period and its folder: one entry per day that a run has ended on."""
+        if not exists(self.spark, f"{self.root}/pointer"):
             return {}
-        newest = pointer.groupBy("period_end").agg(F.max("version").alias("version"))
-        return {r["period_end"]: r["version"] for r in newest.collect()}
+        pointer = self.spark.read.schema(POINTER).parquet(f"{self.root}/pointer")
+        newest = pointer.groupBy("period_end").agg(F.max_by(F.struct("version", "folder"), "version").alias("x"))
+        return {r["period_end"]: (r["x"]["version"], r["x"]["folder"]) for r in newest.collect()}
 
     def read(self, periods: set[date] | None = None) -> DataFrame:
         """All insights, or those of periods that end on the given days."""
         newest = self._newest()
         folders = [
-            f"{self.root}/data/version={version}/period_end={day}"
-            for day, version in newest.items()
+            f"{self.root}/data/version={folder}/period_end={day}"
+            for day, (_, folder) in newest.items()
             if periods is None or day in periods
         ]
         if not folders:
@@ -85,12 +90,15 @@ class SnapshotStore:
         # Written once, because it is used twice: for its periods and for its rows.
         rows = stored(conform(incoming), "incoming")
         touched = {r["period_end"] for r in rows.select("period_end").distinct().collect()}
-        version = max(self._newest().values(), default=0)
+        version = max((number for number, _ in self._newest().values()), default=0)
         if not touched:
             return version
         version += 1
         merged = merge(self.read(touched), rows)
-        merged.write.mode("overwrite").partitionBy("period_end").parquet(f"{self.root}/data/version={version}")
-        pointers = self.spark.createDataFrame([(day, version) for day in touched], POINTER)
+        # A name of its own: a second writer, or a run that is repeated, never touches these files.
+        folder = f"{version:08d}-{uuid.uuid4().hex}"
+        data = merged.write.mode("errorifexists").partitionBy("period_end")
+        data.parquet(f"{self.root}/data/version={folder}")
+        pointers = self.spark.createDataFrame([(day, version, folder) for day in touched], POINTER)
         pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
         return version

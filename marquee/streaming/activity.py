@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.schemas import EVENTS, INSIGHT
-from marquee.session import new_folder
+from marquee.session import exists, new_folder
 from marquee.sources.snapshots import SnapshotStore
 
 
@@ -74,14 +74,18 @@ def run_complete(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFra
         .start()
     )
     query.awaitTermination()
+    if not exists(spark, out):  # no micro-batch has run
+        return spark.createDataFrame([], frame.schema)
     rows = spark.read.parquet(out)
     newest = rows.agg(F.max("batch").alias("batch")).scalar()
     return rows.filter(F.col("batch") == newest).drop("batch")
 
 
-def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore) -> DataFrame:
+def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore, files: int = 1) -> DataFrame:
     """Merge insights that arrive as files into the store, one new version per micro-batch.
 
+    ``files`` is the number of files that a micro-batch takes.
+
     A micro-batch that runs twice gives the same table: rows are merged by key and time.
     """
 
@@ -90,6 +94,7 @@ def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore) -> Da
 
     query = (
         spark.readStream.schema(INSIGHT)
+        .option("maxFilesPerTrigger", str(files))
         .parquet(landing)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", new_folder(spark, "upsert-state"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions
 
 from marquee import catalog
-from marquee.operators import actions, kpi, lists, rules, sales, scopes
+from marquee.operators import actions, kpi, lists, rules, sales, scopes, titles
+from marquee.plans import facts
 from marquee.session import new_folder
 from marquee.sources.retail import read_retail
 from marquee.sources.tables import read_parquet, write_parquet
@@ -67,6 +70,46 @@ def test_dates_prune_folders_and_columns(stored_house):
     assert tickets, "tickets are read in two columns"
 
 
+REPORTS = {
+    "time_slots": sales.time_slots,
+    "city_revenue": kpi.city_revenue,
+    "schedule_performance": titles.schedule_performance,
+    "cannibalization": rules.cannibalization,
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_show_dates_prune_folders_of_tickets_too(stored_house, name):
+    plan = plan_of(REPORTS[name](stored_house, F))
+    scans = re.findall(r"FileScan parquet (?:\[.*?\]).*?PartitionFilters: \[(.*?)\], PushedFilters", plan)
+    assert len([x for x in scans if ">= 2024-02-05" in x and "<= 2024-02-08" in x]) >= 2
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_dated_tickets_give_the_same_rows(stored_house, name):
+    plain = replace(stored_house, tiket=stored_house.tiket.drop("show_date"))
+    a, b = (sorted(map(str, REPORTS[name](t, F).collect())) for t in (stored_house, plain))
+    assert a == b and (a or name == "cannibalization")
+
+
+def test_hot_show_and_hot_minute_are_several_files(spark):
+    house = House(spark).cinema().studio().movie().show("A1", "2024-02-05", sold=400).show("A2", "2024-02-05", sold=3)
+    root = new_folder(spark, "tables")
+    write_parquet(house.tables(), root, file_rows=50)
+    t = read_parquet(spark, root)
+    files = t.tiket.groupBy(functions.input_file_name().alias("f")).count().collect()
+    assert len(files) >= 8 and max(r["count"] for r in files) <= 50
+    assert t.tiket.count() == 403 and t.tiket.columns[-1] == "show_date"
+
+
+def test_rollup_without_dates_covers_every_window(spark):
+    t = read_retail(spark, SMALL)
+    once = facts.with_rollup(t, W.without_dates())
+    assert facts.rolled(once, W) is once and facts.rolled(once, W.without_dates()) is once
+    a = sorted(map(str, sales.time_slots(once, W).collect()))
+    assert a == sorted(map(str, sales.time_slots(t, W).collect()))
+
+
 def test_sale_time_and_ids_reach_the_scan(stored_house):
     plan = plan_of(kpi.movie_sales_txn(stored_house, F))
     assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(trans_time,2024-02-05", plan)

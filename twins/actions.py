@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee import constants as C
+from twins import values as C
 from twins import base
 from twins.base import END, START, big, growth, money, num, pct, r2, rratio, sql
 from twins.rules import AD_ORDER, ads, prices
@@ -248,6 +248,11 @@ QUERIES = {
     "stream_upsert": STORED + "SELECT * FROM stored",
     "insight_history": STORED
     + f"SELECT * FROM stored WHERE scope_type = 'city' AND period_start >= '{START}' AND period_end <= '{END2}'",
+    "insight_history_count": STORED
+    + f"""SELECT COUNT(*) AS total, CAST(CEIL(COUNT(*) / 3.0) AS BIGINT) AS total_pages FROM stored
+        WHERE scope_type = 'city' AND period_start >= '{START}' AND period_end <= '{END2}'""",
+    "insight_latest_page": STORED
+    + f"SELECT * FROM stored WHERE period_end = '{END2}' ORDER BY updated_at DESC, scope_type, scope_value LIMIT 40 OFFSET 40",
     "insight_latest": STORED + f"SELECT * FROM stored WHERE period_end = '{END2}'",
     "insight_latest_counts": STORED
     + f"""SELECT COUNT(*) AS total_items, """

@@ -42,28 +42,28 @@ RANK_SELECT = f"""SELECT movie_id, title, {GENRE_TEXT} AS genre, rating_usia, du
 
 
 def cinema_ctes(window: bool) -> str:
+    """Everything about a venue from one table at (venue, room, title): what was sold in the sale
+    window over all shows ever planned, and the seats shown in the window."""
     sale = SALE_WINDOW if window else "TRUE"
     shown = f"show_date {WINDOW}" if window else "TRUE"
     return f"""
-, ft AS (SELECT * FROM tiket WHERE {sale})
-, cm AS (SELECT cinema_id, cinema_name, city, address, COUNT(tiket_id) AS total_tickets,
-    COALESCE(SUM(final_price), 0) AS total_revenue,
-    COUNT(DISTINCT CASE WHEN tiket_id IS NOT NULL THEN studio_id END) AS active_studios
-    FROM shows LEFT JOIN ft USING (schedule_id) GROUP BY 1, 2, 3, 4)
-, am AS (SELECT cinema_id, COUNT(DISTINCT movie_id) AS active_movies, SUM(total_capacity) AS total_capacity
-    FROM shows WHERE {shown} GROUP BY 1)
-, tm AS (SELECT cinema_id, movie_id, title, COUNT(tiket_id) AS n,
-    ROW_NUMBER() OVER (PARTITION BY cinema_id ORDER BY COUNT(tiket_id) DESC, title, movie_id) AS rn
-    FROM shows JOIN movies USING (movie_id) LEFT JOIN ft USING (schedule_id) GROUP BY 1, 2, 3)
-, tg AS (SELECT cinema_id, g, COUNT(tiket_id) AS n,
-    ROW_NUMBER() OVER (PARTITION BY cinema_id ORDER BY COUNT(tiket_id) DESC, g) AS rn
-    FROM shows JOIN genre_of USING (movie_id) LEFT JOIN ft USING (schedule_id) GROUP BY 1, 2)
-, venue AS (SELECT cm.*, COALESCE(am.active_movies, 0) AS active_movies,
-    {big('COALESCE(am.total_capacity, 0)')} AS total_capacity,
-    tm.movie_id AS top_movie_id, tm.title AS top_movie_title, tm.n AS top_movie_tickets, tg.g AS top_genre,
-    tg.n AS top_genre_tickets, {pct('total_tickets', 'COALESCE(am.total_capacity, 0)')} AS occupancy
-    FROM cm LEFT JOIN am USING (cinema_id) LEFT JOIN tm ON cm.cinema_id = tm.cinema_id AND tm.rn = 1
-    LEFT JOIN tg ON cm.cinema_id = tg.cinema_id AND tg.rn = 1)
+, room_title AS (SELECT cinema_id, studio_id, movie_id, COUNT(tiket_id) AS sold, SUM(final_price) AS paid
+    FROM shows LEFT JOIN (SELECT * FROM tiket WHERE {sale}) USING (schedule_id) GROUP BY ALL)
+, on_screen AS (SELECT cinema_id, studio_id, movie_id, SUM(total_capacity) AS seats FROM shows WHERE {shown} GROUP BY ALL)
+, figures AS (SELECT cinema_id, {big('SUM(sold)')} AS total_tickets, COALESCE(SUM(paid), 0) AS total_revenue,
+    COUNT(DISTINCT studio_id) FILTER (sold > 0) AS active_studios,
+    COUNT(DISTINCT movie_id) FILTER (on_screen.seats IS NOT NULL) AS active_movies,
+    {big('COALESCE(SUM(on_screen.seats), 0)')} AS total_capacity
+    FROM room_title LEFT JOIN on_screen USING (cinema_id, studio_id, movie_id) GROUP BY 1)
+, best_title AS (SELECT cinema_id, movie_id AS top_movie_id, title AS top_movie_title, {big('SUM(sold)')} AS top_movie_tickets
+    FROM room_title JOIN movies USING (movie_id) GROUP BY 1, 2, 3
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY cinema_id ORDER BY SUM(sold) DESC, title, movie_id) = 1)
+, best_genre AS (SELECT cinema_id, g AS top_genre, {big('SUM(sold)')} AS top_genre_tickets
+    FROM room_title JOIN genre_of USING (movie_id) GROUP BY 1, 2
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY cinema_id ORDER BY SUM(sold) DESC, g) = 1)
+, venue AS (SELECT cinema.cinema_id, cinema_name, city, address, figures.* EXCLUDE (cinema_id),
+    best_title.* EXCLUDE (cinema_id), best_genre.* EXCLUDE (cinema_id), {pct('total_tickets', 'total_capacity')} AS occupancy
+    FROM figures JOIN cinema USING (cinema_id) LEFT JOIN best_title USING (cinema_id) LEFT JOIN best_genre USING (cinema_id))
 """
 
 
@@ -82,7 +82,7 @@ LAST_HOUR = """
 LAST = f"COUNT(*) AS tickets_sold, {dbl('SUM(final_price)')} AS revenue"
 
 VENUE_STATUS = """SELECT cinema_id, cinema_name, city,
-  CASE WHEN total_tickets > 0 THEN 'active' ELSE 'inactive' END AS status FROM cm"""
+  CASE WHEN total_tickets > 0 THEN 'active' ELSE 'inactive' END AS status FROM venue"""
 
 QUERIES = {
     "session_facts": sql(

@@ -1,6 +1,6 @@
 """SQL of the lists, the alerts, the reports given by formula and the streams."""
 
-from marquee import constants as C
+from twins import values as C
 from twins.actions import S, SUMS, scoped
 from twins.base import GENRE_TEXT, WINDOW, big, day, dbl, minmax, money, pct, r2, rratio, sql
 from twins.kpi import LAST_HOUR, cinema_ctes
@@ -42,6 +42,10 @@ SHOW_LIST = f"""SELECT schedule_id, movie_id, studio_id, cinema_id, {day('show_d
   {dbl('price')} AS price, status FROM shows"""
 
 
+def counted(rows: str, limit: int) -> str:
+    return f"SELECT COUNT(*) AS total, CAST(CEIL(COUNT(*) / {limit}.0) AS BIGINT) AS total_pages FROM {rows}"
+
+
 def stream(slide: int = 60, closed: bool = False) -> str:
     n = 60 // slide
     keep = "WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR" if closed else ""
@@ -60,6 +64,10 @@ QUERIES = {
         """SELECT COUNT(*) AS total, CAST(CEIL(COUNT(*) / 20.0) AS BIGINT) AS total_pages FROM movies
         WHERE title ILIKE '%BLUE%' AND genre ILIKE '%bolt%'"""
     ),
+    "movies_count_rating": sql(counted("movies WHERE rating_usia = '13+'", 500)),
+    "studios_count": sql(counted("studio WHERE screen_type = 'BUILDING'", 50)),
+    "schedules_count": sql(counted(f"shows WHERE show_date {WINDOW} AND status = 'Delayed'", 500)),
+    "tickets_count": sql(counted("sold_txn WHERE payment_type = 'QRIS'", 7)),
     "studios_list": sql("SELECT studio_id, cinema_id, studio_name, total_capacity, screen_type FROM studio"),
     "studios_list_format": sql(
         "SELECT studio_id, cinema_id, studio_name, total_capacity, screen_type FROM studio WHERE screen_type = 'BUILDING'"

@@ -1,6 +1,6 @@
 """SQL of the rule-based reports."""
 
-from marquee import constants as C
+from twins import values as C
 from twins.base import END, GENRE_TEXT, START, big, day, growth, minmax, money, pct, r2, rratio, sql
 from twins.sales import slots
 

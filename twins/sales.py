@@ -1,6 +1,6 @@
 """SQL of the sales reports."""
 
-from marquee import constants as C
+from twins import values as C
 from twins.base import AS_OF, WINDOW, big, day, growth, minmax, money, pct, r2, rratio, sql
 from twins.kpi import GROWTHS, RANK_SELECT, TOTALS, cinema_ctes
 
