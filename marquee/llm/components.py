@@ -52,12 +52,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = whole.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     edges = stored(edges.mapInArrow(_forest, LINK), "links")
     while True:
-        ends = edges.agg(
-            F.count(F.lit(1)).alias("all"),
-            F.count_distinct("u").alias("hung"),
-        ).first()
-        inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        if ends["all"] == ends["hung"] and not inner:
+        # Stars: every node hangs on one other, and nothing hangs on a node that hangs.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
+        if ends.where("ups > 1 or ups = 1 and low = 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
