@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions.frames import attach
 from marquee.schemas import EVENTS
 from marquee.sources.tables import Tables
 
@@ -24,7 +25,8 @@ LAYOUT = {
     "l_discount double, l_returnflag string, l_shipdate timestamp_ntz",
 }
 
-TITLES_ON_SHOW = 48
+# Titles that a third of all shows is spread over; the others are spread over all titles.
+HOT_TITLES = 48
 
 
 def _folded_day(column: str) -> str:
@@ -57,7 +59,7 @@ MOVIES = (
 )
 SCHEDULES = (
     "o_orderkey AS schedule_id",
-    f"(o_orderkey * 7 + o_custkey) % {TITLES_ON_SHOW} AS movie_id",
+    f"(o_orderkey * 7 + o_custkey) % IF(o_orderkey % 3 = 0, {HOT_TITLES}, _titles) AS movie_id",
     "o_custkey AS studio_id",
     f"{_folded_day('o_orderdate')} AS show_date",
     "concat(10 + 3 * (o_orderkey % 4), IF(o_custkey % 3 = 0, ':30:00', ':00:00')) AS start_time",
@@ -83,12 +85,13 @@ def read_retail(spark: SparkSession, root: str) -> Tables:
     def raw(name: str) -> DataFrame:
         return spark.read.schema(LAYOUT[name]).parquet(f"{root}/{name}.parquet")
 
+    titles = raw("part").agg(F.count(F.lit(1)).alias("_titles"))
     return Tables(
         spark=spark,
         cinema=raw("nation").join(raw("region"), F.expr("n_regionkey = r_regionkey")).selectExpr(*CINEMA),
         studio=raw("customer").selectExpr(*STUDIO),
         movies=raw("part").selectExpr(*MOVIES),
-        schedules=raw("orders").selectExpr(*SCHEDULES),
+        schedules=attach(raw("orders"), titles, "_titles").selectExpr(*SCHEDULES),
         tiket=raw("lineitem").selectExpr(*TIKET),
     )
 

@@ -86,7 +86,7 @@ WITH cinema AS (
          CAST(80 + p_size AS BIGINT) AS duration_min
   FROM part
 ), schedules AS (
-  SELECT o_orderkey AS schedule_id, (o_orderkey * 7 + o_custkey) % 48 AS movie_id, o_custkey AS studio_id,
+  SELECT o_orderkey AS schedule_id, (o_orderkey * 7 + o_custkey) % CASE WHEN o_orderkey % 3 = 0 THEN 48 ELSE (SELECT COUNT(*) FROM part) END AS movie_id, o_custkey AS studio_id,
          {_FOLD.format(c='o_orderdate')} AS show_date,
          CAST(10 + 3 * (o_orderkey % 4) AS VARCHAR) || CASE WHEN o_custkey % 3 = 0 THEN ':30:00' ELSE ':00:00' END
            AS start_time,
