@@ -183,8 +183,11 @@ def _parsed(options: Options):
     return parse
 
 
-def _windows(options: Options):
-    """Hashes of the windows of marked stretches; ``asked`` where the answer is not known yet."""
+def _windows(options: Options, asked_only: bool):
+    """Hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
+
+    With ``asked_only`` these alone, with their row and place.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,17 +202,22 @@ def _windows(options: Options):
                 k = first[row] + flat.field(0).to_numpy()
                 settled = flat.field(1).to_numpy(zero_copy_only=False)
                 speaks = flat.field(2).to_numpy(zero_copy_only=False)
+                if asked_only:
+                    speaks = speaks & ~settled
                 k, row, asked = k[speaks], row[speaks], ~settled[speaks]
                 many = found.high[k] - found.low[k] + 1
                 inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at = np.repeat(found.low[k], many) + inner
                 row, asked = np.repeat(row, many), np.repeat(asked, many)
                 hashes = found.hashed(at, at + options.window)
+                if not asked_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(asked)], ["hash", "asked"])
+                    continue
                 keys = part.column(0).to_numpy()[row]
                 place = at - words.first[:-1][row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int32)), pa.array(asked)],
-                    ["hash", "key", "place", "asked"],
+                    [pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int32))],
+                    ["hash", "key", "place"],
                 )
 
     return emit
@@ -257,11 +265,12 @@ def _removed(options: Options):
 MARKS = "array<struct<at:int,settled:boolean,speaks:boolean>>"
 
 
-def removals(docs: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = True) -> tuple[DataFrame, DataFrame]:
     """All rows with their counts, and the changed texts.
 
     The first frame has ``key, doc_id, n_words, digest, whole``: ``whole`` where every word is
-    removed. The second has ``key, n_removed, kept_sha256, kept`` for rows that lose a part.
+    removed. The second has ``key, n_removed, kept_sha256`` and, if asked for, the text ``kept`` for
+    rows that may lose a part.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
@@ -271,10 +280,11 @@ def removals(docs: DataFrame, options: Options = Options()) -> tuple[DataFrame,
     found = found.select("key", "at", F.col("x.symbols").alias("symbol"), F.col("x.names").alias("name"))
     twice = found.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
     twice = stored(twice, "symbols")
+    release(spark)
     shared = stored(found.join(twice, "symbol", "left_semi"), "shared")
     release(spark)
     alike = shared.groupBy("symbol", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("speaker"))
-    alike = stored(alike, "stretches")
+    alike = alike_stored = stored(alike, "stretches")
     # Anchors with a stretch that is alone and another one that it may overlap.
     unsure = alike.groupBy("symbol").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1")
     alike = alike.join(unsure.select("symbol", F.lit(True).alias("unsure")), "symbol", "left")
@@ -296,23 +306,31 @@ def removals(docs: DataFrame, options: Options = Options()) -> tuple[DataFrame,
     whole = (F.col("stretches") > 0) & (F.coalesce("settled", F.lit(0)) >= F.col("stretches"))
     rows = rows.select("key", "doc_id", "n_words", "digest", whole.alias("whole"))
     rows = stored(rows, "rows")
+    drop(parsed, shared, twice, alike_stored)
+    release(spark)
     # Texts are needed where part of one is removed or where one speaks for others.
     part = marks.join(rows.where("whole").select("key").distinct(), "key", "left_anti").select("key", "marks", F.lit(True).alias("part"))
     speak = marks.where("speaks").join(rows.where("whole").select("key").distinct(), "key", "left_semi").select("key", "marks", F.lit(False).alias("part"))
     # A repeated row is settled as a whole, so that its windows may well be counted twice.
     texts = keyed.select("key", "text").join(part.union(speak), "key")
-    drop(shared, twice)
     texts = stored(texts, "texts")
     release(spark)
-    windows = texts.select("key", "text", "marks").mapInArrow(_windows(options), "hash long, key long, place int, asked boolean")
-    windows = stored(windows, "windows")
+    drop(marks)
+    source = texts.select("key", "text", "marks")
+    windows = source.mapInArrow(_windows(options, False), "hash long, asked boolean")
     again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
-    again = windows.where("asked").join(again.select("hash"), "hash", "left_semi")
-    again = again.groupBy("key").agg(F.collect_list("place").alias("places"))
-    left = texts.where("part").join(again, "key", "left")
+    again = stored(again.select("hash"), "repeated")
+    release(spark)
+    # The windows are made a second time; that takes less room than to keep them.
+    asked = source.mapInArrow(_windows(options, True), "hash long, key long, place int").join(again, "hash", "left_semi")
+    places = stored(asked.groupBy("key").agg(F.collect_list("place").alias("places")), "places")
+    drop(again)
+    release(spark)
+    left = texts.where("part").join(places, "key", "left")
     left = left.select("key", "text", "marks", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    left = stored(left.mapInArrow(_removed(options), "key long, n_removed long, kept_sha256 string, kept string"), "kept")
-    drop(texts, windows)
+    left = left.mapInArrow(_removed(options), "key long, n_removed long, kept_sha256 string, kept string")
+    left = stored(left if texts_too else left.drop("kept"), "kept")
+    drop(texts, places)
     release(spark)
     return rows, left
 
@@ -322,8 +340,8 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 def report(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
-    rows, left = removals(docs, options)
-    out = rows.join(left.drop("kept"), "key", "left")
+    rows, left = removals(docs, options, False)
+    out = rows.join(left, "key", "left")
     return out.select(
         "doc_id",
         "n_words",
