@@ -162,7 +162,7 @@ def _row_bytes(words: Words, row: int) -> bytes:
 def _parsed(options: Options):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(2)):
+            for a, b in slices(batch.column(2), 1 << 20):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(2))
                 found = Stretches(words, options)
@@ -191,7 +191,7 @@ def _windows(options: Options, asked_only: bool):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(1))
                 found = Stretches(words, options)
@@ -229,7 +229,7 @@ def _removed(options: Options):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(1))
                 found = Stretches(words, options)
