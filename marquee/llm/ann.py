@@ -100,7 +100,8 @@ def nearest_in_tile(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray,
     out = []
     for i in range(0, len(row), 1 << 16):
         x, y = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
-        out.append(np.einsum("ij,ij->i", q[x], c[y]))
+        # A running sum adds the components in their order, as a plain loop does.
+        out.append(np.cumsum(q[x] * c[y], axis=1)[:, -1])
     score = np.concatenate(out) if out else np.empty(0)
     order = np.lexsort((c_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]

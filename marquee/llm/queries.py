@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, chat, decontaminate, language, neardup, packing, pieces, secrets, substrings, urls
+from marquee.llm import ann, chat, decontaminate, language, neardup, packing, pieces, secrets, sql, substrings, urls
 from marquee.llm.shipping import ship
 
 
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.QUERIES)

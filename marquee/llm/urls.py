@@ -155,8 +155,8 @@ def judge(pages: DataFrame, labels: DataFrame, options: Options = Options()) ->
         "path",
         rule["pattern"].alias("rule"),
         F.coalesce(rule["verdict"], own).alias("verdict"),
-        "rate",
-        "lower",
+        F.round("rate", 6).alias("rate"),
+        F.round("lower", 6).alias("lower"),
     )
 
 

@@ -87,7 +87,7 @@ def test_edges(documents):
     frame = clashing(documents([*texts.items(), (8, None)]), "ids", "row", "parts", "block")
     assert documents_of(packing.pack(frame, options), options) == texts
     assert packing.pack(documents([])).count() == 0 and packing.pack(documents([(1, None)])).count() == 0
-    twice = packing.pack(documents([(1, "same"), (1, "same"), (None, "same")]), options).first()
+    twice = packing.pack(documents([(1, "same"), (1, "same"), (None, "same")]).coalesce(1), options).first()
     assert [p["doc_id"] for p in twice["parts"]] == [1, 1, None]
 
 
