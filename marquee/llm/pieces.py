@@ -25,6 +25,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +52,7 @@ class Options:
     model: str = MODEL
     samples: int = 2
     power: float = 0.5
-    nodes: int = 1_000_000
+    nodes: int = 600_000
     seed: int = 3
 
 
@@ -110,7 +111,7 @@ class Lattices:
         self.number: dict[str, int] = {}
         self.rare.clear()
         self.base, self.size, self.first = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.cum, self.log = np.empty(0), np.empty(0)
+        self.cum, self.log = np.empty(0, np.float32), np.empty(0, np.float32)
         self.piece, self.step = np.empty(0, np.int32), np.empty(0, np.int32)
         self.node, self.parts = np.empty(0, np.int32), np.empty(0, bool)
 
@@ -160,36 +161,39 @@ class Lattices:
         src, length, piece = np.concatenate(src[::-1]), np.concatenate(length[::-1]), np.concatenate(piece[::-1])
         weight = np.where(piece >= 0, self.v.weights[np.maximum(piece, 0)], np.nan)
         weight = np.where(np.isnan(weight), self.unknown, weight)
-        # Nodes from the ends of the words backwards; edges of a node stay longest first.
-        left = stop - np.arange(len(marks))
-        order = np.argsort(left[src] * len(marks) + src, kind="stable")
-        total = np.zeros(len(marks) + 1)
-        s, d, w = src[order], src[order] + length[order], weight[order]
-        dist = left[s]
-        bounds = np.searchsorted(dist, np.arange(1, dist[-1] + 2)) if len(dist) else np.zeros(1, np.int64)
-        # An edge to the end of its word leads to no sum.
-        ends = d == stop[s]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            value = w[a:b] + np.where(ends[a:b], 0.0, total[d[a:b]])
-            cut = np.flatnonzero(np.concatenate(([True], s[a + 1 : b] != s[a : b - 1])))
-            most = np.maximum.reduceat(value, cut)
-            rep = np.repeat(most, np.diff(np.concatenate((cut, [b - a]))))
-            total[s[a:b][cut]] = most + np.log(np.add.reduceat(np.exp(value - rep), cut))
+        # Edges by node, the longest first; the parts are ascending runs, which the sort makes use of.
         order = np.argsort(src, kind="stable")
         src, length, piece, weight = src[order], length[order], piece[order], weight[order]
+        first = np.searchsorted(src, np.arange(len(marks) + 1))
         d = src + length
+        # Sums from the ends of the words backwards; an edge to an end leads to no sum.
+        left = (stop - np.arange(len(marks))).astype(np.int32)
+        nodes = np.argsort(left.astype(np.int16) if left.max() < 1 << 15 else left, kind="stable")
+        many = np.diff(first)[nodes]
+        starts = np.cumsum(many) - many
+        by_left = np.arange(len(src)) - np.repeat(starts, many) + np.repeat(first[nodes], many)
+        total = np.zeros(len(marks) + 1)
+        w, to, ends = weight[by_left], d[by_left], d[by_left] == stop[src[by_left]]
+        bounds = np.searchsorted(left[nodes], np.arange(1, left.max() + 2))
+        starts = np.concatenate((starts, [len(src)]))
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            a, b = starts[x], starts[y]
+            value = w[a:b] + np.where(ends[a:b], 0.0, total[to[a:b]])
+            cut = starts[x:y] - a
+            most = np.maximum.reduceat(value, cut)
+            total[nodes[x:y]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, many[x:y])), cut))
         log = weight + np.where(d == stop[src], 0.0, total[d]) - total[src]
-        first = np.searchsorted(src, np.arange(len(marks) + 1))
         cum = np.cumsum(np.exp(log))
         cum -= np.concatenate(([0.0], cum))[first[src]]
         cum[first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
-        nodes = len(self.first) - 1
-        self.node = np.concatenate((self.node, (src + nodes).astype(np.int32)))
+        base = len(self.first) - 1
+        self.node = np.concatenate((self.node, (src + base).astype(np.int32)))
         self.parts = np.concatenate((self.parts, np.diff(first)[src] > 1))
         self.number |= zip(words, range(len(self.number), len(self.number) + len(words)), strict=True)
-        self.base = np.concatenate((self.base, end - sizes + nodes))
+        self.base = np.concatenate((self.base, end - sizes + base))
         self.size = np.concatenate((self.size, sizes))
-        self.cum, self.log = np.concatenate((self.cum, cum)), np.concatenate((self.log, np.minimum(log, 0.0)))
+        self.cum = np.concatenate((self.cum, cum.astype(np.float32)))
+        self.log = np.concatenate((self.log, np.minimum(log, 0.0).astype(np.float32)))
         self.first = np.concatenate((self.first, first[1:] + self.first[-1]))
         self.piece, self.step = np.concatenate((self.piece, piece)), np.concatenate((self.step, length))
 
@@ -269,7 +273,7 @@ class _Path:
 
 def _opened(t: Lattices, first, edge, word, since, log0, top, there, keys) -> _Path:
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    log = t.log[edge]
+    log = t.log[edge].astype(np.float64)
     run = np.cumsum(log)
     before = run - log
     before -= np.concatenate(([0.0], run))[first[:-1]][text]
@@ -415,14 +419,24 @@ def _ids(t: Lattices, edges: np.ndarray) -> np.ndarray:
     return ids
 
 
-SAMPLED = "doc_id long, rank int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double"
+SAMPLED = "doc_id long, rank int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double"
+
+
+DIGESTS = "doc_id long, rank int, ids_sha256 string, text_sha256 string, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double"
+
+
+def _decoder(words: Vocabulary):
+    table = [x.replace(BLANK, " ").encode() for x in words.pieces]
+    table[words.bytes_at : words.bytes_at + 256] = [bytes([b]) for b in range(256)]
+    return lambda ids: b"".join(map(table.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:]
 
 
 def sample(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """Up to k distinct segmentations of every text, by falling perturbed log probability.
 
     ``ids`` are little-endian 4-byte numbers. ``inclusion`` is the probability that a segmentation
-    is above the first bound left out; one over it weighs the sample.
+    is above the first bound left out; one over it weighs the sample. Of long texts it may be too
+    small for a number, so its logarithm is given as well.
     """
     words = vocabulary(options)
 
@@ -438,31 +452,30 @@ def sample(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def _sampled_rows(t: Lattices, batch: pa.RecordBatch, options: Options) -> pa.RecordBatch:
     doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     there = [i for i, x in enumerate(texts) if x is not None]
-    out = [(i, 1, None, 0, None, None, None) for i, x in enumerate(texts) if x is None]
+    out = [(i, 1, None, 0, None, None, None, None) for i, x in enumerate(texts) if x is None]
     if there:
         keys = np.array([xxhash.xxh3_64_intdigest(repr(doc[i]), seed=options.seed) for i in there], np.uint64)
         paths, bound = sampled(t, [texts[i] for i in there], keys)
         for rank, p in enumerate(paths, 1):
-            with np.errstate(over="ignore", invalid="ignore"):
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                 share = np.where(np.isneginf(bound), 1.0, -np.expm1(-np.exp(p.log - bound)))
+                log_share = np.where(p.log - bound < -30, p.log - bound, np.log(share))
             ids, rare = t.piece[p.edge], bool((t.piece[p.edge] < 0).any())
             for j, i in enumerate(there):
                 if p.there[j]:
                     own = ids[p.first[j] : p.first[j + 1]]
                     own = _ids(t, p.edge[p.first[j] : p.first[j + 1]]) if rare and (own < 0).any() else own
-                    out.append((i, rank, own.astype("<i4").tobytes(), len(own), float(p.log[j]), float(p.top[j]), float(share[j])))
+                    out.append((i, rank, own.astype("<i4").tobytes(), len(own), float(p.log[j]), float(p.top[j]), float(share[j]), float(log_share[j])))
     out.sort(key=lambda x: (x[0], x[1]))
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    columns = [[doc[x[0]] for x in out], *([x[c] for x in out] for c in range(1, 7))]
-    names = ["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
+    columns = [[doc[x[0]] for x in out], *([x[c] for x in out] for c in range(1, 8))]
+    names = ["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def decoded(ids: Column, options: Options = Options()) -> Column:
     """The texts of id columns as ``sample`` gives them; null stays null."""
-    words = vocabulary(options)
-    table = [x.replace(BLANK, " ").encode() for x in words.pieces]
-    table[words.bytes_at : words.bytes_at + 256] = [bytes([b]) for b in range(256)]
+    decode = _decoder(vocabulary(options))
 
     @F.arrow_udf("string")
     def read(column: pa.Array) -> pa.Array:
@@ -472,22 +485,27 @@ def decoded(ids: Column, options: Options = Options()) -> Column:
             if own is None:
                 out.append(None)
             else:
-                out.append(b"".join(map(table.__getitem__, np.frombuffer(own, "<i4").tolist()))[1:].decode("utf-8", "replace"))
+                out.append(decode(own).decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
     return read(ids)
 
 
 def encoded(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """The samples with a digest of the ids instead of the ids, and whether they decode to the text."""
-    rows = sample(docs, options)
-    return rows.select(
-        "doc_id",
-        "rank",
-        "n_pieces",
-        "log_prob",
-        "perturbed",
-        "inclusion",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), options), 256).alias("text_sha256"),
-    )
+    """The samples with digests of the ids and of the text that they decode to, made where the ids
+    are, so that only the digests leave the workers."""
+    words = vocabulary(options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices, decode = Lattices(words, options), _decoder(words)
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1 << 20):
+                rows = _sampled_rows(lattices, batch.slice(a, b - a), options)
+                ids = [x.as_buffer() for x in rows.column(2)]
+                digests = [None if x is None else hashlib.sha256(x).hexdigest() for x in ids]
+                texts = [None if x is None else hashlib.sha256(decode(x)).hexdigest() for x in ids]
+                columns = [rows.column(0), rows.column(1), pa.array(digests, pa.string()), pa.array(texts, pa.string()), *rows.columns[3:]]
+                names = ["doc_id", "rank", "ids_sha256", "text_sha256", *rows.schema.names[3:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
