@@ -7,9 +7,11 @@ as soon as every slot holds a rank below the next step. Runs of slots are hashed
 
 Documents with equal sets are one class and only its smallest document goes on. Within a band
 bucket, classes are compared with leaders and not with each other: first with the smallest, then,
-where the bucket still holds several components, with more and more others. So large groups of
-near copies cost a row per member, and yet every pair of a bucket is either compared, in one
-component already, or too different in size to be linked. Comparisons are made on whole sets.
+where the bucket still holds several components, with more and more others. In large groups the
+shingles that nobody else has bound what two members can share, so that members with many changes
+of their own are not compared with all others in vain. So large groups of near copies cost a row
+per member, and yet every pair of a bucket is either compared, in one component already, or known
+to be too different. Comparisons are made on whole sets.
 
 Defined results
 * null or blank text: empty set, linked with nothing; the document is its own component.
@@ -29,10 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components
+from marquee.llm.scratch import drop, release
 from marquee.llm.words import Shingles, mix, slices
 from marquee.session import stored
 
@@ -117,57 +120,161 @@ def _signature(options: Options):
 
 
 def _verified(options: Options):
-    """Streams rows sorted by leader and chunk, the leader's text first, and holds one leader's set."""
+    """Streams rows sorted by leader and chunk, the leader's text first, and holds one leader's set.
+
+    Of large groups it also gives a member's shingles that its leader hasn't, and a mask of 128
+    bits of the leader's shingles that the member hasn't.
+    """
     percent, width = options.percent, options.shingle
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leading = None, []
         for batch in batches:
-            us, vs = [], []
-            for a, b in slices(batch.column(4)):
+            us, vs, linked, own_only, missing = [], [], [], [], []
+            for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                sets = Shingles(part.column(4), width)
-                keys = zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)
-                for i, (leader, chunk, member, node) in enumerate(keys):
+                sets = Shingles(part.column("text"), width)
+                keys = zip(*(part.column(c).to_pylist() for c in ("leader", "chunk", "member", "node", "large")), strict=True)
+                for i, (leader, chunk, member, node, large) in enumerate(keys):
                     if at != (leader, chunk):
                         at, leading = (leader, chunk), []
                     own = sets.of(i)
                     if not member:
                         leading.append(own.copy())
                         continue
+                    alike = False
                     for other in leading:
                         both = len(np.intersect1d(own, other, assume_unique=True))
-                        if both and 100 * both >= percent * (len(own) + len(other) - both):
-                            us.append(leader)
-                            vs.append(node)
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                        alike |= both and 100 * both >= percent * (len(own) + len(other) - both)
+                    us.append(leader)
+                    vs.append(node)
+                    linked.append(bool(alike))
+                    if large and len(leading) == 1:
+                        own_only.append(np.setdiff1d(own, leading[0], assume_unique=True).view(np.int64))
+                        bits = np.zeros(128, np.uint8)
+                        bits[(np.setdiff1d(leading[0], own, assume_unique=True) >> np.uint64(57)).astype(np.int64)] = 1
+                        missing.append(np.packbits(bits).view(np.int64).tolist())
+                    else:
+                        own_only.append(None)
+                        missing.append([None, None])
+            columns = [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(linked, pa.bool_()), pa.array(own_only, pa.list_(pa.int64()))]
+            columns += [pa.array([x[k] for x in missing], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "linked", "rest", "low", "high"])
 
     return verify
 
 
 # Members that one copy of a leader's text is compared with.
 _CHUNK = 64
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, options: Options) -> DataFrame:
-    """The pairs ``leader, node`` whose whole sets are similar enough, as links ``u, v``."""
-    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("group") / F.lit(_CHUNK))))
-    members = pairs.join(texts, "node").select("leader", "chunk", F.lit(True).alias("member"), "node", "text")
+# Leaders of a bucket in the second and each later round, times the same number each time.
+_LEADERS = 64
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, options: Options, rest: bool) -> DataFrame:
+    """Exact comparison of the pairs ``leader, node``: ``u, v, linked``, and of large groups ``rest,
+    low, high``."""
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("group"))
+    large = F.lit(rest) & (F.col("group") > _CHUNK)
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("group") / F.lit(_CHUNK)))
+    pairs = pairs.join(sizes, "leader").select("leader", "node", chunk.alias("chunk"), large.alias("large"))
+    members = pairs.join(texts, "node").select("leader", "chunk", F.lit(True).alias("member"), "node", "large", "text")
     leaders = pairs.select("leader", "chunk").distinct().withColumn("node", F.col("leader"))
-    leaders = leaders.join(texts, "node").select("leader", "chunk", F.lit(False).alias("member"), "node", "text")
+    leaders = leaders.join(texts, "node").select("leader", "chunk", F.lit(False).alias("member"), "node", F.lit(False).alias("large"), "text")
     rows = leaders.union(members).repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
-    return rows.mapInArrow(_verified(options), "u long, v long")
+    return rows.mapInArrow(_verified(options), "u long, v long, linked boolean, rest array<long>, low long, high long")
 
 
-def _fits(n: str, m: str, percent: int) -> F.Column:
+def _fits(n: str, m: str, percent: int) -> Column:
     """Sets of these sizes can reach the threshold."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = members.join(labels, "node", "left")
-    return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
+# What is known of a member from the comparison with its bucket's first leader.
+KNOWN = ["size", "own", "shared", "low", "high"]
+
+
+def _can_meet(percent: int) -> Column:
+    """Two members of a bucket, ``x`` and ``y``, can be linked as far as what is known tells.
+
+    Their intersection holds no more than the first leader's shingles that neither lacks, and of
+    their other shingles no more than either has that anyone else has as well.
+    """
+    lacking = F.bit_count(F.col("x.low").bitwiseOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseOR(F.col("y.high")))
+    most = F.col("x.size") - lacking + F.least("x.shared", "y.shared")
+    most = F.least(most, F.col("n") - F.col("x.own"), F.col("m") - F.col("y.own"))
+    known = F.col("x.size").isNotNull() & F.col("y.size").isNotNull()
+    return ~known | (most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+
+
+def _known(compared: DataFrame) -> DataFrame:
+    """``leader, node`` and ``KNOWN`` without the leader's ``size``, of large groups.
+
+    ``own``: shingles of the node that nobody else in its leader's group has; ``shared``: those that
+    others have, but not the leader. Nodes with several texts are left out.
+    """
+    rows = compared.where("rest is not null").select(F.col("u").alias("leader"), F.col("v").alias("node"), "rest", "low", "high")
+    key = F.xxhash64("leader", "shingle")
+    each = rows.select("leader", "node", F.explode("rest").alias("shingle")).select(key.alias("key"), "leader", "node")
+    own = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("leader").alias("leader"), F.min("node").alias("node")).where("n = 1")
+    own = own.groupBy("leader", "node").agg(F.count(F.lit(1)).alias("own"))
+    once = rows.groupBy("leader", "node").agg(
+        F.count(F.lit(1)).alias("texts"), F.max(F.size("rest")).alias("rest"), F.max("low").alias("low"), F.max("high").alias("high")
+    )
+    out = once.where("texts = 1").join(own, ["leader", "node"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return out.select("leader", "node", "own", (F.col("rest") - F.col("own")).alias("shared"), "low", "high")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame, held: DataFrame, options: Options) -> DataFrame:
+    """``node, component`` of the classes, by rounds of comparisons with leaders."""
+    spark = classes.sparkSession
+    percent = options.percent
+    # First round: everyone of a bucket with the smallest node.
+    first = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("x"))
+    first = stored(first.select("bucket", F.col("x.node").alias("leader"), F.col("x.n").alias("m")), "leaders")
+    pairs = members.join(first, "bucket").where((F.col("node") != F.col("leader")) & _fits("n", "m", percent))
+    pairs = stored(pairs.select("leader", "node").distinct(), "pairs")
+    compared = stored(_compare(pairs, texts, options, True), "compared")
+    drop(pairs)
+    release(spark)
+    labels = components(compared.where("linked").select("u", "v").union(held))
+    # Members that are left, with what they share where it is known.
+    members = members.join(first, "bucket").where("node <> leader").join(_known(compared), ["leader", "node"], "left")
+    size = F.when(F.col("own").isNotNull(), F.col("m")).alias("size")
+    members = members.select("bucket", "node", "n", F.struct(size, *KNOWN[1:]).alias("x"))
+    members = stored(members, "buckets")
+    drop(compared, first)
+    most = _LEADERS
+    while True:
+        now = _labelled(members, labels)
+        state = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        now = stored(now.join(state.select("bucket"), "bucket", "left_semi"), "open")
+        drop(members)
+        release(spark)
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(most)), "node")
+        leaders = now.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        leaders = leaders.select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("label").alias("other"))
+        leaders = stored(leaders, "leaders")
+        # Nodes and leaders meet once; where both lead, the smaller one is the leader of the pair.
+        members = now.join(leaders.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads")), ["bucket", "node"], "left")
+        fits = (F.col("label") != F.col("other")) & _fits("n", "m", percent) & _can_meet(percent)
+        pairs = members.join(leaders, "bucket").where(fits & (F.col("leads").isNull() | (F.col("leader") < F.col("node"))))
+        pairs = stored(pairs.select("leader", "node").distinct(), "pairs")
+        if not pairs.isEmpty():
+            compared = stored(_compare(pairs, texts, options, False), "compared")
+            labels = components(compared.where("linked").select("u", "v").union(labels.toDF("u", "v")))
+            drop(compared)
+        # A leader has met everyone in its bucket.
+        members = stored(members.where("leads is null").select("bucket", "node", "n", "x"), "buckets")
+        drop(now, leaders, pairs)
+        if members.isEmpty():
+            return labels
+        most *= _LEADERS
 
 
 def group(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -180,47 +287,15 @@ def group(docs: DataFrame, options: Options = Options()) -> DataFrame:
     keyed = classes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stored(keyed.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
     texts = stored(texts, "texts")
+    release(docs.sparkSession)
     # A document with several texts holds their classes together.
     several = linked.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
     several = linked.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("digest", "node"), "digest")
     held = several.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    labels, compared, per_bucket = components(held), None, 1
-    while True:
-        now = _labelled(members, labels)
-        state = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        open_ = stored(now.join(state.where("a <> b").select("bucket"), "bucket", "left_semi"), "open")
-        # One leader of each of so many parts of a bucket: the smallest node, or a drawn one.
-        turn = F.xxhash64("node", F.lit(per_bucket))
-        part = F.pmod(turn, F.lit(per_bucket))
-        pick = F.min(F.struct(F.lit(0) if per_bucket == 1 else turn, "node", "n", "label")).alias("x")
-        leaders = open_.groupBy("bucket", part.alias("part")).agg(pick)
-        leaders = leaders.select("bucket", F.col("x.node").alias("leader"), F.col("x.n").alias("m"), F.col("x.label").alias("other"))
-        leaders = stored(leaders, "leaders")
-        if leaders.isEmpty():
-            break
-        pairs = open_.join(leaders, "bucket").where((F.col("label") != F.col("other")) & _fits("n", "m", options.percent))
-        # Of two leaders only the smaller is compared with the other, and a pair once.
-        first = F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")
-        both = leaders.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("leads"))
-        pairs = pairs.join(both, ["bucket", "node"], "left")
-        swap = F.coalesce("leads", F.lit(False))
-        pairs = pairs.select(F.when(swap, first[0]).otherwise(F.col("leader")).alias("leader"), F.when(swap, first[1]).otherwise(F.col("node")).alias("node"))
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["leader", "node"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("group"))
-        links = stored(_compare(pairs.join(sizes, "leader"), texts, options), "links")
-        labels = components(links.union(labels.toDF("u", "v")))
-        both_ways = pairs.union(pairs.select("node", "leader").toDF("leader", "node"))
-        compared = both_ways if compared is None else compared.union(both_ways)
-        # A leader has met everyone in its bucket.
-        done = leaders.select("bucket", F.col("leader").alias("node"))
-        members = stored(open_.select("bucket", "node", "n").join(done, ["bucket", "node"], "left_anti"), "buckets")
-        per_bucket = max(16, per_bucket * 4)
+    labels = _linked(classes, members, texts, held, options)
+    drop(texts)
     named = _labelled(classes.select("digest", "node"), labels).withColumnRenamed("label", "component_id")
     out = linked.join(named.select("digest", "component_id"), "digest").select("doc_id", "n", "component_id")
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
