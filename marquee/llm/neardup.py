@@ -166,6 +166,8 @@ def _verified(options: Options):
 
 # Members that one copy of a leader's text is compared with.
 _CHUNK = 64
+# Members from which on a group's differences from its leader are worth keeping.
+_LARGE = 16
 # Leaders of a bucket in the second and each later round, times the same number each time.
 _LEADERS = 64
 
@@ -174,7 +176,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, options: Options, rest: bool) -
     """Exact comparison of the pairs ``leader, node``: ``u, v, linked``, and of large groups ``rest,
     low, high``."""
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("group"))
-    large = F.lit(rest) & (F.col("group") > _CHUNK)
+    large = F.lit(rest) & (F.col("group") > _LARGE)
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("group") / F.lit(_CHUNK)))
     pairs = pairs.join(sizes, "leader").select("leader", "node", chunk.alias("chunk"), large.alias("large"))
     members = pairs.join(texts, "node").select("leader", "chunk", F.lit(True).alias("member"), "node", "large", "text")
