@@ -41,7 +41,9 @@ class Options:
     ``2 * per_language * most_languages`` in all. ``lengths`` are the words of a piece; short
     ones are there so that scores of short texts are learned as well. The rejection bound is the
     lowest score at which at most ``errors`` of the accepted held-back pieces are wrong, but never
-    so high that more than ``lost`` of the held-back pieces are rejected.
+    so high that more than ``lost`` of the held-back pieces are rejected. Where no more than
+    ``errors`` are wrong without a bound, or no bound is enough, ``lost`` alone sets it. It is never
+    above ``1 - errors``.
     """
 
     buckets: int = 1 << 14
@@ -257,8 +259,9 @@ def fit(languages: list[str], labels: list[int], pieces: list[str], options: Opt
     # Wrong among the pieces from each score upwards.
     share = wrong[order][::-1].cumsum()[::-1] / np.arange(len(order), 0, -1)
     fit_at = np.flatnonzero(share <= options.errors)
-    least = score[order[fit_at[0]]] if len(fit_at) and fit_at[0] else 0.0
-    bound = min(float(least), float(np.quantile(score, options.lost, method="lower")))
+    least = score[order[fit_at[0]]] if len(fit_at) and fit_at[0] else np.inf
+    # A score from 1 - errors on is right often enough, however sure the model is of all pieces.
+    bound = min(float(least), float(np.quantile(score, options.lost, method="lower")), 1 - options.errors)
     return Model(languages, folded, model.bias, float(best), bound)
 
 

@@ -65,3 +65,18 @@ def test_sample_is_bounded(small):
     options = Options(per_language=10)
     languages, labels, pieces = language.sample(language.learnable(small("documents")), options)
     assert len(labels) == len(pieces) <= 2 * 10 * len(languages)
+
+
+def test_a_good_model_rejects_what_it_has_not_learned():
+    """Two languages that are told apart without errors; texts of both at once or of neither fall below the bound."""
+    random = np.random.default_rng(5)
+    parts = {"a": "bakalamanasata", "b": "gedefejevepewe"}
+    made = lambda name, n: " ".join("".join(random.choice([parts[name][k : k + 2] for k in range(0, 14, 2)], 3)) for _ in range(n))
+    labels = [i % 2 for i in range(2000)]
+    pieces = [made("ab"[k], int(random.choice([3, 8, 24, 64]))) for k in labels]
+    model = language.fit(["a", "b"], labels, pieces)
+    score = lambda texts: language.probabilities(language.raw_scores(pa.array(texts), model), model).max(1)
+    assert 0 < model.bound < 1
+    clean = score([made(x, n) for x in "ab" for n in (3, 8, 24, 64) for _ in range(100)])
+    assert (clean < model.bound).mean() <= 0.01
+    assert (score(["qxzz", "zq xzq", "1x", made("a", 1) + " " + made("b", 1)]) < model.bound).any()
