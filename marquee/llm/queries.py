@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, chat, decontaminate, language, neardup, packing, pieces, secrets, sql, substrings, urls
+from marquee.llm import ann, chat, codebooks, decontaminate, language, neardup, negatives, packing, pieces, quality, secrets, sql, substrings, urls
 from marquee.llm.shipping import ship
 
 
@@ -65,6 +65,21 @@ def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.group(_table(spark, folder, "documents"), neardup.Options(shingle=3, percent=85))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; labels of every seventh id are moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, folder, "embeddings").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.compress(_table(spark, folder, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_ann,
@@ -77,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substrings,
         op9_chat,
         op10_neardup,
+        op11_negatives,
+        op12_codebooks,
+        op13_quality,
     ]
     return {f.__name__: f for f in found}
 

@@ -90,8 +90,66 @@ SELECT docs.doc_id, COALESCE(n, 0) AS n_shingles, least(docs.doc_id, COALESCE(c,
 FROM docs LEFT JOIN sizes ON docs.doc_id = sizes.doc_id LEFT JOIN least_id ON docs.doc_id = least_id.doc_id
 """
 
+NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)
+), one AS (SELECT id, MIN({'label': label, 'e': e}) AS x FROM rows GROUP BY 1
+), v AS (SELECT id, x.label AS label, x.e AS e FROM one
+), pairs AS (
+  SELECT a.id AS anchor, v.id, a.label = v.label AS own, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.id % 100 = 0 AND a.id <> v.id AND len(a.e) = len(v.e)
+), positives AS (
+  SELECT anchor, id, score FROM pairs WHERE own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor = n.anchor AND NOT n.own AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+def _round(before: str, near: str, after: str) -> str:
+    """The nearest entry of every part, and the codebooks that follow from it."""
+    return f"""
+, {near} AS (
+  SELECT row, p, MIN({{'d': d, 'k': k}}) AS b FROM (
+    SELECT row, p, k, CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT) AS d
+    FROM parts JOIN {before} USING (p)) GROUP BY 1, 2
+), {after}_means AS (
+  SELECT p, k, list(c ORDER BY i) AS c FROM (
+    SELECT p, b.k AS k, i, floor(SUM(x[i]) / COUNT(*)) AS c FROM {near} JOIN parts USING (row, p), unnest(range(1, len(x) + 1)) AS t(i)
+    GROUP BY 1, 2, 3) GROUP BY 1, 2
+), {after} AS MATERIALIZED (SELECT p, k, coalesce(m.c, o.c) AS c FROM {before} o LEFT JOIN {after}_means m USING (p, k))"""
+
+
+# For vectors of one length that four parts divide, as the table has them.
+CODEBOOKS = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)
+), parts AS MATERIALIZED (SELECT row, p, e[p * len(e) // 4 + 1:(p + 1) * len(e) // 4] AS x FROM v, range(4) AS t(p)
+), starts AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM (SELECT vec_id, MIN(e) AS e FROM v WHERE vec_id IS NOT NULL GROUP BY 1)
+  QUALIFY k < 256
+), book0 AS MATERIALIZED (SELECT p, k, e[p * len(e) // 4 + 1:(p + 1) * len(e) // 4] AS c FROM starts, range(4) AS t(p))
+{"".join(_round(f"book{i}", f"near{i}", f"book{i + 1}") for i in range(5))}
+, coded AS (
+  SELECT row, string_agg(printf('%02x', b.k), '' ORDER BY p) AS code, CAST(SUM(b.d) AS BIGINT) AS error FROM near4 GROUP BY 1
+), digest AS (
+  SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) AS d FROM book4, unnest(range(1, len(c) + 1)) AS t(i)
+)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256
+FROM v LEFT JOIN coded USING (row), digest
+"""
+
 QUERIES = {
     "op1_ann": ANN,
+    "op11_negatives": NEGATIVES,
+    "op12_codebooks": CODEBOOKS,
     "op2_urls": URLS,
     "op8_substrings": SUBSTRINGS,
     "op10_neardup": NEARDUP,

@@ -8,11 +8,11 @@ what lies outside, it is left out: at the ends of a run, a right symbol at the b
 symbol at the end. What remains of a window is a function of its words alone.
 
 1. The window's anchor is the least of its remaining symbols by hash. Windows in a row that share
-   an anchor are one stretch; a stretch is named by its anchor and by a hash of all its words.
+   an anchor are one stretch; a stretch is known by its anchor and 128 bits of all its words.
 2. Anchors that occur once in all documents settle their windows: they are unique.
 3. Stretches that occur twice settle theirs: they are repeated. Copied documents end here.
 4. Only what is left, stretches alike in their anchor and different further out, that is the ends
-   of repeats, are compared window by window. Of equal stretches one speaks for all.
+   of repeats, are compared window by window, in 128 bits. Of equal stretches one speaks for all.
 5. Words in repeated windows are removed.
 
 Groups are only counted, so a sequence that a third of the documents share is one row per task.
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.scratch import drop, release
-from marquee.llm.words import Words, mix, powers, slices
+from marquee.llm.words import Words, mix, slices
 from marquee.session import stored
 
 
@@ -52,29 +52,50 @@ class Options:
 
 
 _BASE = 0xD1342543DE82EF95
-_TABLE: dict[str, np.ndarray] = {}
+# The key of the second half of 128-bit hashes.
+_SECOND = 0x2545F4914F6CDD1D
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLE.get("up", ())) < n:
-        size = max(1 << 20, n)
-        _TABLE["up"], _TABLE["down"] = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
-    return _TABLE["up"], _TABLE["down"]
+class Runs:
+    """128-bit hashes of runs of words, from hashes of runs of 1, 2, 4, ... words.
+
+    A run of any length is covered by two of the largest such runs in it. Every step goes through
+    ``mix``, so no arithmetic of the words themselves makes hashes meet.
+    """
+
+    def __init__(self, words: Words):
+        self.levels = [(words.hashes, words.hashed(_SECOND))]
+
+    def _level(self, k: int) -> tuple[np.ndarray, ...]:
+        while len(self.levels) <= k:
+            half = 1 << len(self.levels) - 1
+            self.levels.append(tuple(mix(x[:-half] * np.uint64(_BASE) + x[half:] + np.uint64(i)) for i, x in enumerate(self.levels[-1])))
+        return self.levels[k]
+
+    def hashed(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the hashes of the words from ``low`` up to ``high``, which are no empty runs."""
+        size = high - low
+        out = np.empty(len(low), np.uint64), np.empty(len(low), np.uint64)
+        # The exponent of the largest power of two in each length.
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(power).tolist():
+            here = np.flatnonzero(power == k)
+            a, b, n = low[here], high[here] - (1 << k), size[here].astype(np.uint64)
+            for half, x in zip(out, self._level(k), strict=True):
+                half[here] = mix(mix(x[a] + n) * np.uint64(_BASE) + x[b])
+        return out
 
 
 class Stretches:
     """Windows of the rows of a slice, in stretches that share an anchor.
 
     Stretch k is of row ``row[k]``; its windows begin at words ``low[k]`` to ``high[k]`` of the
-    slice. ``symbol[k]`` names its anchor, ``name[k]`` all its words.
+    slice. ``symbol[k]`` names its anchor, ``name[k]`` and ``more[k]`` all its words in 128 bits.
     """
 
     def __init__(self, words: Words, options: Options):
-        self.words, w = words, options.window
-        n = len(words.hashes)
-        up, self.down = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words.hashes * up[:n], out=self.sums[1:])
+        self.words, self.window = words, options.window
+        w = self.window
         counts = words.counts()
         # The first word of every window, in order.
         per_row = np.maximum(counts - w + 1, 0)
@@ -83,20 +104,23 @@ class Stretches:
         empty = np.empty(0, np.int64)
         if not len(at):
             self.row, self.low, self.high = empty, empty, empty
-            self.symbol = self.name = np.empty(0, np.uint64)
+            self.symbol = self.name = self.more = np.empty(0, np.uint64)
             return
+        self.runs = Runs(words)
         anchor, symbol = self._anchors(at, options)
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]) | (anchor[1:] < 0)))
         begin = np.flatnonzero(new)
         end = np.concatenate((begin[1:], [len(at)])) - 1
         self.row, self.low, self.high = of[begin], at[begin], at[end]
-        self.name = self.hashed(self.low, self.high + w)
+        self.name, self.more = self.runs.hashed(self.low, self.high + w)
         lone = anchor[begin] < 0
         self.symbol = np.where(lone, self.name, symbol[np.maximum(anchor[begin], 0)])
 
-    def hashed(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences from ``low`` up to ``high``."""
-        return mix((self.sums[high] - self.sums[low]) * self.down[low] + (high - low).astype(np.uint64))
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the hashes of the windows that begin at some words."""
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return self.runs.hashed(at, at + self.window)
 
     def _anchors(self, at: np.ndarray, options: Options) -> tuple[np.ndarray, np.ndarray]:
         """The place of each window's anchor among the last round's symbols, or -1, and the symbols."""
@@ -176,15 +200,16 @@ def _parsed(options: Options):
                         pa.array(digests),
                         pa.ListArray.from_arrays(ends, pa.array(found.symbol.view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(found.name.view(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(found.more.view(np.int64))),
                     ],
-                    ["key", "doc_id", "n_words", "digest", "symbols", "names"],
+                    ["key", "doc_id", "n_words", "digest", "symbols", "names", "mores"],
                 )
 
     return parse
 
 
 def _windows(options: Options, asked_only: bool):
-    """Hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
+    """128-bit hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
 
     With ``asked_only`` these alone, with their row and place.
     """
@@ -209,16 +234,13 @@ def _windows(options: Options, asked_only: bool):
                 inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at = np.repeat(found.low[k], many) + inner
                 row, asked = np.repeat(row, many), np.repeat(asked, many)
-                hashes = found.hashed(at, at + options.window)
+                hashes = [pa.array(x.view(np.int64)) for x in found.windows(at)]
                 if not asked_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(asked)], ["hash", "asked"])
+                    yield pa.RecordBatch.from_arrays([*hashes, pa.array(asked)], ["hash", "more", "asked"])
                     continue
-                keys = part.column(0).to_numpy()[row]
+                keys = part.column(0).take(pa.array(row))
                 place = at - words.first[:-1][row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int32))],
-                    ["hash", "key", "place"],
-                )
+                yield pa.RecordBatch.from_arrays([*hashes, keys, pa.array(place.astype(np.int32))], ["hash", "more", "key", "place"])
 
     return emit
 
@@ -265,6 +287,12 @@ def _removed(options: Options):
 MARKS = "array<struct<at:int,settled:boolean,speaks:boolean>>"
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a 128-bit key of their id and text; null and empty texts are alike."""
+    content = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return docs.select(F.unhex(F.md5(content)).alias("key"), "doc_id", "text")
+
+
 def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = True) -> tuple[DataFrame, DataFrame]:
     """All rows with their counts, and the changed texts.
 
@@ -273,22 +301,22 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     rows that may lose a part.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    schema = "key long, doc_id long, n_words long, digest string, symbols array<long>, names array<long>"
+    keyed = _keyed(docs)
+    schema = "key binary, doc_id long, n_words long, digest string, symbols array<long>, names array<long>, mores array<long>"
     parsed = stored(keyed.mapInArrow(_parsed(options), schema), "parsed")
-    found = parsed.select("key", F.posexplode(F.arrays_zip("symbols", "names")).alias("at", "x"))
-    found = found.select("key", "at", F.col("x.symbols").alias("symbol"), F.col("x.names").alias("name"))
+    found = parsed.select("key", F.posexplode(F.arrays_zip("symbols", "names", "mores")).alias("at", "x"))
+    found = found.select("key", "at", F.col("x.symbols").alias("symbol"), F.col("x.names").alias("name"), F.col("x.mores").alias("more"))
     twice = found.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
     twice = stored(twice, "symbols")
     release(spark)
     shared = stored(found.join(twice, "symbol", "left_semi"), "shared")
     release(spark)
-    alike = shared.groupBy("symbol", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("speaker"))
+    alike = shared.groupBy("symbol", "name", "more").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("speaker"))
     alike = alike_stored = stored(alike, "stretches")
     # Anchors with a stretch that is alone and another one that it may overlap.
     unsure = alike.groupBy("symbol").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1")
     alike = alike.join(unsure.select("symbol", F.lit(True).alias("unsure")), "symbol", "left")
-    marks = shared.join(alike, ["symbol", "name"]).select(
+    marks = shared.join(alike, ["symbol", "name", "more"]).select(
         "key",
         "at",
         (F.col("n") > 1).alias("settled"),
@@ -317,18 +345,18 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     release(spark)
     drop(marks)
     source = texts.select("key", "text", "marks")
-    windows = source.mapInArrow(_windows(options, False), "hash long, asked boolean")
-    again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
-    again = stored(again.select("hash"), "repeated")
+    windows = source.mapInArrow(_windows(options, False), "hash long, more long, asked boolean")
+    again = windows.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
+    again = stored(again.select("hash", "more"), "repeated")
     release(spark)
     # The windows are made a second time; that takes less room than to keep them.
-    asked = source.mapInArrow(_windows(options, True), "hash long, key long, place int").join(again, "hash", "left_semi")
+    asked = source.mapInArrow(_windows(options, True), "hash long, more long, key binary, place int").join(again, ["hash", "more"], "left_semi")
     places = stored(asked.groupBy("key").agg(F.collect_list("place").alias("places")), "places")
     drop(again)
     release(spark)
     left = texts.where("part").join(places, "key", "left")
     left = left.select("key", "text", "marks", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    left = left.mapInArrow(_removed(options), "key long, n_removed long, kept_sha256 string, kept string")
+    left = left.mapInArrow(_removed(options), "key binary, n_removed long, kept_sha256 string, kept string")
     left = stored(left if texts_too else left.drop("kept"), "kept")
     drop(texts, places)
     release(spark)
@@ -354,7 +382,7 @@ def shortened(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """``doc_id, text``: texts with something removed are their kept words joined by one space,
     the others are as they were."""
     rows, left = removals(docs, options)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    keyed = _keyed(docs)
     gone = rows.where("whole").select("key", F.lit(True).alias("whole")).distinct()
     out = keyed.join(gone, "key", "left").join(left.select("key", "kept", "n_removed"), "key", "left")
     kept = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))

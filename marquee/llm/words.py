@@ -13,19 +13,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # Bytes of words: all but white space, or letters and digits (with all letters beyond ASCII).
-WORD = ~_SPACE
+WORD = ~SPACE
 PLAIN = np.zeros(256, bool)
 PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = PLAIN[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-# Bytes hashed at a time; a longer word is hashed alone.
-_SPAN = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+# Words of more bytes are hashed one by one.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,21 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i below n."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        base = 0xD6E8FEB86659FD93
-        _POWERS["up"] = powers(base, _SPAN + 1)
-        _POWERS["down"] = powers(pow(base, -1, 1 << 64), _SPAN + 1)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,7 +68,8 @@ class Words:
         self.data, self.offsets = text_bytes(column)
         data = self.data
         if lower:
-            data = _LOWER[data]
+            data = lowered(data)
+        self._read = data
         inside = inner[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -97,7 +82,11 @@ class Words:
         ends[tails] = inside[tails]
         self.starts, self.stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = _hashed(data, self.starts, self.stops)
+        self.hashes = self.hashed(0)
+
+    def hashed(self, key: int) -> np.ndarray:
+        """The words' hashes under another key."""
+        return hashed(self._read, self.starts, self.stops, key)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -107,23 +96,32 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    up, down = _tables()
-    i = 0
-    while i < len(starts):
-        j = int(np.searchsorted(stops, starts[i] + _SPAN, "right"))
-        if j <= i:
-            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes())
-            i += 1
-            continue
-        low = starts[i]
-        piece = data[low : stops[j - 1]]
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-        a, b = starts[i:j] - low, stops[i:j] - low
-        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(_ODD))
-        i = j
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of each word under a key, eight bytes of all words at a time.
+
+    Every step puts eight more bytes through ``mix``, so that words which differ in one step have
+    different hashes, and others meet by chance alone.
+    """
+    size = stops - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(key))
+    long = np.flatnonzero(size > _LONG)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes(), seed=key)
+    filled = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", filled, strides=(1,))
+    row, at = np.flatnonzero(size <= _LONG), 0
+    while len(row := row[size[row] > at]):
+        lane = eight[starts[row] + at]
+        rest = size[row] - at
+        short = rest < 8
+        lane[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[row] = mix((out[row] ^ lane) + _ODD)
+        at += 8
     return out
 
 

@@ -72,3 +72,14 @@ def test_empty_table_and_texts(documents):
     rows = [(1, f"a  b {long}"), (2, f"{long} c"), (3, "as  it was"), (4, long), (4, long), (5, None)]
     got = sorted((r["doc_id"], r["text"]) for r in substrings.shortened(documents(rows)).collect())
     assert got == [(1, "a b"), (2, "c"), (3, "as  it was"), (4, ""), (4, ""), (5, None)]
+
+
+def test_words_and_windows_that_sums_of_powers_confuse(documents):
+    """Thue-Morse words and runs of words, whose polynomial hashes modulo 2**64 meet their complements'."""
+    mark = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[x ^ flip] for x in mark) for flip in (0, 1)]
+    rest = " ".join(f"w{i}" for i in range(40))
+    runs = [" ".join(("left", "right")[x ^ flip] for x in mark[:1100]) for flip in (0, 1)]
+    rows = [(1, f"{words[0]} {rest}"), (2, f"{words[1]} {rest.replace('w5 ', 'v5 ')}"), (3, runs[0]), (4, runs[1])]
+    rows += [(5, f"x {words[0]} " + "y " * 5), (6, " ".join(words * 20))]
+    assert found(documents(rows)) == brute(rows)

@@ -1,7 +1,6 @@
 import numpy as np
 import pyarrow as pa
 
-from marquee.llm import words as W
 from marquee.llm.words import PLAIN, Shingles, Words, slices
 
 
@@ -29,14 +28,25 @@ def test_plain_words():
     assert Words(pa.array(["a-b, (c) d."]), True, PLAIN).counts().tolist() == [4]
 
 
-def test_words_longer_than_a_span(monkeypatch):
-    monkeypatch.setattr(W, "_SPAN", 64)
-    text = "a " + "x" * 100 + " b " + "x" * 100 + " a"
+def test_long_words_are_hashed_as_a_whole():
+    text = "a " + "x" * 1000 + " b " + "x" * 1000 + " a " + "x" * 999 + "y"
     h = Words(pa.array([text])).hashes
-    assert h[0] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 3
+    assert h[0] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 4
     assert h[0] == Words(pa.array(["a"])).hashes[0]
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    """The sequence whose polynomial hashes modulo powers of two all collide with its complement's."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_any_shape_have_their_own_hashes():
+    words = {thue_morse(n, *pair) for n in (7, 8, 9, 16, 64, 255, 256, 257, 1024, 2048) for pair in ("ab", "ba")}
+    words |= {"a" * n for n in range(1, 300)} | {"a" * n + "\0" for n in range(1, 40)}
+    words = sorted(words)
+    assert len(set(Words(pa.array([" ".join(words)])).hashes.tolist())) == len(words)
+
+
 def test_slices_cover_all_rows():
     column = pa.array(["x" * 10] * 7 + ["y" * 1000] + [None] * 3)
     found = list(slices(column, 25))
