@@ -42,7 +42,9 @@ def difference(spark_frame, con, sql: str):
     if sorted(names) != sorted(sql_names):
         return f"columns differ: {sorted(set(names) ^ set(sql_names))}", len(ours)
     theirs = rows_of(sql_names, rows)
-    odd = [(n, k) for n, k in zip(sql_names, kinds) if any(x in k for x in ("HUGEINT", "DECIMAL", "DATE", "TIME", "INTEGER"))]
+    # INTEGER stands for an int, and for nothing else.
+    short = {f.name for f in spark_frame.schema if f.dataType.simpleString() == "int"}
+    odd = [(n, k) for n, k in zip(sql_names, kinds) if any(x in k for x in ("HUGEINT", "DECIMAL", "DATE", "TIME")) or (k == "INTEGER") != (n in short)]
     if odd:
         return f"types: {odd}", len(ours)
     if len(ours) != len(theirs):
