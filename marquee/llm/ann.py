@@ -1,15 +1,15 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks and query blocks meet all blocks, a tile at a time. A tile is first
-multiplied in 8-bit numbers: with x = s a + e, where a are whole numbers up to 127 and e is what
-rounding leaves, a product x y differs from s t (a b) by at most |e||y| + s|a||f|, all of which are
-known per vector. A pair whose upper bound is below the k-th largest lower bound of its query in
-the tile can't be among the k nearest; the other pairs are computed again in double precision. The
-best k of each tile are merged by heaps, k values per query at a time. No pair is lost, so the
-result is exact.
+A task holds a block of queries and streams a strip of all rows through (see ``grid``), a tile at a
+time. A tile is first multiplied in 8-bit numbers: with x = s a + e, where a are whole numbers up to
+127 and e is what rounding leaves, a product x y differs from s t (a b) by at most
+|e||y| + s|a||f|, all of which are known per vector. A pair whose upper bound is below the k-th best
+score of its query so far, or below the k-th largest lower bound in the tile, can't be among the k
+nearest; the other pairs are computed again in double precision. A strip's best k per query are
+merged by heaps. No pair is lost, so the result is exact.
 
-A query set that grows with the table makes work that grows with its square. Every block is sent
-once per query block; larger blocks mean less traffic and more memory in a task.
+A query set that grows with the table makes work that grows with its square, but what is shuffled
+grows with the blocks of queries, and what comes out of the tiles with the strips.
 
 Defined results
 * null, empty and zero vectors, and vectors with a null or non-finite component, take no part;
@@ -17,6 +17,8 @@ Defined results
 * vectors are compared with those of their own length only.
 * equal rows (id and vector) count once. Other rows with the query's id are no candidates.
 * ties go to the smaller id. Fewer candidates than k: all of them. An empty table: no rows.
+* where bounds leave the range of doubles, pairs are scored; where scores do, they are infinite,
+  and those that are no number come last.
 * other columns are never looked at, whatever their names.
 """
 
@@ -24,27 +26,28 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.grid import Best, Grid, dealt, fields, matrix
 from marquee.session import stored
 
 
 @dataclass(frozen=True)
 class Options:
-    """``rows``: vectors of a block, ``queries``: vectors of a query block."""
+    """``rows`` and ``queries``: those of a tile."""
 
     k: int = 20
     rows: int = 2048
-    queries: int = 1024
+    queries: int = 512
+    grid: Grid = field(default_factory=Grid)
 
 
 FOUND = "query_id long, vec_id long, score double"
-_NEVER = np.float64(-np.inf)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,16 +58,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("id"), values.alias("vector")).distinct()
 
 
-def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most about ``size`` vectors of one length, as bytes: ids and components."""
-    counts = vectors.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(size))
-    rows = vectors.withColumn("length", F.size("vector")).join(counts.select("length", parts.alias("parts")), "length")
-    part = F.pmod(F.xxhash64("id", "vector"), F.col("parts"))
-    packed = rows.groupBy("length", part.alias(name)).agg(F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("x"))
-    return packed.select("length", name, F.col("x.id").alias(f"{name}_ids"), F.flatten("x.vector").alias(f"{name}_values"))
-
-
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whole numbers, scales, lengths of the rounded vectors and of what rounding leaves."""
     top = np.abs(x).max(1)
@@ -82,74 +75,94 @@ def _whole_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_in_tile(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and exact scores of the k nearest within a tile."""
-    a, s, la, ea = _quantised(q)
-    b, t, lb, eb = _quantised(c)
-    norm = np.linalg.norm(c, axis=1)
-    about = _whole_product(a, b) * s[:, None] * t[None, :]
-    # The last term covers the rounding of these few operations themselves.
-    slack = ea[:, None] * norm[None, :] + la[:, None] * eb[None, :] + 1e-9 * (la[:, None] * norm[None, :])
-    own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, _NEVER, about - slack)
-    if c.shape[0] > k:
-        floor = np.partition(low, len(c_ids) - k, axis=1)[:, len(c_ids) - k]
-    else:
-        floor = np.full(len(q_ids), _NEVER)
-    row, col = np.nonzero((about + slack >= floor[:, None]) & ~own)
-    out = []
-    for i in range(0, len(row), 1 << 16):
-        x, y = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
-        # A running sum adds the components in their order, as a plain loop does.
-        out.append(np.cumsum(q[x] * c[y], axis=1)[:, -1])
-    score = np.concatenate(out) if out else np.empty(0)
-    order = np.lexsort((c_ids[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    best = place < k
-    return q_ids[row[best]], c_ids[col[best]], score[best]
-
-
-def _tiles(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                length = batch.column("length")[i].as_py()
+class Search:
+    """The k nearest of some queries among the rows that they have met."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, options: Options):
+        self.ids, self.x, self.options = ids, x, options
+        self.whole, self.scale, self.length, self.apart = _quantised(x)
+        self.best = Best(len(ids), options.k, np.float64)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        size = self.options.queries
+        with np.errstate(all="ignore"):
+            for a in range(0, len(ids), self.options.rows):
+                c_ids, c = ids[a : a + self.options.rows], x[a : a + self.options.rows]
+                known = *_quantised(c), np.linalg.norm(c, axis=1)
+                for i in range(0, len(self.ids), size):
+                    self._tile(slice(i, min(i + size, len(self.ids))), c_ids, c, *known)
+
+    def _tile(self, some: slice, ids, c, whole, scale, length, apart, norm) -> None:
+        k, q = self.options.k, self.x[some]
+        about = _whole_product(self.whole[some], whole) * self.scale[some][:, None] * scale[None, :]
+        # The last term covers the rounding of these few operations themselves.
+        own_length = self.length[some][:, None]
+        slack = self.apart[some][:, None] * norm[None, :] + own_length * apart[None, :] + 1e-9 * (own_length * norm[None, :])
+        own = self.ids[some][:, None] == ids[None, :]
+        floor = self.best.floor[some]
+        if len(ids) > k:
+            low = np.where(own | ~np.isfinite(about - slack), -np.inf, about - slack)
+            floor = np.maximum(floor, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
+        # Bounds that are no numbers exclude nothing.
+        row, col = np.nonzero(~(about + slack < floor[:, None]) & ~own)
+        for i in range(0, len(row), 1 << 16):
+            x, y = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
+            # A running sum adds the components in their order, as a plain loop does.
+            self.best.add(x + some.start, ids[y], np.cumsum(q[x] * c[y], axis=1)[:, -1])
+
+    def found(self) -> pa.RecordBatch:
+        best = self.best
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[best.row], best.id, best.score)], ["query_id", "vec_id", "score"])
+
+
+def _searched(options: Options):
+    """One search per field of the grid, over the rows that stream through."""
 
-                def side(name: str) -> tuple[np.ndarray, np.ndarray]:
-                    ids = batch.column(f"{name}_ids")[i].values.to_numpy(zero_copy_only=False)
-                    values = batch.column(f"{name}_values")[i].values.to_numpy(zero_copy_only=False)
-                    return ids, values.reshape(-1, length)
-
-                found = nearest_in_tile(*side("q"), *side("c"), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asking, now = None, [], None
+        for where, side, batch in fields(batches, ["length"]):
+            if where != at:
+                if now is not None:
+                    yield now.found()
+                at, asking, now = where, [], None
+            ids, x = batch.column("id").to_numpy(), matrix(batch.column("vector"))
+            if side == 0:
+                asking.append((ids, x))
+                continue
+            if now is None:
+                now = Search(*map(np.concatenate, zip(*asking, strict=True)), options)
+            now.meet(ids, x)
+        if now is not None:
+            yield now.found()
 
     return run
 
 
 def _merged(k: int):
-    """Heaps of k per query over a partition that holds all tiles' results of its queries."""
+    """A heap of the k best for one query after the other; the rows come in order of queries."""
+
+    def row(q: int, heap: list) -> pa.RecordBatch:
+        best = sorted(heap, reverse=True)
+        columns = [pa.array([q] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32())]
+        columns += [pa.array([-v for _, _, v, _ in best], pa.int64()), pa.array([s for *_, s in best], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "rank", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        now, heap = None, []
         for batch in batches:
             for q, v, s in zip(*(batch.column(n).to_pylist() for n in ("query_id", "vec_id", "score")), strict=True):
-                heap = heaps.setdefault(q, [])
+                if q != now:
+                    if heap:
+                        yield row(now, heap)
+                    now, heap = q, []
+                # A score that is no number is below all others.
+                item = (s == s, s if s == s else 0.0, -v, s)
                 if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))
+                    heapq.heappush(heap, item)
                 else:
-                    heapq.heappushpop(heap, (s, -v))
-        for q, heap in heaps.items():
-            rows = sorted(heap, reverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([q] * len(rows), pa.int64()),
-                    pa.array(range(1, len(rows) + 1), pa.int32()),
-                    pa.array([-v for _, v in rows], pa.int64()),
-                    pa.array([s for s, _ in rows], pa.float64()),
-                ],
-                ["query_id", "rank", "vec_id", "score"],
-            )
+                    heapq.heappushpop(heap, item)
+        if heap:
+            yield row(now, heap)
 
     return run
 
@@ -157,18 +170,8 @@ def _merged(k: int):
 def nearest(vectors: DataFrame, asks: Column, options: Options = Options()) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest inner product of every row where
     ``asks`` (a condition on ``vec_id``) holds."""
-    rows = stored(usable(vectors), "vectors")
+    rows = stored(usable(vectors), "vectors").withColumn("length", F.size("vector"))
     asking = rows.withColumnRenamed("id", "vec_id").where(asks).withColumnRenamed("vec_id", "id")
-    queries = _blocks(asking, options.queries, "q")
-    # The number of query blocks of each length: a row per length, not per vector.
-    counts = queries.groupBy("length").agg(F.max("q").alias("last"))
-    candidates = stored(_blocks(rows, options.rows, "c"), "blocks")
-    sent = candidates.join(counts, "length").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-    parts = F.xxhash64("length", "q", "c")
-    tiles = sent.join(stored(queries, "queries"), ["length", "q"]).repartition(_count(vectors), parts)
-    found = tiles.mapInArrow(_tiles(options.k), FOUND)
-    return found.repartition("query_id").mapInArrow(_merged(options.k), "query_id long, rank int, vec_id long, score double")
-
-
-def _count(frame: DataFrame) -> int:
-    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.sparkSession.sparkContext.defaultParallelism)
+    found = dealt(rows, asking, ["length"], options.grid).mapInArrow(_searched(options), FOUND)
+    merged = found.repartition("query_id").sortWithinPartitions("query_id")
+    return merged.mapInArrow(_merged(options.k), "query_id long, rank int, vec_id long, score double")
