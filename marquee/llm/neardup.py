@@ -17,7 +17,7 @@ Defined results
 * null or blank text: empty set, linked with nothing; the document is its own component.
 * fewer words than a shingle: the whole sequence is the only shingle.
 * rows with one ``doc_id``: one node, with the links of all its texts; all its rows are ``kept`` or
-  none. ``drop_copies`` keeps one row of them.
+  none. ``drop_copies`` keeps one row of each group of alike texts, whatever their ids.
 * null ``doc_id``: never linked, ``component_id`` null, kept.
 * an empty table gives an empty table; other columns are never looked at.
 """
@@ -51,7 +51,7 @@ class Options:
 
     shingle: int = 5
     percent: int = 80
-    rows: int = 4
+    rows: int = 6
     miss: float = 1e-6
     seed: int = 1
 
@@ -88,7 +88,7 @@ def superminhash(values: np.ndarray, first: np.ndarray, slots: int, seed: int) -
         going = (ranks.reshape(sets, slots) == _FREE).any(1)[row]
         if order is None:
             row, state, k = row[going], state[going], k[going]
-            order = np.broadcast_to(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(row), slots)).copy()
+            order = np.broadcast_to(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(row), slots)).copy()
             order[np.arange(len(row)), k] = 0
         elif not going.all():
             row, state, order = row[going], state[going], order[going]
@@ -101,7 +101,7 @@ def _signature(options: Options):
     @F.arrow_udf(_SIGNED)
     def signed(column: pa.Array) -> pa.Array:
         sizes, digests, found = [], [], []
-        for a, b in slices(column):
+        for a, b in slices(column, _SLICE):
             sets = Shingles(column.slice(a, b - a), options.shingle)
             ranks = superminhash(sets.values, sets.first, bands * width, options.seed)
             keys = np.zeros((b - a, bands), np.uint64)
@@ -164,6 +164,8 @@ def _verified(options: Options):
     return verify
 
 
+# Bytes of text that are signed together; each of their shingles holds a permutation of the slots.
+_SLICE = 1 << 20
 # Members that one copy of a leader's text is compared with.
 _CHUNK = 64
 # Members from which on a group's differences from its leader are worth keeping.
@@ -175,10 +177,12 @@ _LEADERS = 64
 def _compare(pairs: DataFrame, texts: DataFrame, options: Options, rest: bool) -> DataFrame:
     """Exact comparison of the pairs ``leader, node``: ``u, v, linked``, and of large groups ``rest,
     low, high``."""
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("group"))
-    large = F.lit(rest) & (F.col("group") > _LARGE)
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("group") / F.lit(_CHUNK)))
-    pairs = pairs.join(sizes, "leader").select("leader", "node", chunk.alias("chunk"), large.alias("large"))
+    # Only large groups are looked up, so that this join is with a short table.
+    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("group")).where(F.col("group") > _LARGE)
+    large = F.lit(rest) & F.col("group").isNotNull()
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("group", F.lit(1)) / F.lit(_CHUNK)))
+    pairs = pairs.join(sizes, "leader", "left").select("leader", "node", chunk.alias("chunk"), large.alias("large"))
+    pairs = stored(pairs, "chunks")
     members = pairs.join(texts, "node").select("leader", "chunk", F.lit(True).alias("member"), "node", "large", "text")
     leaders = pairs.select("leader", "chunk").distinct().withColumn("node", F.col("leader"))
     leaders = leaders.join(texts, "node").select("leader", "chunk", F.lit(False).alias("member"), "node", F.lit(False).alias("large"), "text")
@@ -279,39 +283,65 @@ def _linked(classes: DataFrame, members: DataFrame, texts: DataFrame, held: Data
         most *= _LEADERS
 
 
-def group(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _grouped(docs: DataFrame, options: Options, apart: bool) -> DataFrame:
+    """``doc_id, n, digest, node, component`` of every row.
+
+    The node of a row is its id. With ``apart``, rows of one id whose sets differ are nodes of their
+    own, named by a hash.
+    """
     found = docs.select("doc_id", _signature(options)(F.col("text")).alias("s"))
     signed = stored(found.select("doc_id", "s.*"), "signatures")
     linked = signed.where("n > 0 and doc_id is not null")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
+    several = linked.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    several = stored(several.select("doc_id"), "several")
+    own = F.xxhash64("doc_id", "digest")
+    if apart:
+        marked = linked.join(several.withColumn("several", F.lit(True)), "doc_id", "left")
+        linked = marked.withColumn("node", F.when(F.col("several"), own).otherwise(F.col("doc_id"))).drop("several")
+    else:
+        linked = linked.withColumn("node", F.col("doc_id"))
+    classes = linked.groupBy("digest").agg(F.min("node").alias("node"), F.max("n").alias("n"), F.any_value("bands").alias("bands"))
     classes = stored(classes, "classes")
     keyed = classes.select(F.explode("bands").alias("bucket"), "node", "n")
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = stored(keyed.join(shared, "bucket", "left_semi"), "buckets")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
-    texts = stored(texts, "texts")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    if apart:
+        again = docs.join(several, "doc_id", "left_semi").select("doc_id", "text", _signature(options)(F.col("text")).getField("digest").alias("digest"))
+        texts = texts.union(again.select(own.alias("node"), "text"))
+    texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
     release(docs.sparkSession)
     # A document with several texts holds their classes together.
-    several = linked.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
-    several = linked.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("digest", "node"), "digest")
-    held = several.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    both = linked.join(several, "doc_id", "left_semi").join(classes.select("digest", F.col("node").alias("v")), "digest")
+    held = both.select(F.col("node").alias("u"), "v")
     labels = _linked(classes, members, texts, held, options)
     drop(texts)
-    named = _labelled(classes.select("digest", "node"), labels).withColumnRenamed("label", "component_id")
-    out = linked.join(named.select("digest", "component_id"), "digest").select("doc_id", "n", "component_id")
-    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = out.union(alone)
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    named = _labelled(classes.select("digest", "node"), labels).select("digest", F.col("label").alias("component"))
+    out = linked.join(named, "digest").select("doc_id", "n", "digest", "node", "component")
+    alone = signed.where("n = 0 or doc_id is null").select("doc_id", "n", "digest", F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+    return out.union(alone)
+
+
+def group(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    out = _grouped(docs, options, False)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_copies(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """One row of each group of near duplicates, with all its columns; rows without an id stay."""
-    kept = group(docs.select("doc_id", "text"), options).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
-    named = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    named = named.withColumn("place", place).where("place = 1").select("row.*")
-    return named.unionByName(docs.where("doc_id is null"))
-
+    out = stored(_grouped(docs.select("doc_id", "text"), options, True), "groups").where("doc_id is not null")
+    kept = out.where("node = component").select("doc_id", "digest").distinct()
+    # Ids whose rows have more than one set need the set to tell which of them stay.
+    mixed = out.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    mixed = stored(mixed, "mixed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.where("doc_id is not null").select("doc_id", row)
+    plain = named.join(kept.join(mixed, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    odd = named.join(mixed, "doc_id", "left_semi")
+    odd = odd.withColumn("digest", _signature(options)(F.col("row.text")).getField("digest"))
+    odd = odd.join(kept, ["doc_id", "digest"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.xxhash64("row.text")))
+    one = plain.withColumn("digest", F.lit(None).cast("binary")).union(odd.select("doc_id", "row", "digest"))
+    return one.withColumn("place", place).where("place = 1").select("row.*").unionByName(docs.where("doc_id is null"))

@@ -77,6 +77,22 @@ def test_rows_of_one_id_hold_their_texts_together(documents):
     assert got == {(3, 3, True), (5, 3, False), (6, 3, False), (None, None, True)}
 
 
+def test_words_that_sums_of_powers_confuse(documents):
+    """Thue-Morse words, whose polynomial hashes modulo 2**64 meet their complements'."""
+    mark = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in mark) for flip in (0, 1))
+    rows = [(1, f"x {a}"), (2, f"x {b}"), (3, f"x y {a} z u v w"), (4, f"x y {b} z u v w"), (5, " ".join([a, b] * 9)), (6, " ".join([b, a] * 9))]
+    assert found(documents(rows)) == brute(rows)
+
+
+def test_unlike_texts_of_one_id_all_stay(documents):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1].upper()), (2, words[0]), (3, words[2]), (3, words[3]), (3, None), (3, None), (4, words[2])]
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in neardup.drop_copies(documents(rows), LAX).collect()]
+    assert sorted(t for _, t in kept) == ["", *sorted(words)]
+    assert {(1, words[1]), (3, words[3]), (3, "")} <= set(kept)
+
+
 def test_empty_table(documents):
     assert neardup.group(documents([])).count() == 0
     assert neardup.drop_copies(documents([])).count() == 0
