@@ -397,7 +397,9 @@ def test_pages(spark):
     order = [F.asc("id")]
     assert [r["id"] for r in page(rows, order, 3, 20).collect()] == list(range(40, 45))
     assert page(rows, order, 1, 500).count() == 45
-    assert page(rows, order, -1, 0).count() == 20
+    for number, limit in ((-1, 20), (0, 20), (1, 0), (1, -5)):
+        with pytest.raises(ValueError):
+            page(rows, order, number, limit)
     assert page(rows, order).count() == 45
 
 
