@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.words import slices, text_bytes
+from marquee.session import stored
 
 UNKNOWN = "und"
 RESULT = "struct<lang:string,score:double,rejected:boolean>"
@@ -37,8 +38,8 @@ _SIZES = (2, 3, 4)
 class Options:
     """Bounds and settings of the training.
 
-    ``per_language`` text pieces of each language are expected in the sample, and never more than
-    ``2 * per_language * most_languages`` in all. ``lengths`` are the words of a piece; short
+    Every value of ``lang`` is learned. ``per_language`` text pieces of each are expected in the sample,
+    and never more than twice as many for all of them together. ``lengths`` are the words of a piece; short
     ones are there so that scores of short texts are learned as well. The rejection bound is the
     lowest score at which at most ``errors`` of the accepted held-back pieces are wrong, but never
     so high that more than ``lost`` of the held-back pieces are rejected. Where no more than
@@ -49,7 +50,6 @@ class Options:
     buckets: int = 1 << 14
     size: int = 16
     per_language: int = 1200
-    most_languages: int = 256
     lengths: tuple[int, ...] = (3, 8, 24, 64)
     epochs: int = 6
     batch: int = 32
@@ -162,16 +162,13 @@ def sample(rows: DataFrame, options: Options = Options()) -> tuple[list[str], li
     the key and the text alone. A row gives one piece of a drawn length at a drawn place.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(options.most_languages)
-    counts = {r["lang"]: r["n"] for r in counted.collect()}
-    languages = sorted(counts)
+    share = F.least(F.lit(1.0), F.lit(options.per_language) / F.count(F.lit(1)))
+    shares = stored(rows.groupBy("lang").agg(share.alias("share")), "languages")
+    languages = sorted(r["lang"] for r in shares.select("lang").collect())
     if not languages:
         return [], [], []
     draw = F.xxhash64(F.lit(options.seed), "key", "text")
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, options.per_language / counts[name]))).otherwise(share)
-    rows = rows.withColumn("draw", draw).where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.withColumn("draw", draw).join(shares, "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     words = F.split("text", r"[\x20\x09-\x0D]+")
     lengths = F.array(*[F.lit(n) for n in options.lengths])
     taken = rows.select(

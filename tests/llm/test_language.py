@@ -80,3 +80,15 @@ def test_a_good_model_rejects_what_it_has_not_learned():
     clean = score([made(x, n) for x in "ab" for n in (3, 8, 24, 64) for _ in range(100)])
     assert (clean < model.bound).mean() <= 0.01
     assert (score(["qxzz", "zq xzq", "1x", made("a", 1) + " " + made("b", 1)]) < model.bound).any()
+
+
+def test_every_language_is_learned(documents):
+    """Three hundred languages, each with words of its own; held-out documents of all of them are told apart."""
+    random = np.random.default_rng(8)
+    syllables = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    own = [random.choice(syllables, 5) for _ in range(300)]
+    made = lambda k: " ".join("".join(random.choice(own[k], 2)) for _ in range(30))
+    rows = [(i, made(i % 300), f"l{i % 300:03}", None, None) for i in range(6000)]
+    got = [r for r in language.predict(documents(rows), Options(epochs=12)).collect() if r["held_out"]]
+    right = [r["lang_pred"] == rows[r["doc_id"]][2] for r in got]
+    assert len({r["lang_pred"] for r in got}) > 256 and np.mean(right) > 0.9
