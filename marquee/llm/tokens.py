@@ -13,8 +13,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the vocabulary's merges were made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# Characters of one piece; the merges of a longer one without blanks would take too long.
-_LONGEST = 4096
 _KEPT = 400_000
 
 
@@ -39,10 +37,7 @@ class Tokens:
         self._kept: dict[str, bytes] = _Kept(self._encode)
 
     def _encode(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for a in range(0, len(piece), _LONGEST):
-            ids += self._encoding.encode_ordinary(piece[a : a + _LONGEST])
-        return np.array(ids, self.dtype).tobytes()
+        return np.array(self._encoding.encode_ordinary(piece), self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian numbers of ``dtype``."""

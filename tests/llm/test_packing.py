@@ -100,3 +100,11 @@ def test_unpack_and_write(engine, documents, tmp_path):
         parts[r["doc_id"]][r["offset"]] = bytes(r["ids"])
     whole = {d: b"".join(p[k] for k in sorted(p)) for d, p in parts.items()}
     assert TOKENS.decode(whole[2]) == "b" and TOKENS.decode(whole[1]).startswith("some words") and len(parts[1]) > 1
+
+
+def test_long_pieces_have_the_ids_of_the_vocabulary():
+    tokens = Tokens(read())
+    for text in ("ab" * 40_000, "x " + "é" * 9_000 + " y", "!" * 20_000, "\n" * 10_000 + "a"):
+        ids = tokens.encode(text)
+        assert np.frombuffer(ids, tokens.dtype).tolist() == tokens._encoding.encode_ordinary(text)
+        assert tokens.decode(ids) == text
