@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -45,10 +46,12 @@ from marquee.session import stored
 @dataclass(frozen=True)
 class Options:
     """``window``: words of a sequence. ``rounds``: pair rounds; a symbol is up to 2**rounds words
-    long, without runs, and a window should be twice as long."""
+    long, without runs, and a window should be twice as long. ``passes``: shares of the windows that
+    are compared one after the other, each with that share of the room."""
 
     window: int = 35
     rounds: int = 4
+    passes: int = 2
 
 
 _BASE = 0xD1342543DE82EF95
@@ -208,8 +211,8 @@ def _parsed(options: Options):
     return parse
 
 
-def _windows(options: Options, asked_only: bool):
-    """128-bit hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
+def _windows(options: Options, share: int, asked_only: bool):
+    """One share of the 128-bit hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
 
     With ``asked_only`` these alone, with their row and place.
     """
@@ -234,7 +237,10 @@ def _windows(options: Options, asked_only: bool):
                 inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at = np.repeat(found.low[k], many) + inner
                 row, asked = np.repeat(row, many), np.repeat(asked, many)
-                hashes = [pa.array(x.view(np.int64)) for x in found.windows(at)]
+                halves = found.windows(at)
+                mine = halves[0] % np.uint64(options.passes) == share
+                at, row, asked = at[mine], row[mine], asked[mine]
+                hashes = [pa.array(x[mine].view(np.int64)) for x in halves]
                 if not asked_only:
                     yield pa.RecordBatch.from_arrays([*hashes, pa.array(asked)], ["hash", "more", "asked"])
                     continue
@@ -345,20 +351,24 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     release(spark)
     drop(marks)
     source = texts.select("key", "text", "marks")
-    windows = source.mapInArrow(_windows(options, False), "hash long, more long, asked boolean")
-    again = windows.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
-    again = stored(again.select("hash", "more"), "repeated")
-    release(spark)
-    # The windows are made a second time; that takes less room than to keep them.
-    asked = source.mapInArrow(_windows(options, True), "hash long, more long, key binary, place int").join(again, ["hash", "more"], "left_semi")
-    places = stored(asked.groupBy("key").agg(F.collect_list("place").alias("places")), "places")
-    drop(again)
-    release(spark)
+    repeated = []
+    for share in range(options.passes):
+        windows = source.mapInArrow(_windows(options, share, False), "hash long, more long, asked boolean")
+        again = windows.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 and asked")
+        again = stored(again.select("hash", "more"), "repeated")
+        release(spark)
+        # The windows are made a second time; that takes less room than to keep them.
+        asked = source.mapInArrow(_windows(options, share, True), "hash long, more long, key binary, place int")
+        asked = asked.join(again, ["hash", "more"], "left_semi").select("key", "place")
+        repeated.append(stored(asked, "places"))
+        drop(again)
+        release(spark)
+    places = reduce(DataFrame.union, repeated).groupBy("key").agg(F.collect_list("place").alias("places"))
     left = texts.where("part").join(places, "key", "left")
     left = left.select("key", "text", "marks", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     left = left.mapInArrow(_removed(options), "key binary, n_removed long, kept_sha256 string, kept string")
     left = stored(left if texts_too else left.drop("kept"), "kept")
-    drop(texts, places)
+    drop(texts, *repeated)
     release(spark)
     return rows, left
 
