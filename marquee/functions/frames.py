@@ -24,6 +24,20 @@ def attach(frame: DataFrame, one_row: DataFrame, *columns: str) -> DataFrame:
     return out.drop("_one")
 
 
+def with_whole(frame: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """A row per key and one over all rows, from one aggregation; ``_whole`` tells the latter.
+
+    An empty frame has neither.
+    """
+    sets = frame.groupingSets([keys, []], *keys)
+    return sets.agg((F.grouping(keys[0]) == 1).alias("_whole"), *sums)
+
+
+def of_whole(column: str) -> Column:
+    """What the row over all rows has in a column, for every row of a short frame."""
+    return F.max(F.when(F.col("_whole"), F.col(column))).over(Window.partitionBy())
+
+
 def first_per(frame: DataFrame, keys: list[str], order: list[Column], columns: list[str], name: str) -> DataFrame:
     """The first row per key as a struct column ``name``.
 

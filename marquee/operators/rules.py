@@ -19,17 +19,22 @@ from marquee.sources.tables import Tables
 # ---------------------------------------------------------------- prices
 
 
-def price_actions(slots: DataFrame, *keys: str) -> DataFrame:
-    """The price action of every start hour with demand; uses the rounded figures of the slots."""
+def _by_price_case(on_lagging, on_packed, on_low, otherwise) -> Column:
+    """One value per case of a start hour's rounded figures."""
     demand, amount, full = F.col("normalized_demand"), F.col("normalized_revenue"), F.col("occupancy")
     lagging = (demand >= 0.7) & (amount <= 0.45) & (full >= 70)
     packed = (demand >= 0.6) & (full >= 80)
-    low = full <= 35
+    return F.when(lagging, on_lagging).when(packed, on_packed).when(full <= 35, on_low).otherwise(otherwise)
+
+
+def _price_action() -> Column:
+    return _by_price_case(C.PRICE_UP, C.PRICE_UP, C.PRICE_DOWN, C.PRICE_HOLD)
 
-    def pick(on_lagging, on_packed, on_low, otherwise) -> Column:
-        return F.when(lagging, on_lagging).when(packed, on_packed).when(low, on_low).otherwise(otherwise)
 
-    action = pick(C.PRICE_UP, C.PRICE_UP, C.PRICE_DOWN, C.PRICE_HOLD)
+def price_actions(slots: DataFrame, *keys: str) -> DataFrame:
+    """The price action of every start hour with demand; uses the rounded figures of the slots."""
+    pick, action, full = _by_price_case, _price_action(), F.col("occupancy")
+    low = full <= 35
     return slots.filter("demand > 0").select(
         *keys,
         "time_slot",
@@ -53,16 +58,12 @@ def pricing_recommendation(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
 
 
 def pricing_recommendation_summary(t: Tables, f: Filters) -> DataFrame:
-    slots = sales.time_slots(t, f)
-    changes = price_actions(slots).agg(
-        F.count_if(F.col("suggested_action") != C.PRICE_HOLD).alias("recommended_changes")
-    )
-    rows = slots.agg(
+    return sales.time_slots(t, f).agg(
         F.count(F.lit(1)).alias("total_slots_analyzed"),
         F.min_by("time_slot", F.struct(-F.col("revenue"), F.col("time_slot"))).alias("peak_time_slot"),
         F.min_by("time_slot", F.struct(F.col("revenue"), F.col("time_slot"))).alias("quiet_time_slot"),
+        F.count_if((F.col("demand") > 0) & (_price_action() != C.PRICE_HOLD)).alias("recommended_changes"),
     )
-    return attach(rows, changes, "recommended_changes")
 
 
 # ---------------------------------------------------------------- advertising

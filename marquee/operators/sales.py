@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.expr import day_type, minmax, money, payment_fee, percent, round2, rounded_ratio
-from marquee.functions.frames import attach, numbered, top_numbered
+from marquee.functions.frames import attach, numbered, of_whole, top_numbered, with_whole
 from marquee.operators import kpi
 from marquee.plans.facts import (
     sales_facts,
@@ -165,10 +165,13 @@ def revenue_by_studio_summary(t: Tables, f: Filters) -> DataFrame:
 
 def revenue_by_movie(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
     """The first titles by tickets with their share of the revenue of **all** titles."""
-    rows = kpi.movie_sales_rows(t, f).select("movie_id", "title", "total_tickets", "total_revenue")
-    total = rows.agg(F.sum("total_revenue").alias("_all"))
-    return attach(top_numbered(rows, kpi.movie_sales_order(), top_n or 10), total, "_all").select(
-        "rank",
+    sums = [F.sum(c).alias(c) for c in ("total_tickets", "total_revenue")]
+    rows = with_whole(kpi.movie_sales_rows(t, f), ["movie_id", "title"], *sums)
+    # All titles together come first, so the window holds one row more than is asked for.
+    first = top_numbered(rows, [F.desc("_whole"), *kpi.movie_sales_order()], (top_n or 10) + 1)
+    first = first.withColumn("_all", of_whole("total_revenue")).filter("not _whole")
+    return first.select(
+        (F.col("rank") - 1).alias("rank"),
         "movie_id",
         "title",
         money("total_revenue").alias("total_revenue"),
@@ -378,14 +381,15 @@ def weekend_weekday_summary(t: Tables, f: Filters) -> DataFrame:
 
 def payment_mix(t: Tables, f: Filters) -> DataFrame:
     """Per payment type: tickets, share, revenue, mean price, fee, revenue less fees."""
-    rows = (
-        sold_shows(t, f, "payment_type")
-        .filter(f.scope("payment_type"))
-        .groupBy(F.coalesce("payment_type", F.lit("unknown")).alias("payment_type"))
-        .agg(F.sum("tickets").alias("total_transactions"), F.sum("revenue").alias("revenue"))
+    sold = sold_shows(t, f, "payment_type").filter(f.scope("payment_type"))
+    sold = sold.select(F.coalesce("payment_type", F.lit("unknown")).alias("payment_type"), "tickets", "revenue")
+    rows = with_whole(
+        sold, ["payment_type"], F.sum("tickets").alias("total_transactions"), F.sum("revenue").alias("revenue")
     )
+    # The window holds a row per payment type.
+    rows = rows.withColumn("_all", of_whole("total_transactions")).filter("not _whole")
     count, fee = F.col("total_transactions"), payment_fee("payment_type")
-    return attach(rows, rows.agg(F.sum("total_transactions").alias("_all")), "_all").select(
+    return rows.select(
         "payment_type",
         "total_transactions",
         percent(count, "_all").alias("usage_rate"),

@@ -67,10 +67,30 @@ def with_tickets(show_rows: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def _rolled_up(t: Tables, f: Filters) -> DataFrame:
+def packed_shows(t: Tables, f: Filters) -> DataFrame:
+    """Shows of the dates with the sums of their bucket's tickets, in the tasks that read the buckets."""
+    return t.schedules.filter(f.show_window()).join(ticket_sums(replace(t, tiket=t.packed), shown=f), "schedule_id", "left")
+
+
+def _bucketed(t: Tables, f: Filters) -> DataFrame:
+    """Shows in the window and scope with their sums, from tables in buckets.
+
+    The fact join comes first, while rows still lie in their buckets; the sums of the few hot shows
+    are joined behind it.
+    """
+    hot = ticket_sums(replace(t, tiket=t.hot), shown=f).toDF("schedule_id", "hot_tickets", "hot_revenue")
+    both = packed_shows(t, f).join(hot, "schedule_id", "left")
+    zero = F.lit(0).cast("decimal(28,4)")
+    both = both.withColumn("tickets", F.coalesce("tickets", "hot_tickets", F.lit(0)))
+    both = both.withColumn("revenue", F.coalesce("revenue", "hot_revenue", zero)).drop("hot_tickets", "hot_revenue")
+    return both.join(t.studio, "studio_id").join(t.cinema, "cinema_id").filter(f.scope(*SCOPE_COLUMNS))
+
+
+def rolled_up(t: Tables, f: Filters) -> DataFrame:
+    """Shows in the window and scope with their sums, from the tickets themselves."""
+    rows = with_tickets(shows(t, f), ticket_sums(t, shown=f)) if t.packed is None else _bucketed(t, f)
     return (
-        with_tickets(shows(t, f), ticket_sums(t, shown=f))
-        .withColumn("seat_share", ratio("tickets", "total_capacity"))
+        rows.withColumn("seat_share", ratio("tickets", "total_capacity"))
         .withColumn("time_slot", slot_label())
     )
 
@@ -88,7 +108,7 @@ def with_rollup(t: Tables, f: Filters) -> Tables:
     The ticket table is read once; reports on dates inside the window then start from one
     row per show. ``f`` sets the dates only, the rollup holds every scope.
     """
-    rows = _rolled_up(t, Filters(start=f.start, end=f.end)).select(*ROLLUP_COLUMNS)
+    rows = rolled_up(t, Filters(start=f.start, end=f.end)).select(*ROLLUP_COLUMNS)
     return replace(t, rollup=stored(rows, "rollup"), rollup_days=(f.start, f.end))
 
 
@@ -114,12 +134,12 @@ def session_facts(t: Tables, f: Filters) -> DataFrame:
     """
     if covers(t, f):
         return t.rollup.filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
-    return _rolled_up(t, f)
+    return rolled_up(t, f)
 
 
 def sold_shows(t: Tables, f: Filters, *extra: str) -> DataFrame:
     """Shows in the window that sold something, per ``extra`` ticket columns (inner join)."""
-    if not extra and covers(t, f):
+    if not extra and (t.packed is not None or covers(t, f)):
         return session_facts(t, f).filter("tickets > 0")
     return ticket_sums(t, *extra, shown=f).join(shows(t, f), "schedule_id")
 

@@ -21,6 +21,10 @@ class Tables:
     movies: DataFrame
     studio: DataFrame
     cinema: DataFrame
+    # Tickets in buckets of their show, and those of shows that are too large for one, where the
+    # tables are stored that way (see sources.buckets).
+    packed: DataFrame | None = None
+    hot: DataFrame | None = None
     # Rolled-up shows of a window, where they have been stored (see plans.facts.with_rollup).
     rollup: DataFrame | None = None
     rollup_days: tuple[date, date] | None = None

@@ -163,6 +163,7 @@ WHOLE_FRAME = {
     "time_slots_peak_quiet": "24 start hours",
     "pricing_recommendation": "24 start hours",
     "pricing_recommendation_summary": "24 start hours",
+    "payment_mix": "payment types",
     "sales_trend_daily": "days of the calendar",
     "sales_trend_monthly": "months of the calendar",
     "revenue_by_cinema": "shuffle partitions",
