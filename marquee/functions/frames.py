@@ -92,6 +92,46 @@ def page(frame: DataFrame, order: list[Column], page_number: int | None = None,
     return frame.orderBy(*order).offset((page_number - 1) * limit).limit(limit)
 
 
+# What a frame is in order of: columns that together are unique, each descending or not; nulls are
+# last in either direction.
+Keys = list[tuple[Column, bool]]
+
+
+def in_order(keys: Keys) -> list[Column]:
+    return [c.desc_nulls_last() if descending else c.asc_nulls_last() for c, descending in keys]
+
+
+def behind(keys: Keys, values: list[Column]) -> Column:
+    """Rows that come behind the row with these values."""
+    condition = F.lit(False)
+    for (key, descending), value in reversed(list(zip(keys, values, strict=True))):
+        further = F.when(value.isNull(), F.lit(False)).otherwise(key.isNull() | ((key < value) if descending else (key > value)))
+        condition = further | (key.eqNullSafe(value) & condition)
+    # What the first key alone tells; it reaches the scan where it is a column of the files.
+    (key, descending), value = keys[0], values[0]
+    return (key.isNull() | ((key <= value) if descending else (key >= value))) & condition
+
+
+def page_after(frame: DataFrame, keys: Keys, values: list[Column] | None, limit: int = 20) -> DataFrame:
+    """The first rows behind the last one of the page before, or of all where ``values`` is None.
+
+    Each task keeps ``limit`` rows, however far the page is from the beginning.
+    """
+    if limit < 1:
+        raise ValueError("limit starts at 1")
+    rows = frame if values is None else frame.filter(behind(keys, values))
+    return rows.orderBy(*in_order(keys)).limit(limit)
+
+
+def paged(frame: DataFrame, keys: Keys, page_number: int | None, limit: int, values: list[Column] | None) -> DataFrame:
+    """A page by its number, or the one behind a row; the whole frame where neither is given."""
+    if values is None:
+        return page(frame, in_order(keys), page_number, limit)
+    if page_number is not None:
+        raise ValueError("a page is asked for by its number or by the row before it")
+    return page_after(frame, keys, values, limit)
+
+
 def totals(frame: DataFrame, limit: int = 20) -> DataFrame:
     """Rows of a frame, and its pages of the size that :func:`page` takes."""
     if limit < 1:

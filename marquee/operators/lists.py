@@ -1,12 +1,16 @@
-"""Lists and lookups: titles, rooms, shows, tickets, cities, payment types, filter checks."""
+"""Lists and lookups: titles, rooms, shows, tickets, cities, payment types, filter checks.
+
+A list gives one page, by its number or as what follows ``after``, the last row of the page before;
+the latter costs the same for every page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marquee.functions.expr import genre_array, payment_fee, start_seconds
-from marquee.functions.frames import page, totals
+from marquee.functions.frames import paged, totals
 from marquee.plans.facts import venues
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
@@ -26,6 +30,10 @@ def _is(column: str, value) -> Column:
     return F.lit(True) if value in (None, "") else F.col(column) == F.lit(value)
 
 
+def _values(after: Row | dict | None, *names: str) -> list[Column] | None:
+    return None if after is None else [F.lit(after[name]) for name in names]
+
+
 def movies_list(
     t: Tables,
     search: str | None = None,
@@ -33,9 +41,10 @@ def movies_list(
     rating_usia: str | None = None,
     page_number: int | None = None,
     limit: int = 20,
+    after: Row | dict | None = None,
 ) -> DataFrame:
     rows = t.movies.filter(_like("title", search) & _like("genre", genre) & _is("rating_usia", rating_usia))
-    return page(rows, [F.asc("movie_id")], page_number, limit).select(
+    return paged(rows, [(F.col("movie_id"), False)], page_number, limit, _values(after, "movie_id")).select(
         "movie_id",
         "title",
         genre_array().alias("genre"),
@@ -57,9 +66,10 @@ def studios_list(
     screen_type: str | None = None,
     page_number: int | None = None,
     limit: int = 20,
+    after: Row | dict | None = None,
 ) -> DataFrame:
     rows = t.studio.filter(f.scope("cinema_id", "studio_id") & _is("screen_type", screen_type))
-    return page(rows, [F.asc("studio_id")], page_number, limit).select(
+    return paged(rows, [(F.col("studio_id"), False)], page_number, limit, _values(after, "studio_id")).select(
         "studio_id",
         "cinema_id",
         "studio_name",
@@ -73,14 +83,22 @@ def studios_count(t: Tables, f: Filters = Filters(), screen_type: str | None = N
 
 
 def schedules_list(
-    t: Tables, f: Filters = Filters(), status: str | None = None, page_number: int | None = None, limit: int = 20
+    t: Tables,
+    f: Filters = Filters(),
+    status: str | None = None,
+    page_number: int | None = None,
+    limit: int = 20,
+    after: Row | dict | None = None,
 ) -> DataFrame:
     """Shows of the dates, the latest first."""
     rows = t.schedules.join(t.studio.select("studio_id", "cinema_id"), "studio_id").filter(
         f.show_window() & f.scope("movie_id", "cinema_id", "studio_id") & _is("status", status)
     )
-    order = [F.desc_nulls_last("show_date"), start_seconds().desc_nulls_last(), F.asc("schedule_id")]
-    return page(rows, order, page_number, limit).select(
+    keys = [(F.col("show_date"), True), (start_seconds(), True), (F.col("schedule_id"), False)]
+    values = _values(after, "show_date", "start_time", "schedule_id")
+    if values is not None:
+        values[1] = start_seconds(values[1])
+    return paged(rows, keys, page_number, limit, values).select(
         "schedule_id",
         "movie_id",
         "studio_id",
@@ -109,6 +127,7 @@ def tickets_list(
     seat_category: str | None = None,
     page_number: int | None = None,
     limit: int = 20,
+    after: Row | dict | None = None,
 ) -> DataFrame:
     """Tickets by sale time, the newest first, under their public names."""
     rows = _tickets(t).filter(
@@ -117,8 +136,8 @@ def tickets_list(
         & _is("schedule_id", schedule_id)
         & _is("seat_category", seat_category)
     )
-    order = [F.desc_nulls_last("trans_time"), F.asc("tiket_id")]
-    return page(rows, order, page_number, limit).select(
+    keys = [(F.col("trans_time"), True), (F.col("tiket_id"), False)]
+    return paged(rows, keys, page_number, limit, _values(after, "trans_time", "ticket_id")).select(
         F.col("tiket_id").alias("ticket_id"),
         "schedule_id",
         "movie_id",
