@@ -70,34 +70,58 @@ def _priority(score: Column) -> Column:
     return F.when(score >= 85, "high").when(score >= 60, "medium").otherwise("low")
 
 
-def _candidates(rows: DataFrame, kind: str, score: Column, hour: str, studio_name: str, place: Column) -> DataFrame:
-    """Attach the texts of an action to shows; ``place`` is the position in the list of its type."""
-    text = C.ACTION_TEXT[kind]
-    fields = {
-        "t": F.col("movie_title"),
-        "h": F.col(hour),
-        "v": F.col("cinema_name"),
-        "r": F.col("studio_name"),
-        "n": F.col(studio_name),
-        "o": number_text("occupancy"),
-        "k": F.col("tickets"),
-    }
-    return rows.withColumn("score", score).select(
-        *SCOPE,
-        F.lit(kind).alias("action_type"),
-        _priority(F.col("score")).alias("priority"),
-        *[fill(text[part], **fields).alias(part) for part in ("title", "description", "reason")],
-        F.lit(C.EXPECTED_IMPACT[kind]).alias("expected_impact"),
-        "city",
-        "cinema_name",
-        F.col(studio_name).alias("studio_name"),
-        "movie_title",
-        "schedule_time",
-        "occupancy",
-        "score",
-        "schedule_id",
-        F.struct(F.lit(KINDS.index(kind)).alias("kind"), place.cast("int").alias("place"), *LATEST).alias("_order"),
-    )
+# What tells actions of a scope apart, and what else is carried until the texts are written.
+KEY = ["action_type", "city", "cinema_name", "studio_name", "movie_title", "schedule_time"]
+ITEM = ["occupancy", "score", "tickets", "room", "start_time", "schedule_id", "_own"]
+
+
+def _picked(rows: DataFrame, kind: str, score: Column, studio_name: str, place: Column, *more: str) -> DataFrame:
+    """Shows as actions, without texts; ``place`` is the position in the list of its type."""
+    order = F.struct(F.lit(KINDS.index(kind)).alias("kind"), place.cast("int").alias("place"), *LATEST)
+    rows = rows.withColumn("room", F.col("studio_name")).withColumn("studio_name", F.col(studio_name))
+    rows = rows.withColumn("action_type", F.lit(kind)).withColumn("score", score).withColumn("_own", order)
+    return rows.select(*more, *KEY, *ITEM, F.col("_own").alias("_order"))
+
+
+def _once(actions: DataFrame, *keys: str) -> DataFrame:
+    """Equal actions within ``keys`` once: the one with the highest score, in the place of the first."""
+    best = F.min_by(F.struct(*ITEM), F.struct(-F.col("score"), F.col("_own"))).alias("item")
+    grouped = actions.groupBy(*keys, *KEY).agg(best, F.min("_order").alias("_order"))
+    return grouped.select(*keys, *KEY, "item.*", "_order")
+
+
+def _written(actions: DataFrame) -> DataFrame:
+    """The texts of every action."""
+
+    def of_kind(value) -> Column:
+        chosen = F
+        for kind in KINDS:
+            if kind in C.ACTION_TEXT:
+                chosen = chosen.when(F.col("action_type") == kind, value(kind))
+        return chosen
+
+    def text(part: str) -> Column:
+        def of(kind: str) -> Column:
+            fields = {
+                "t": F.col("movie_title"),
+                "h": F.col("start_time" if kind == C.MOVE else "schedule_time"),
+                "v": F.col("cinema_name"),
+                "r": F.col("room" if kind == C.MOVE else "studio_name"),
+                "n": F.col("studio_name"),
+                "o": number_text("occupancy"),
+                "k": F.col("tickets"),
+            }
+            return fill(C.ACTION_TEXT[kind][part], **fields)
+
+        return of_kind(of).alias(part)
+
+    rows = actions.withColumn("priority", _priority(F.col("score")))
+    rows = rows.withColumn("expected_impact", of_kind(lambda kind: F.lit(C.EXPECTED_IMPACT[kind])))
+    return rows.select("*", *[text(part) for part in ("title", "description", "reason")])
+
+
+def _listed(actions: DataFrame) -> DataFrame:
+    return _written(actions).select(*ACTION_COLUMNS)
 
 
 def larger_rooms(t: Tables, f: Filters, most_occupancy: float = 60) -> DataFrame:
@@ -129,28 +153,38 @@ def larger_rooms(t: Tables, f: Filters, most_occupancy: float = 60) -> DataFrame
     )
 
 
-def move_to_larger_studio(t: Tables, f: Filters, least_occupancy: float = 82) -> DataFrame:
-    """Full shows with a larger, less used room in the same venue.
-
-    The scope of a single room holds no other room and has no such candidates.
-    """
+def _moves(t: Tables, f: Filters, least_occupancy: float = 82) -> DataFrame:
+    """Full shows with a larger, less used room in the same venue, once per venue and not yet by scope."""
     full = _show_rows(t, f).filter((F.col("occupancy") >= least_occupancy) & (F.col("total_capacity") > 0))
     matched = full.join(larger_rooms(t, f), ["cinema_id", "total_capacity"])
     score = F.col("occupancy") + F.greatest(F.lit(0), F.col("target_capacity") - F.col("total_capacity"))
-    scoped = by_scope(matched, ("global", "city", "cinema"))
-    return _candidates(scoped, C.MOVE, score, "start_time", "target_name", F.lit(0))
+    return _picked(matched, C.MOVE, score, "target_name", F.lit(0), "cinema_id")
+
+
+def _moves_by_scope(moves: DataFrame) -> DataFrame:
+    """The scope of a single room holds no other room and has no such candidates."""
+    return by_scope(moves, ("global", "city", "cinema")).select(*SCOPE, *KEY, *ITEM, "_order")
+
+
+def move_to_larger_studio(t: Tables, f: Filters, least_occupancy: float = 82) -> DataFrame:
+    """Full shows with a larger, less used room in the same venue, in every scope but that of a room."""
+    return _listed(_moves_by_scope(_moves(t, f, least_occupancy)))
 
 
 def _first(rows: DataFrame, order: list[Column], n: int, *more: str) -> DataFrame:
     return top_per(rows, [*SCOPE, *more], [*order, *[F.asc(c) for c in LATEST]], n, "_place")
 
 
-def reduce_showtimes(t: Tables, f: Filters) -> DataFrame:
-    """The four weakest shows of each scope with little occupancy and few tickets."""
+def _reductions(t: Tables, f: Filters) -> DataFrame:
     weak = by_scope(_show_rows(t, f).filter((F.col("occupancy") <= 22) & (F.col("tickets") <= 25)))
     score = (F.lit(100) - F.col("occupancy")) + F.greatest(F.lit(0), F.lit(30) - F.col("tickets"))
     rows = _first(weak, [F.asc("occupancy"), F.asc("revenue")], 4)
-    return _candidates(rows, C.REDUCE, score, "schedule_time", "studio_name", F.col("_place"))
+    return _picked(rows, C.REDUCE, score, "studio_name", F.col("_place"), *SCOPE)
+
+
+def reduce_showtimes(t: Tables, f: Filters) -> DataFrame:
+    """The four weakest shows of each scope with little occupancy and few tickets."""
+    return _listed(_reductions(t, f))
 
 
 def _first_in_slots(rows: DataFrame, pricing: DataFrame, action: str, order: Column, n: int) -> DataFrame:
@@ -165,20 +199,28 @@ def _first_in_slots(rows: DataFrame, pricing: DataFrame, action: str, order: Col
     return _first(leading.join(slots, [*SCOPE, "schedule_time"], "left_semi"), [order], n)
 
 
+def _promotions(t: Tables, f: Filters, pricing: DataFrame) -> DataFrame:
+    rows = _show_rows(t, f).filter((F.col("occupancy") > 20) & (F.col("occupancy") <= 45))
+    rows = _first_in_slots(rows, pricing, C.PRICE_DOWN, F.asc("occupancy"), 4)
+    return _picked(rows, C.PROMO, F.lit(75) - F.col("occupancy"), "studio_name", F.col("_place"), *SCOPE)
+
+
 def promotion_opportunity(t: Tables, f: Filters, pricing: DataFrame | None = None) -> DataFrame:
     """The four emptiest shows of each scope in discount slots, of those worth a promotion."""
     t = rolled(t, f)
-    rows = _show_rows(t, f).filter((F.col("occupancy") > 20) & (F.col("occupancy") <= 45))
-    rows = _first_in_slots(rows, pricing or scopes.scope_pricing(t, f, PRICED), C.PRICE_DOWN, F.asc("occupancy"), 4)
-    return _candidates(rows, C.PROMO, F.lit(75) - F.col("occupancy"), "schedule_time", "studio_name", F.col("_place"))
+    return _listed(_promotions(t, f, pricing or scopes.scope_pricing(t, f, PRICED)))
+
+
+def _premiums(t: Tables, f: Filters, pricing: DataFrame) -> DataFrame:
+    rows = _show_rows(t, f).filter(F.col("occupancy") >= 78)
+    rows = _first_in_slots(rows, pricing, C.PRICE_UP, F.desc("occupancy"), 3)
+    return _picked(rows, C.PREMIUM, F.col("occupancy") + 12, "studio_name", F.col("_place"), *SCOPE)
 
 
 def premium_pricing(t: Tables, f: Filters, pricing: DataFrame | None = None) -> DataFrame:
     """The three fullest shows of each scope in slots whose price should rise."""
     t = rolled(t, f)
-    rows = _show_rows(t, f).filter(F.col("occupancy") >= 78)
-    rows = _first_in_slots(rows, pricing or scopes.scope_pricing(t, f, PRICED), C.PRICE_UP, F.desc("occupancy"), 3)
-    return _candidates(rows, C.PREMIUM, F.col("occupancy") + 12, "schedule_time", "studio_name", F.col("_place"))
+    return _listed(_premiums(t, f, pricing or scopes.scope_pricing(t, f, PRICED)))
 
 
 def badge(part: int) -> Column:
@@ -193,25 +235,19 @@ def candidate_actions(t: Tables, f: Filters, top_n: int = 6, pricing: DataFrame
     """The best actions of every scope; ``pricing`` is :func:`scopes.scope_pricing` where it is known.
 
     Equal actions (type, place, title, hour) count once with their highest score, in the
-    place of the first of them. All four lists start from one rollup of the shows.
+    place of the first of them. All four lists start from one rollup of the shows. Full shows are
+    brought down to different actions of a venue before they are counted for its scopes, and texts
+    are written for the rows that are left in the end.
     """
     t = rolled(t, f)
     pricing = pricing or stored(scopes.scope_pricing(t, f, PRICED), "pricing")
     everything = (
-        move_to_larger_studio(t, f)
-        .unionByName(reduce_showtimes(t, f))
-        .unionByName(promotion_opportunity(t, f, pricing))
-        .unionByName(premium_pricing(t, f, pricing))
-    )
-    key = [*SCOPE, "action_type", "city", "cinema_name", "studio_name", "movie_title", "schedule_time"]
-    rest = [c for c in ACTION_COLUMNS if c not in key and c != "_order"]
-    unique = everything.groupBy(*key).agg(
-        F.min_by(F.struct(*rest), F.struct(-F.col("score"), F.col("_order"))).alias("item"),
-        F.min("_order").alias("_order"),
-    )
-    best = top_per(
-        unique.select(*key, "item.*", "_order"), SCOPE, [F.desc("score"), F.asc("_order")], top_n
+        _moves_by_scope(_once(_moves(t, f), "cinema_id"))
+        .unionByName(_reductions(t, f))
+        .unionByName(_promotions(t, f, pricing))
+        .unionByName(_premiums(t, f, pricing))
     )
+    best = _written(top_per(_once(everything, *SCOPE), SCOPE, [F.desc("score"), F.asc("_order")], top_n))
     return best.join(scopes.scope_list(t).select(*SCOPE, F.col("label").alias("scope_label")), SCOPE).select(
         *SCOPE,
         "scope_label",
