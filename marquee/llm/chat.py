@@ -1,12 +1,17 @@
 r"""Chat formatting in windows of a token budget.
 
-The tokens of a conversation's turns are added up in order. Turns of no more than half the share of
-new turns (``budget`` less ``history``) form a window where their beginnings fall into the same
-half share, so that a window never has more than a whole share of new tokens; a longer turn is a
-window of its own and may exceed the budget, since turns are never cut. Every later window repeats
-the conversation's leading system turn, and those turns before it that begin at most ``history``
-tokens earlier. Only assistant turns that a window has first are trained on: the loss mask covers
-their text, and never a repeated one.
+The tokens of a conversation's turns are added up in order. A window is the longest run of whole
+turns that fits into the budget together with what it repeats: the conversation's leading system
+turn, and those turns before it that begin at most ``history`` tokens earlier. No window exceeds the
+budget: of the system turn at most ``system`` tokens are repeated, and a turn that would not fit next
+to system turn and history is cut into pieces, which fill windows as turns do and are joined again
+within one. A piece that goes on with a turn of an earlier window has a + after its role. Only
+assistant text that a window has first is trained on: the loss mask covers it, and never repeated text.
+
+Windows begin anew at every multiple of ``stretch`` budgets of a conversation's tokens, so a stretch
+is of bounded size and all stretches are worked on at once, however long the conversation. What a
+stretch repeats from the one before is sent to both. New turns take at least half of what windows
+leave for them, in the mean, so the output grows with the input.
 
 A turn is written as ``### Role: text``, a line end, ``</turn>`` and a line end. Roles other than
 user, assistant, system and tool are written as @ and the hex digits of their bytes. In texts, a
@@ -20,6 +25,8 @@ in order, as its digests need, and holds one window at a time.
 Defined results
 * turns go by ``turn``, nulls first; equal numbers by role, then text. Repeated rows are turns each.
 * null text and null role count as empty. Null ``conv_id`` is one conversation.
+* the tokens of a turn are those of its escaped text, ``extra``, and those of the name of another role.
+  Such a name is never cut: with one longer than the budget, and only then, a window is too.
 * an empty table gives no rows; other columns are never looked at, whatever their names.
 """
 
@@ -40,16 +47,33 @@ from marquee.session import stored
 
 @dataclass(frozen=True)
 class Options:
-    """``extra``: tokens that a turn takes besides those of its text."""
+    """``system``: the most tokens repeated of a system turn, by default an eighth of the budget.
+    ``extra``: tokens that a turn takes besides those of its text. ``stretch``: budgets in a stretch."""
 
     budget: int = 1024
     history: int = 192
+    system: int | None = None
     extra: int = 8
+    stretch: int = 64
     vocabulary: str = VOCABULARY
 
+    def __post_init__(self):
+        if min(self.kept, self.room) < self.least:
+            raise ValueError("budget too small for history, system turn and a piece of a turn")
+
+    @property
+    def least(self) -> int:
+        """Room for any code point and its escapes."""
+        return self.extra + 16
+
+    @property
+    def kept(self) -> int:
+        return self.budget // 8 if self.system is None else self.system
+
     @property
-    def half(self) -> int:
-        return (self.budget - self.history) // 2
+    def room(self) -> int:
+        """What is left for new turns whatever is repeated."""
+        return self.budget - self.history - self.kept
 
 
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
@@ -65,111 +89,207 @@ def unescaped(text: str) -> str:
     return re.sub(r"\\" + _ESCAPE, r"\1", text)
 
 
-def _heading(role: Column) -> Column:
+def _heading(role: Column, again: Column) -> Column:
     name = F.concat(F.lit("@"), F.hex(F.encode(role, "UTF-8")))
     for known, title in ROLES.items():
         name = F.when(role == known, F.lit(title)).otherwise(name)
-    return F.concat(F.lit("### "), name, F.lit(": "))
-
-
-def _counter(file: bytes):
-    kept: list[Tokens] = []
-
-    @F.arrow_udf("long")
-    def counted(column: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(Tokens(file))
-        return pa.array([kept[0].count(x) for x in column.to_pylist()], pa.int64())
-
-    return counted
+    return F.concat(F.lit("### "), name, F.when(again, "+").otherwise(""), F.lit(": "))
+
+
+def _cutter(options: Options, conv: str):
+    """Turns as pieces with their tokens and those of the same turn before them."""
+    file = read(options.vocabulary)
+    names = ["conv_id", "role", "text", "done", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(file)
+
+        def halves(text: str, extra: int, most: int) -> Iterator[tuple[str, int]]:
+            size = tokens.count(re.sub(_ESCAPE, r"\\\1", text)) + extra
+            if size <= most or len(text) < 2:
+                yield text, size
+            else:
+                middle = len(text) // 2
+                yield from halves(text[:middle], extra, most)
+                yield from halves(text[middle:], extra, most)
+
+        def pieces(role: str, text: str) -> Iterator[tuple[str, int]]:
+            extra = options.extra + (0 if role in ROLES else tokens.count(role.encode().hex()))
+            whole, share = (options.kept, 4) if role == "system" else (options.room, 8)
+            most = max(whole // share, options.least)
+            # Texts this long are cut in any case; a code point has a byte at least.
+            if len(text) <= 64 * whole:
+                size = tokens.count(re.sub(_ESCAPE, r"\\\1", text)) + extra
+                if size <= whole:
+                    yield text, size
+                    return
+            for at in range(0, len(text), 4 * most):
+                yield from halves(text[at : at + 4 * most], extra, most)
+
+        for batch in batches:
+            rows = []
+            kinds = [batch.schema.field("conv_id").type, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            for i in range(batch.num_rows):
+                key, role, text = (batch.column(n)[i].as_py() for n in names[:3])
+                done = 0
+                for piece, size in pieces(role, text):
+                    rows.append((key, role, piece, done, size))
+                    done += size
+                if len(rows) >= 4096 or i + 1 == batch.num_rows:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    rows = []
+
+    return run, f"conv_id {conv}, role string, text string, done long, tokens long"
 
 
 def _summed(turns: DataFrame, options: Options) -> DataFrame:
-    """Turns in order with the tokens and the long turns before each in its conversation."""
+    """Pieces of turns in order with the tokens before each in its conversation."""
     text = F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    rows = rows.withColumn("body", escaped(F.col("text")))
-    rows = rows.withColumn("tokens", _counter(read(options.vocabulary))(F.col("body")) + options.extra)
-    rows = rows.drop("text").repartitionByRange(*order[:3], "body").sortWithinPartitions(*order[:3], "body")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.mapInArrow(*_cutter(options, turns.schema["conv_id"].dataType.simpleString()))
     # Other ranges could be drawn the next time, so the rows are written with their places.
     rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "turns")
-    rows = rows.withColumn("part", F.shiftright("place", 33)).withColumn("long", (F.col("tokens") > options.half).cast("long"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sum("tokens").alias("tokens"), F.sum("long").alias("long"))
+    rows = rows.withColumn("part", F.shiftright("place", 33))
+    parts = rows.groupBy("conv_id", "part").agg(F.sum("tokens").alias("tokens"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("conv_id", "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"earlier_{c}") for c in ("tokens", "long")])
+    parts = parts.select("conv_id", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("earlier"))
     here = Window.partitionBy("conv_id", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.select("*", *[F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"inside_{c}") for c in ("tokens", "long")])
+    inside = rows.select("*", F.coalesce(F.sum("tokens").over(here), F.lit(0)).alias("inside"))
     same = inside["conv_id"].eqNullSafe(parts["conv_id"]) & (inside["part"] == parts["part"])
-    joined = inside.join(parts, same).select(
-        inside["conv_id"],
-        "place",
-        "role",
-        "body",
-        "tokens",
-        (F.col("long") > 0).alias("long"),
-        (F.col("inside_tokens") + F.col("earlier_tokens")).alias("before"),
-        (F.col("inside_long") + F.col("earlier_long")).alias("longs"),
-    )
-    half = F.when(F.col("long"), F.lit(-1)).otherwise(F.floor(F.col("before") / options.half))
-    return stored(joined.withColumn("half", half), "sums")
+    columns = [inside["conv_id"], "place", "role", "text", "done", "tokens", (F.col("inside") + F.col("earlier")).alias("before")]
+    return stored(inside.join(parts, same).select(*columns), "sums")
+
+
+# Stretches of one conversation that one row is multiplied into by one task.
+_BLOCK = 1024
+
+
+def _dealt(rows: DataFrame, options: Options) -> DataFrame:
+    """Pieces with their stretch; ``kind`` 0 and 1 are system turn and history from stretches before."""
+    wide = options.stretch * options.budget
+    rows = rows.withColumn("stretch", F.floor(F.col("before") / wide))
+    columns = ["conv_id", "stretch", "kind", "place", "role", "text", (F.col("done") > 0).alias("again"), "before", "tokens"]
+    own = rows.withColumn("kind", F.lit(2))
+    tail = rows.where(F.col("before") >= (F.col("stretch") + 1) * wide - options.history)
+    tail = tail.withColumn("kind", F.lit(1)).withColumn("stretch", F.col("stretch") + 1)
+    head = rows.where((F.col("role") == "system") & (F.col("before") == F.col("done")) & (F.col("before") + F.col("tokens") <= options.kept))
+    last = rows.groupBy(F.col("conv_id").alias("c")).agg(F.max("stretch").alias("last"))
+    head = head.drop("stretch").withColumn("kind", F.lit(0)).join(last, F.col("conv_id").eqNullSafe(F.col("c")))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / _BLOCK)))
+    head = head.withColumn("block", block).repartition("conv_id", "block")
+    first = F.col("block") * _BLOCK
+    head = head.withColumn("stretch", F.explode(F.sequence(first, F.least("last", first + _BLOCK - 1))))
+    return own.select(*columns).union(tail.select(*columns)).union(head.select(*columns))
+
+
+def _filler(options: Options, conv: str):
+    """Windows of stretches whose rows come one after the other."""
+
+    def filled(rows: list[dict]) -> Iterator[tuple[int, int, list[dict]]]:
+        head = [r for r in rows if r["kind"] == 0]
+        rows = [r for r in rows if r["kind"] > 0]
+        at = sum(r["kind"] == 1 for r in rows)
+        while at < len(rows):
+            first = rows[at]
+            system = [r for r in head if r["place"] < first["place"]]
+            since = system[-1]["place"] if system else -1
+            low = at
+            while low and rows[low - 1]["before"] >= first["before"] - options.history and rows[low - 1]["place"] > since:
+                low -= 1
+            used = sum(r["tokens"] for r in system) + first["before"] - rows[low]["before"] + first["tokens"]
+            end = at + 1
+            while end < len(rows) and used + rows[end]["tokens"] <= options.budget:
+                used += rows[end]["tokens"]
+                end += 1
+            out: list[dict] = []
+            for kind, part in enumerate([system, rows[low:at], rows[at:end]]):
+                for r in part:
+                    if out and r["again"] and out[-1]["kind"] == kind:
+                        out[-1]["texts"].append(r["text"])
+                    else:
+                        out.append({"kind": kind, "role": r["role"], "again": r["again"], "texts": [r["text"]]})
+            yield first["before"], used, [{**x, "text": "".join(x["texts"])} for x in out]
+            at = end
+
+    turn = pa.struct([("kind", pa.int32()), ("role", pa.string()), ("again", pa.bool_()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def written(kind: pa.DataType) -> pa.RecordBatch:
+            starts, sizes, turns = zip(*filled(rows), strict=True) if any(r["kind"] == 2 for r in rows) else ((), (), ())
+            arrays = [pa.array([key[0]] * len(starts), kind), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(turns, pa.list_(turn))], ["conv_id", "start", "tokens", "turns"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("conv_id").type
+            for row in batch.to_pylist():
+                now = (row["conv_id"], row["stretch"])
+                if now != key:
+                    if rows:
+                        yield written(kind)
+                    key, rows = now, []
+                rows.append(row)
+        if rows:
+            yield written(kind)
+
+    turns = "array<struct<kind:int,role:string,again:boolean,text:string>>"
+    return run, f"conv_id {conv}, start long, tokens long, turns {turns}"
 
 
 def windows(turns: DataFrame, options: Options = Options()) -> DataFrame:
-    """``conv_id, start, text, repeated, loss`` of every window.
+    """``conv_id, start, tokens, text, repeated, loss`` of every window.
 
-    ``start`` is the tokens before the window's own turns and puts the windows in order,
-    ``repeated`` the number of leading turns that earlier windows have, and ``loss`` the ranges of
-    code points (end exclusive) that are trained on.
+    ``start`` is the tokens before the window's own turns and puts the windows in order, ``tokens``
+    what the window takes of the budget, ``repeated`` the number of leading turns that earlier windows
+    have, and ``loss`` the ranges of code points (end exclusive) that are trained on.
     """
-    rows = _summed(turns, options)
-    span = ["conv_id", "longs", "half"]
-    spans = rows.groupBy(*span).agg(F.min("before").alias("start")).select("conv_id", "start")
-    first = Window.partitionBy(*span).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = rows.select("conv_id", F.min("before").over(first).alias("start"), F.lit(2).alias("kind"), "place", "role", "body")
-    later = spans.where("start > 0")
-    # Turns that begin in the history's length before a window; both sides meet in bins of that length.
-    wide = max(options.history, 1)
-    ask = later.select(F.col("conv_id").alias("c"), "start", F.floor(F.col("start") / wide).alias("own_bin"))
-    ask = ask.select("c", "start", F.explode(F.array("own_bin", F.col("own_bin") - 1)).alias("b"))
-    held = rows.withColumn("bin", F.floor(F.col("before") / wide))
-    near = (F.col("before") < F.col("start")) & (F.col("before") >= F.col("start") - options.history)
-    history = held.join(ask, held["conv_id"].eqNullSafe(ask["c"]) & (F.col("bin") == F.col("b")) & near)
-    head = rows.where("before = 0 and role = 'system'")
-    history = history.where("not (before = 0 and role = 'system')")
-    history = history.select("conv_id", "start", F.lit(1).alias("kind"), "place", "role", "body")
-    ask = later.select(F.col("conv_id").alias("c"), "start")
-    system = head.join(ask, head["conv_id"].eqNullSafe(ask["c"])).select("conv_id", "start", F.lit(0).alias("kind"), "place", "role", "body")
-    turns_of = own.union(history).union(system).groupBy("conv_id", "start")
-    turns_of = turns_of.agg(F.sort_array(F.collect_list(F.struct("kind", "place", "role", "body"))).alias("turns"))
-    heading = F.transform("turns", lambda x: _heading(x["role"]))
-    written = F.transform(F.arrays_zip(F.col("turns"), heading.alias("heading")), lambda x: F.concat(x["heading"], x["turns"]["body"], F.lit(END)))
-    shaped = turns_of.select("conv_id", "start", "turns", heading.alias("heading"), F.array_join(written, "").alias("text"))
+    rows = _dealt(_summed(turns, options), options)
+    rows = rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "place")
+    filled = rows.mapInArrow(*_filler(options, turns.schema["conv_id"].dataType.simpleString()))
+    shown = F.transform(
+        "turns",
+        lambda x: F.struct(
+            x["kind"].alias("kind"), x["role"].alias("role"), _heading(x["role"], x["again"]).alias("heading"), escaped(x["text"]).alias("body")
+        ),
+    )
+    shaped = filled.select("conv_id", "start", "tokens", shown.alias("turns"))
+    written = F.transform("turns", lambda x: F.concat(x["heading"], x["body"], F.lit(END)))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
 
     def add(done: Column, x: Column) -> Column:
         low = done["at"] + F.length(x["heading"])
-        high = low + F.length(x["turns"]["body"])
-        hit = (x["turns"]["kind"] == 2) & (x["turns"]["role"] == "assistant")
+        high = low + F.length(x["body"])
+        hit = (x["kind"] == 2) & (x["role"] == "assistant")
         loss = F.when(hit, F.concat(done["loss"], F.array(F.struct(low.alias("start"), high.alias("end"))))).otherwise(done["loss"])
         return F.struct((high + len(END)).alias("at"), loss.alias("loss"))
 
-    loss = F.aggregate(F.arrays_zip("turns", "heading"), begin, add, lambda done: done["loss"])
+    loss = F.aggregate("turns", begin, add, lambda done: done["loss"])
     repeated = F.size(F.filter("turns", lambda x: x["kind"] < 2))
-    return shaped.select("conv_id", "start", "text", repeated.alias("repeated"), loss.alias("loss"))
+    return shaped.select("conv_id", "start", "tokens", F.array_join(written, "").alias("text"), repeated.alias("repeated"), loss.alias("loss"))
 
 
-def parsed(text: str) -> list[tuple[str, str]]:
-    """Roles and texts of a formatted window."""
+def entries(text: str) -> list[tuple[str, str, bool]]:
+    """Roles and texts of a formatted window, and whether they go on with a turn begun earlier."""
     titles = {title: role for role, title in ROLES.items()}
     out = []
     for part in text.split(END)[:-1]:
         name, body = part.removeprefix("### ").split(": ", 1)
+        again, name = name.endswith("+"), name.removesuffix("+")
         role = bytes.fromhex(name[1:]).decode() if name.startswith("@") else titles[name]
-        out.append((role, unescaped(body)))
+        out.append((role, unescaped(body), again))
     return out
 
 
+def parsed(text: str) -> list[tuple[str, str]]:
+    """Roles and texts of a formatted window."""
+    return [(role, body) for role, body, _ in entries(text)]
+
+
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, windows long"
 
 
@@ -177,6 +297,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of conversations whose windows come one after the other; a window at a time."""
 
     def row(s: dict) -> pa.RecordBatch:
+        s["all"].update(b"\n")  # the last turn's end; a conversation has a turn
         values = [s["id"], s["turns"], s["all"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["written"], s["windows"]]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "windows"]
@@ -193,9 +314,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield row(now)
                 now = fresh(conv)
-            for role, body in parsed(text)[repeated:]:
-                now["turns"] += 1
-                now["all"].update(f"{role}\n{body}\n".encode())
+            for role, body, again in entries(text)[repeated:]:
+                if not again:
+                    now["all"].update(f"{chr(10) if now['turns'] else ''}{role}\n".encode())
+                    now["turns"] += 1
+                now["all"].update(body.encode())
             for span in loss:
                 body = unescaped(text[span["start"] : span["end"]])
                 now["chars"] += len(body)

@@ -65,7 +65,7 @@ def test_windows_keep_budget_history_and_system_turn(engine):
         turns = parsed(w["text"])
         size = [count(x) + options.extra for _, x in turns]
         fresh = turns[w["repeated"] :]
-        assert sum(size) <= options.budget + size[0]
+        assert sum(size) <= w["tokens"] <= options.budget
         assert [x for _, x in fresh] == [x for _, _, _, x in rows][seen : seen + len(fresh)]
         if k:
             assert turns[0] == ("system", "rules of the house") and w["repeated"] >= 1
@@ -86,3 +86,81 @@ def test_escape_is_reversible(engine, text):
     import re
 
     assert not re.search(r"(?<!\\)(### |</turn>)", row["e"])
+
+
+def greedy(turns, options):
+    """Windows of one conversation of uncut turns, given as tokens, as ``start, first, end, repeated``."""
+    before = [sum(turns[:i]) for i in range(len(turns) + 1)]
+    wide = options.stretch * options.budget
+    at, out = 0, []
+    while at < len(turns):
+        low = at
+        while low > 1 and before[low - 1] >= before[at] - options.history:
+            low -= 1
+        used = turns[0] + before[at] - before[low] if at else 0
+        end = at + 1
+        while end < len(turns) and used + before[end + 1] - before[at] <= options.budget and before[end] // wide == before[at] // wide:
+            end += 1
+        out.append((before[at], at, end, 1 + at - low if at else 0))
+        at = end
+    return out
+
+
+def test_windows_equal_a_plain_loop_across_stretches(engine):
+    random.seed(5)
+    options = Options(budget=200, history=60, stretch=3)
+    rows = [(c, 0, "system", "rules of the house") for c in (1, 2)]
+    rows += [(c, i, "user", "w " * random.randrange(40)) for c, n in ((1, 400), (2, 30)) for i in range(1, n)]
+    frame = engine.createDataFrame(rows, TURNS)
+    count = chat.Tokens(chat.read()).count
+    for parts in (1, 7):
+        got = chat.windows(frame.repartition(parts), options).collect()
+        for conv in (1, 2):
+            own = [x for c, _, _, x in rows if c == conv]
+            expected = greedy([count(x) + options.extra for x in own], options)
+            mine = sorted((w for w in got if w["conv_id"] == conv), key=lambda w: w["start"])
+            assert [(w["start"], w["repeated"]) for w in mine] == [(start, repeated) for start, _, _, repeated in expected]
+            assert [[x for _, x in parsed(w["text"])][w["repeated"] :] for w in mine] == [own[first:end] for _, first, end, _ in expected]
+
+
+def test_long_system_turn_and_long_turns(engine):
+    random.seed(7)
+    options = Options()
+    words = ["alpha", "beta", "### ", "</turn>", "\\", "é😀", "\n", "gamma"]
+
+    def text(n):
+        return " ".join(random.choice(words) for _ in range(n))
+
+    rows = [(1, 0, "system", text(2500)), *((1, i, "assistant" if i % 2 == 0 else "user", text(60)) for i in range(1, 60))]
+    rows += [(2, 0, "user", "x" * 30000), (2, 1, "assistant", text(9000)), (2, 2, "other", text(3000)), (2, 3, "assistant", "")]
+    rows += [(3, 0, "system", "a"), (3, 1, "system", text(2000)), (3, 2, "assistant", "b")]
+    windows = chat.windows(engine.createDataFrame(rows, TURNS), options)
+    count = chat.Tokens(chat.read()).count
+    kept = windows.collect()
+    for w in kept:
+        inside = chat.entries(w["text"])
+        assert w["tokens"] <= options.budget
+        # Joined pieces may take a token more where they meet, and save the marks of a turn there.
+        assert sum(count(x.replace("### ", "\\### ").replace("</turn>", "\\</turn>")) for _, x, _ in inside) <= options.budget
+        system = next(x for c, _, _, x in rows if c == w["conv_id"])
+        if w["start"] and w["conv_id"] != 2:
+            assert inside[0][0] == "system" and system.startswith(inside[0][1]) and inside[0][1]
+    assert read_back(windows) == brute(rows)
+    # The output follows the input, and windows of many turns are nearly full.
+    fresh = sum(count(x) + options.extra for _, _, _, x in rows)
+    assert sum(w["tokens"] for w in kept) < 2.2 * fresh
+    full = [w["tokens"] for c in (1, 2) for w in sorted((w for w in kept if w["conv_id"] == c), key=lambda w: w["start"])[:-1]]
+    assert sum(full) > 0.85 * options.budget * len(full)
+
+
+def test_budget_must_hold_a_piece(engine):
+    with pytest.raises(ValueError, match="budget too small"):
+        Options(budget=200, history=180)
+
+
+def test_no_join_meets_the_stretches_of_one_conversation(engine):
+    plan = chat.windows(engine.createDataFrame([(1, 0, "system", "a"), (1, 1, "user", "b")], TURNS))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    # The one join adds the last stretch to pieces of system turns, one row a conversation on either side.
+    assert text.split("== Initial Plan ==")[0].count("Join") == 1
