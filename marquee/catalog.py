@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators import actions, alerts, extra, insights, kpi, lists, rules, sales, scopes, titles
+from marquee.operators import actions, alerts, composites, extra, insights, kpi, lists, rules, sales, scopes, titles
 from marquee.plans.filters import Filters
 from marquee.session import new_folder, tune
 from marquee.sources import examples, snapshots
@@ -26,6 +26,9 @@ KPI: dict[str, Operator] = {
     "session_facts": lambda t: kpi.show_facts(t, WINDOW),
     "sales_summary": lambda t: kpi.sales_summary(t, WINDOW),
     "sales_summary_asia": lambda t: kpi.sales_summary(t, ASIA),
+    "sales_summary_venue": lambda t: kpi.sales_summary(t, WINDOW.scoped(cinema_id=8)),
+    "sales_summary_room": lambda t: kpi.sales_summary(t, WINDOW.scoped(city="ASIA", studio_id=13)),
+    "sales_summary_title": lambda t: kpi.sales_summary(t, WINDOW.scoped(movie_id=17)),
     "period_growth": lambda t: kpi.period_growth(t, WINDOW),
     "trend_hourly": lambda t: kpi.trend(t, WINDOW, "hourly"),
     "trend_daily": lambda t: kpi.trend(t, WINDOW, "daily"),
@@ -192,7 +195,14 @@ EXTRA: dict[str, Operator] = {
     "genre_share": lambda t: extra.genre_share(t, WINDOW),
 }
 
-OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES, **ACTIONS, **LISTS, **ALERTS, **EXTRA}
+COMPOSITES: dict[str, Operator] = {
+    "system_status": composites.system_status,
+    "executive_counts": lambda t: composites.part_counts(composites.executive(t, WINDOW, examples.read_log(t))),
+    "films_bundle_counts": lambda t: composites.part_counts(composites.films_bundle(t, WINDOW)),
+    "sales_bundle_counts": lambda t: composites.part_counts(composites.sales_bundle(t, WINDOW)),
+}
+
+OPERATORS: dict[str, Operator] = {**KPI, **SALES, **TITLES, **RULES, **ACTIONS, **LISTS, **ALERTS, **EXTRA, **COMPOSITES}
 
 # Operators that read a table besides the base tables.
 WithFolder = Callable[[SparkSession, str], DataFrame]

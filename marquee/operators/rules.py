@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import constants as C
@@ -302,31 +302,34 @@ def forecast(t: Tables, f: Filters, days_ahead: int = 7, lookback_weeks: int = 4
         (F.avg("seat_share") * 100).alias("occupancy")
     )
 
-    def sales_means(frame: DataFrame, *keys) -> DataFrame:
-        n = F.count(F.lit(1))
-        return frame.groupBy(*keys).agg(
-            (F.sum("tickets").cast("double") / n).alias("tickets"),
-            (F.sum("revenue").cast("double") / n).alias("revenue"),
-            n.alias("sales_days"),
-        )
+    weekday = day_number("day").alias("weekday_number")
+    sales_sums = sold.groupBy(weekday).agg(
+        F.sum("tickets").cast("double").alias("tickets"),
+        F.sum("revenue").alias("revenue"),
+        F.count(F.lit(1)).alias("sales_days"),
+    )
+    share_sums = shown.groupBy(weekday).agg(F.sum("occupancy").alias("occupancy"), F.count(F.lit(1)).alias("show_days"))
+    # Seven rows; the mean of all days comes from their sums, so tickets are read once for each axis.
+    week = t.spark.range(0, 7, numPartitions=1).select(F.col("id").alias("weekday_number"))
+    week = week.join(sales_sums, "weekday_number", "left").join(share_sums, "weekday_number", "left")
+    every = Window.partitionBy()
 
-    def share_means(frame: DataFrame, *keys) -> DataFrame:
-        return frame.groupBy(*keys).agg(F.avg("occupancy").alias("occupancy"), F.count(F.lit(1)).alias("show_days"))
+    def mean(name: str, days: str) -> list[Column]:
+        overall = F.try_divide(F.sum(name).over(every).cast("double"), F.sum(days).over(every).cast("double"))
+        return [(F.col(name).cast("double") / F.col(days)).alias(name), overall.alias(f"any_{name}")]
 
-    weekday = day_number("day").alias("weekday_number")
-    # The mean of no days has no row: an aggregate without keys then divides 0 by 0 days.
-    any_sales = sold.agg(
-        F.try_divide(F.sum("tickets").cast("double"), F.count(F.lit(1)).cast("double")).alias("any_tickets"),
-        F.try_divide(F.sum("revenue").cast("double"), F.count(F.lit(1)).cast("double")).alias("any_revenue"),
+    week = week.select(
+        "weekday_number",
+        "sales_days",
+        "show_days",
+        *mean("tickets", "sales_days"),
+        *mean("revenue", "sales_days"),
+        *mean("occupancy", "show_days"),
     )
-    any_share = shown.agg(F.avg("occupancy").alias("any_occupancy"))
     calendar = t.spark.range(1).select(
         F.explode(F.sequence(F.lit(ahead.start), F.lit(ahead.end))).alias("forecast_date")
     ).withColumn("weekday_number", day_number("forecast_date"))
-    rows = calendar.join(sales_means(sold, weekday), "weekday_number", "left").join(
-        share_means(shown, weekday), "weekday_number", "left"
-    )
-    rows = attach(attach(rows, any_sales, "any_tickets", "any_revenue"), any_share, "any_occupancy")
+    rows = calendar.join(week, "weekday_number")
 
     def predicted(name: str) -> Column:
         return round2(F.coalesce(name, f"any_{name}", F.lit(0.0))).alias(f"predicted_{name}")

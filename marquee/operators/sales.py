@@ -17,7 +17,6 @@ from marquee.plans.facts import (
     shows,
     sold_shows,
     ticket_sums,
-    rolled,
     with_tickets,
 )
 from marquee.plans.filters import Filters
@@ -462,21 +461,3 @@ def risk_by_movie(t: Tables, f: Filters) -> DataFrame:
             round2(F.sum(_cents("revenue"))).alias("impacted_revenue"),
         )
     )
-
-
-# ---------------------------------------------------------------- bundle
-
-
-def sales_bundle(t: Tables, f: Filters, cinema_top_n: int = 10, movie_top_n: int = 7) -> dict[str, DataFrame]:
-    """The eight sales reports for one set of filters, from one rollup of the shows."""
-    t = rolled(t, f.with_previous())
-    return {
-        "overview": sales_overview(t, f),
-        "revenue_by_cinema": revenue_by_cinema(t, f, cinema_top_n),
-        "revenue_by_movie": revenue_by_movie(t, f, movie_top_n),
-        "time_slots": time_slots(t, f),
-        "trend": sales_trend(t, f),
-        "weekend_vs_weekday": weekend_weekday(t, f),
-        "payment": payment_mix(t, f),
-        "operational_risk": risk_summary(t, f),
-    }

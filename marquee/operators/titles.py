@@ -185,16 +185,3 @@ def studio_format(t: Tables, f: Filters) -> DataFrame:
         .groupBy("format")
         .agg(F.count(F.lit(1)).alias("total_studios"), F.sum("shows").alias("total_schedules"))
     )
-
-
-def films_bundle(t: Tables, f: Filters, top_n: int = 20) -> dict[str, DataFrame]:
-    """The title reports for one set of filters, from one rollup of the shows."""
-    t = rolled(t, f.with_previous())
-    return {
-        "overview": films_overview(t, f),
-        "performance": films_performance(t, f, top_n),
-        "schedules": schedule_performance(t, f),
-        "occupancy": occupancy_by_movie(t, f),
-        "distribution": genre_popularity(t, f),
-        "operational_risk": sales.risk_by_movie(t, f),
-    }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marquee import constants as C
 from marquee.functions import expr
 from marquee.functions.frames import numbered, page, top_numbered
-from marquee.operators import actions, alerts, extra, kpi, lists, rules, sales, scopes, titles
+from marquee.operators import actions, alerts, composites, extra, kpi, lists, rules, sales, scopes, titles
 from marquee.plans.facts import rolled, session_facts
 from marquee.plans.filters import Filters
 from tests.conftest import House, by, one
@@ -435,8 +435,36 @@ def test_rollup_gives_the_same(house):
     assert session_facts(r, outside).count() == 2
 
 
-def test_bundles(house):
-    t = house.show("A", "2024-03-05", sold=3).tables()
-    assert len(sales.sales_bundle(t, W)) == 8 and len(titles.films_bundle(t, W)) == 6
-    assert one(sales.sales_bundle(t, W)["overview"])["total_tickets"] == 3
-    assert one(titles.films_bundle(t, W)["overview"])["tickets_sold"] == 3
+def test_composites_hold_every_part_as_its_own_report(house):
+    house.cinema("C2", "Two", "Bogor").studio("S2", "C2", 20).movie("M2", genre="Comedy")
+    house.show("A", "2024-03-05", sold=3).show("B", "2024-03-06", "M2", "S2", sold=5, pay="QRIS", status="Cancelled")
+    t = house.show("C", "2024-02-27", sold=1).tables()
+    log = t.spark.createDataFrame([], "notification_id string, read_at timestamp")
+    films, sold, top = composites.films_bundle(t, W), composites.sales_bundle(t, W), composites.executive(t, W, log)
+    assert (len(films), len(sold), len(top)) == (14, 17, 5)
+    own = {
+        "schedules.repeat": (films, titles.repeat_schedule(t, W)),
+        "occupancy.day": (films, titles.occupancy_by_day(t, W)),
+        "occupancy": (films, titles.occupancy_by_movie(t, W)),
+        "operational_risk.schedules": (sold, sales.risk_schedules(t, W)),
+        "trend.projection": (sold, sales.sales_trend_forecast(t, W)),
+        "payment": (sold, sales.payment_mix(t, W)),
+        "weekend_vs_weekday.summary": (sold, sales.weekend_weekday_summary(t, W)),
+        "franchise_performance": (top, kpi.cinema_stats(t, W)),
+        "city_revenue_summary": (top, kpi.city_revenue(t, W)),
+    }
+    for name, (parts, report) in own.items():
+        rows = [sorted(map(str, x.collect())) for x in (parts[name], report)]
+        assert rows[0] == rows[1] and rows[0], name
+    status = one(top["system_status"])
+    assert (status["status"], status["total_nodes"], status["active_nodes"], status["health_rate"]) == ("active", 2, 2, 100)
+    counted = {r["part"]: r["n_rows"] for r in composites.part_counts(sold).collect()}
+    assert counted["payment"] == 2 and set(counted) == set(sold)
+
+
+def test_composites_without_any_row(spark):
+    t = House(spark).tables()
+    log = spark.createDataFrame([], "notification_id string, read_at timestamp")
+    assert one(composites.system_status(t, system_active=False))["last_update"] is None
+    for parts in (composites.films_bundle(t, W), composites.sales_bundle(t, W), composites.executive(t, W, log)):
+        assert {r["part"] for r in composites.part_counts(parts).collect()} == set(parts)

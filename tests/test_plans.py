@@ -166,6 +166,10 @@ WHOLE_FRAME = {
     "payment_mix": "payment types",
     "sales_trend_daily": "days of the calendar",
     "sales_trend_monthly": "months of the calendar",
+    "forecast": "days of the week",
+    "forecast_next_week": "days of the week",
+    "forecast_summary": "days of the week",
+    "sales_bundle_counts": "days of the calendar, payment types",
     "revenue_by_cinema": "shuffle partitions",
     "revenue_by_studio": "shuffle partitions",
 }
@@ -187,6 +191,12 @@ def test_one_scan_of_tickets_for_all_actions(spark):
     assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) <= 1
 
 
+def test_forecast_reads_tickets_once_for_each_axis(spark):
+    plan = plan_of(rules.forecast(read_retail(spark, SMALL), W))
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 2
+    assert len(re.findall(r"FileScan parquet \[o_orderkey", plan)) == 2
+
+
 def test_scopes_are_expanded_after_the_sums(spark):
     plan = plan_of(scopes.scope_metrics(read_retail(spark, SMALL), W))
     assert plan.index("Generate explode") < plan.index("partial_sum(final_price")

@@ -2,6 +2,6 @@
 
 
 def all_sql() -> dict[str, str]:
-    from twins import actions, kpi, others, rules, sales, titles
+    from twins import actions, composites, kpi, others, rules, sales, titles
 
-    return {**kpi.QUERIES, **sales.QUERIES, **titles.QUERIES, **rules.QUERIES, **actions.QUERIES, **others.QUERIES}
+    return {**kpi.QUERIES, **sales.QUERIES, **titles.QUERIES, **rules.QUERIES, **actions.QUERIES, **others.QUERIES, **composites.QUERIES}

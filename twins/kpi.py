@@ -23,6 +23,13 @@ SUMMARY = f"""SELECT {big('cur.tickets')} AS total_tickets, {big('capacity')} AS
   {growth('cur.occupancy', 'prev.occupancy')} AS growth_occupancy FROM cur, prev"""
 
 
+def scoped_summary(scope: str) -> str:
+    query = sql(TOTALS + SUMMARY)
+    for name in "wp":
+        query = query.replace(f"{name} AS (SELECT * FROM facts WHERE", f"{name} AS (SELECT * FROM facts WHERE {scope} AND")
+    return query
+
+
 def occupancy_group(expr: str) -> str:
     return f"""SELECT {expr} AS time_group, {big('SUM(tickets)')} AS total_tickets,
       {big('SUM(total_capacity)')} AS total_capacity, {r2('AVG(seat_share) * 100')} AS occupancy FROM w GROUP BY 1"""
@@ -90,9 +97,10 @@ QUERIES = {
         total_capacity, tickets, {money('revenue')} AS revenue, {r2('seat_share * 100')} AS occupancy FROM w"""
     ),
     "sales_summary": sql(TOTALS + SUMMARY),
-    "sales_summary_asia": sql(TOTALS + SUMMARY).replace(
-        "w AS (SELECT * FROM facts WHERE", "w AS (SELECT * FROM facts WHERE city = 'ASIA' AND"
-    ).replace("p AS (SELECT * FROM facts WHERE", "p AS (SELECT * FROM facts WHERE city = 'ASIA' AND"),
+    "sales_summary_asia": scoped_summary("city = 'ASIA'"),
+    "sales_summary_venue": scoped_summary("cinema_id = 8"),
+    "sales_summary_room": scoped_summary("city = 'ASIA' AND studio_id = 13"),
+    "sales_summary_title": scoped_summary("movie_id = 17"),
     "period_growth": sql(
         TOTALS
         + " UNION ALL ".join(
