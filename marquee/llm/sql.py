@@ -146,8 +146,55 @@ SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT)
 FROM v LEFT JOIN coded USING (row), digest
 """
 
+# The patterns and limits of the operation. Values and texts have no word character
+# right behind a match, so that splitting sees the same word boundaries as searching.
+PATTERNS = {
+    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "login": r"""(?i)\b(user|username|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)""",
+    "endpoint": r"""(?i)\b(?:(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?:host|hostname|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]+)""",
+}
+QUOTED = {name: pattern.replace("'", "''") for name, pattern in PATTERNS.items()}
+MATCHES = " UNION ALL ".join(
+    f"SELECT row, '{name}' AS source, regexp_extract_all(t, '{x}') AS f, string_split_regex(t, '{x}') AS b FROM d" for name, x in QUOTED.items()
+)
+
+SECRETS = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), m AS ({MATCHES}
+), placed AS (
+  SELECT row, source, f[i] AS s, SUM(length(b[i]) + length(f[i])) OVER (PARTITION BY row, source ORDER BY i) AS e
+  FROM m, unnest(range(1, len(f) + 1)) AS u(i)
+), sized AS (
+  SELECT row, source, CAST(e - length(s) AS BIGINT) AS a, CAST(e AS BIGINT) AS e,
+    CASE WHEN source = 'assign' THEN length(regexp_extract(s, '{QUOTED["assign"]}', 2)) ELSE length(s) END AS n FROM placed
+), kinds AS (
+  SELECT row, a, e, CASE WHEN source = 'assign' AND n >= 12 THEN 'assign' WHEN source = 'assign' AND n >= 6 THEN 'weak_secret'
+    WHEN source = 'access' AND n >= 18 THEN 'access' WHEN source = 'access' THEN 'weak_access'
+    WHEN source = 'hex' AND n >= 16 THEN 'hex' WHEN source IN ('login', 'endpoint') THEN source END AS kind,
+    CASE source WHEN 'assign' THEN 'secret' WHEN 'hex' THEN 'secret' WHEN 'endpoint' THEN 'endpoint' ELSE 'identifier' END AS role
+  FROM sized
+), parts AS MATERIALIZED (SELECT * FROM kinds WHERE kind IS NOT NULL
+), weak AS (
+  SELECT x.row, x.a, x.e, x.kind FROM parts x JOIN parts y ON x.row = y.row AND y.role NOT IN (x.role, 'endpoint') AND y.a <= x.e + 200 AND y.e >= x.a - 200
+  WHERE x.kind NOT IN ('assign', 'access', 'hex') GROUP BY x.row, x.a, x.e, x.kind, x.role
+  HAVING COUNT(DISTINCT y.role) >= CASE WHEN x.role = 'endpoint' THEN 2 ELSE 1 END
+), spans AS (
+  SELECT row, a, kind, kind || ':' || a || ':' || e AS span,
+    list_position(['assign', 'access', 'hex', 'weak_secret', 'weak_access', 'login', 'endpoint'], kind) AS k
+  FROM (SELECT row, a, e, kind FROM parts WHERE kind IN ('assign', 'access', 'hex') UNION ALL SELECT * FROM weak)
+), listed AS (
+  SELECT row, COUNT(*) FILTER (k = 1) AS n_assign, COUNT(*) FILTER (k = 2) AS n_access, COUNT(*) FILTER (k = 3) AS n_hex,
+    string_agg(span, ',' ORDER BY a, k) FILTER (k <= 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM spans GROUP BY 1
+)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
+  sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN listed USING (row)
+"""
+
 QUERIES = {
     "op1_ann": ANN,
+    "op4_secrets": SECRETS,
     "op11_negatives": NEGATIVES,
     "op12_codebooks": CODEBOOKS,
     "op2_urls": URLS,

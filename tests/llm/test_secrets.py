@@ -89,3 +89,19 @@ def test_redaction(documents):
 def test_empty_table(documents):
     assert secrets.report(documents([])).count() == 0
     assert secrets.redact(documents([])).count() == 0
+
+
+def test_sql_equals_brute_force_on_planted_credentials():
+    """The given tables hold no linked parts, so the SQL is held against rows that do."""
+    import duckdb
+    import pyarrow as pa
+
+    from marquee.llm import sql
+
+    rows = [(i, x) for i, (_, x) in enumerate(ROWS)]
+    documents = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows], pa.string())})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = {r[0]: r[1:] for r in con.sql(sql.SECRETS).fetchall()}
+    assert got == {i: brute(x) for i, x in rows}
+    assert any("weak_" in r[-1] or "login" in r[-1] for r in got.values())
