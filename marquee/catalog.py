@@ -213,10 +213,9 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("recommended_count", F.size("recommended_actions").cast("long")).drop("recommended_actions")
 
 
-def _streamed(slide: str | None = None, append: bool = False) -> WithFolder:
+def _streamed(slide: str | None = None, sink: Callable[..., DataFrame] = activity.run_complete) -> WithFolder:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = activity.hourly_activity(activity.event_stream(spark, f"{sf_dir}/events*.parquet"), slide)
-        sink = activity.run_append if append else activity.run_complete
         return sink(spark, rows, "activity")
 
     return run
@@ -235,7 +234,9 @@ def _streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS: dict[str, WithFolder] = {
     "stream_hourly_activity": _streamed(),
     "stream_hourly_activity_sliding": _streamed(slide="10 minutes"),
-    "stream_hourly_activity_append": _streamed(append=True),
+    "stream_hourly_activity_append": _streamed(sink=activity.run_append),
+    "stream_hourly_activity_update": _streamed(sink=activity.run_update),
+    "stream_hourly_activity_sliding_update": _streamed(slide="10 minutes", sink=activity.run_update),
     "stream_upsert": _streamed_upsert,
     "insight_upsert": lambda spark, d: insights.decoded(_stored(spark, d)),
     "insight_history": lambda spark, d: insights.decoded(

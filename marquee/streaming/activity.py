@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.schemas import EVENTS, INSIGHT
-from marquee.session import exists, new_folder
+from marquee.session import exists, new_folder, stored
 from marquee.sources.snapshots import SnapshotStore
 
+# What tells the rows of a table of hours apart.
+HOUR = ["window_start", "window_end", "event_type"]
 
-def event_stream(spark: SparkSession, path_glob: str) -> DataFrame:
+
+def event_stream(spark: SparkSession, path_glob: str, files: int = 1000) -> DataFrame:
     """Events as they arrive in files; ``path_glob`` is a pattern of files or folders."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", "1000").parquet(path_glob)
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", str(files)).parquet(path_glob)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -81,6 +84,44 @@ def run_complete(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFra
     return rows.filter(F.col("batch") == newest).drop("batch")
 
 
+def merge_hours(batch: DataFrame, batch_id: int, out: str) -> None:
+    """Put changed hours into the folders of their days; of each hour and type the newest batch stays.
+
+    Only days that the batch touches are read and written. A batch that runs twice gives the same table.
+    """
+    spark = batch.sparkSession
+    day = F.to_date("window_start").alias("day")
+    # Written once: state is not asked again, and the days are known before their folders are replaced.
+    rows = stored(batch.select("*", F.lit(batch_id).cast("long").alias("batch"), day), "changes")
+    if exists(spark, out):
+        old = spark.read.schema(rows.schema).parquet(out)
+        rows = rows.unionByName(old.join(rows.select("day").distinct(), "day", "left_semi"))
+    rest = [c for c in rows.columns if c not in (*HOUR, "day")]
+    newest = rows.groupBy("day", *HOUR).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    merged = stored(newest.select("day", *HOUR, "row.*"), "hours")
+    merged.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(out)
+
+
+def run_update(spark: SparkSession, frame: DataFrame, purpose: str, state: str | None = None, out: str | None = None) -> DataFrame:
+    """Process all that has arrived, and merge what has changed into a table of hours by day.
+
+    State holds open hours only: the watermark drops an hour once no row of it is awaited, and rows
+    later than that are dropped. ``state`` and ``out`` continue an earlier run.
+    """
+    out, state = out or new_folder(spark, purpose), state or new_folder(spark, f"{purpose}-state")
+    query = (
+        frame.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: merge_hours(batch, batch_id, out))
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if not exists(spark, out):  # no micro-batch has run
+        return spark.createDataFrame([], frame.schema)
+    return spark.read.schema(frame.schema).parquet(out).select(*frame.columns)
+
+
 def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore, files: int = 1) -> DataFrame:
     """Merge insights that arrive as files into the store, one new version per micro-batch.
 

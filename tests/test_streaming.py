@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from marquee.schemas import EVENTS
 from marquee.session import new_folder
@@ -51,6 +53,65 @@ def test_append_holds_open_hours_and_drops_late_rows(spark):
     assert set(second) == {datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 20)}
 
 
+def test_update_merges_hours_with_bounded_state(spark):
+    folder, out, state = (new_folder(spark, n) for n in ("events", "hours", "state"))
+    for day in range(1, 9):  # one micro-batch a day, three hours each
+        events(spark, folder, *(datetime(2024, 1, day, hour, 5) for hour in (1, 2, 23)))
+    rows_in_state, dropped = [], []
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event): ...
+        def onQueryTerminated(self, event): ...
+        def onQueryIdle(self, event): ...
+        def onQueryProgress(self, event):
+            rows_in_state.extend(s.numRowsTotal for s in event.progress.stateOperators)
+            dropped.extend(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        frame = activity.hourly_activity(activity.event_stream(spark, folder, files=1))
+        first = by(activity.run_update(spark, frame, "t", state, out), "window_start")
+        assert len(first) == 24 and {r["events"] for r in first.values()} == {1}
+        # Later: one more in an hour that is still open, one that is too late, one in a new hour of an old day.
+        events(spark, folder, datetime(2024, 1, 8, 23, 50), datetime(2024, 1, 2, 1, 50), datetime(2024, 1, 8, 22, 30))
+        second = by(activity.run_update(spark, frame, "t", state, out), "window_start")
+    finally:
+        spark.streams.removeListener(listener)
+    assert second[datetime(2024, 1, 8, 23)]["events"] == 2 and second[datetime(2024, 1, 2, 1)]["events"] == 1
+    assert second[datetime(2024, 1, 8, 22)]["events"] == 1 and len(second) == 25
+    assert max(rows_in_state) <= 6 and sum(dropped) == 1
+
+
+def test_update_repeated_batch_changes_nothing(spark):
+    out = new_folder(spark, "hours")
+    schema = "window_start timestamp, window_end timestamp, event_type string, events long, total_value decimal(28,4)"
+
+    def batch(*items):
+        rows = [(datetime(2024, 1, d, h), datetime(2024, 1, d, h + 1), kind, n, None) for d, h, kind, n in items]
+        return spark.createDataFrame(rows, schema)
+
+    def table():
+        rows = spark.read.schema(schema).parquet(out).collect()
+        return {(r["window_start"].day, r["window_start"].hour, r["event_type"]): r["events"] for r in rows}
+
+    activity.merge_hours(batch((1, 1, "a", 2), (1, 1, None, 1), (2, 1, "a", 5)), 0, out)
+    files = set(Path(out, "day=2024-01-02").glob("*.parquet"))
+    for _ in range(2):
+        activity.merge_hours(batch((1, 1, "a", 3), (1, 2, "a", 1)), 1, out)
+        assert table() == {(1, 1, "a"): 3, (1, 1, None): 1, (1, 2, "a"): 1, (2, 1, "a"): 5}
+    activity.merge_hours(batch(), 2, out)
+    assert len(table()) == 4
+    # A day without changes keeps its files.
+    assert set(Path(out, "day=2024-01-02").glob("*.parquet")) == files and files
+
+
+def test_update_without_input(spark):
+    folder = new_folder(spark, "events")
+    spark.createDataFrame([], EVENTS).write.parquet(folder)
+    assert activity.run_update(spark, activity.hourly_activity(activity.event_stream(spark, folder)), "t").count() == 0
+
+
 def test_overlapping_hours(spark):
     folder = new_folder(spark, "events")
     events(spark, folder, datetime(2024, 1, 1, 10, 5))

@@ -140,4 +140,6 @@ QUERIES = {
     "stream_hourly_activity": stream(),
     "stream_hourly_activity_sliding": stream(10),
     "stream_hourly_activity_append": stream(closed=True),
+    "stream_hourly_activity_update": stream(),
+    "stream_hourly_activity_sliding_update": stream(10),
 }
