@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from marquee.functions.frames import attach
 from marquee.operators import alerts, kpi, sales, titles
-from marquee.plans.facts import rolled
+from marquee.plans.facts import newest_sale, rolled
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
 
 def system_status(t: Tables, system_active: bool = True) -> DataFrame:
     """Whether data arrive, the newest sale, and venues by activity over all time."""
-    newest = t.tiket.agg(F.max("trans_time").alias("last_update"))
+    newest = newest_sale(t).withColumnRenamed("newest", "last_update")
     status = F.lit("active" if system_active else "down").alias("status")
     return attach(kpi.venue_status_summary(t, system_active), newest, "last_update").select(
         status, "last_update", "health_rate", "total_nodes", "active_nodes", "inactive_nodes", "down_nodes"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.expr import genre_array, payment_fee, start_seconds
 from marquee.functions.frames import paged, totals
-from marquee.plans.facts import venues
+from marquee.plans.facts import tickets_sold, venues
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
@@ -114,8 +114,8 @@ def schedules_count(t: Tables, f: Filters = Filters(), status: str | None = None
     return totals(schedules_list(t, f, status), limit)
 
 
-def _tickets(t: Tables) -> DataFrame:
-    return t.tiket.join(t.schedules.select("schedule_id", "movie_id", "studio_id"), "schedule_id").join(
+def _tickets(t: Tables, f: Filters = Filters()) -> DataFrame:
+    return tickets_sold(t, f).join(t.schedules.select("schedule_id", "movie_id", "studio_id"), "schedule_id").join(
         t.studio.select("studio_id", "cinema_id"), "studio_id"
     )
 
@@ -130,9 +130,8 @@ def tickets_list(
     after: Row | dict | None = None,
 ) -> DataFrame:
     """Tickets by sale time, the newest first, under their public names."""
-    rows = _tickets(t).filter(
-        f.sale_window()
-        & f.scope("movie_id", "cinema_id", "payment_type")
+    rows = _tickets(t, f).filter(
+        f.scope("movie_id", "cinema_id", "payment_type")
         & _is("schedule_id", schedule_id)
         & _is("seat_category", seat_category)
     )

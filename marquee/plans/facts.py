@@ -12,6 +12,7 @@ and the column is not read.
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,36 @@ def shows(t: Tables, f: Filters) -> DataFrame:
     return all_shows(t).filter(f.show_window() & f.scope(*SCOPE_COLUMNS))
 
 
+def tickets_sold(t: Tables, f: Filters) -> DataFrame:
+    """Tickets of the window of sale times; from the folders of its days where there are such.
+
+    A folder is a day in UTC and the window one of the session, so a day more is opened at either end.
+    """
+    if t.sales is None or f.start is None:
+        return t.tiket.filter(f.sale_window())
+    day = timedelta(days=1)
+    near = F.col("sale_date").between(F.lit(f.start - day), F.lit(f.end + day))
+    return t.sales.filter(near & f.sale_window()).drop("sale_date")
+
+
+def newest_sale(t: Tables) -> DataFrame:
+    """The time of the newest sale, one row; null without tickets. The newest folder alone is read
+    where tickets lie by the day of their sale."""
+    tickets = t.tiket if t.last_sale is None else t.sales.filter(F.col("sale_date") == F.lit(t.last_sale))
+    return tickets.agg(F.max("trans_time").alias("newest"))
+
+
+def last_hour(t: Tables) -> DataFrame:
+    """Tickets of the hour up to the newest sale, both ends included."""
+    newest = newest_sale(t).scalar()
+    tickets = t.tiket
+    if t.last_sale is not None:
+        # The hour reaches into the day before at most.
+        near = F.col("sale_date").between(F.lit(t.last_sale - timedelta(days=1)), F.lit(t.last_sale))
+        tickets = t.sales.filter(near).drop("sale_date")
+    return tickets.filter(F.col("trans_time").between(newest - F.expr("INTERVAL 1 HOUR"), newest))
+
+
 def ticket_sums(
     t: Tables, *extra: str, f: Filters | None = None, shown: Filters | None = None, seats: bool = False
 ) -> DataFrame:
@@ -48,7 +79,7 @@ def ticket_sums(
     tickets carry the date of their show it prunes their folders; where not, the join alone decides.
     ``seats`` adds a count per known seat category, still one row per show.
     """
-    tickets = t.tiket if f is None else t.tiket.filter(f.sale_window())
+    tickets = t.tiket if f is None else tickets_sold(t, f)
     if shown is not None and "show_date" in tickets.columns:
         tickets = tickets.filter(shown.show_window())
     return tickets.groupBy("schedule_id", *extra).agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marquee.plans.facts import ROLLUP_COLUMNS, rolled_up
 from marquee.plans.filters import Filters
-from marquee.session import stored
+from marquee.session import drop_folder, stored
 from marquee.sources.tables import Tables
 
 _NO_DATE = "__HIVE_DEFAULT_PARTITION__"
@@ -55,10 +55,8 @@ class DailyRollup:
         rows = stored(rolled_up(part, Filters()).select(*ROLLUP_COLUMNS), "refresh")
         self._write(rows, "overwrite")
         left = {r["show_date"] for r in rows.select("show_date").distinct().collect()}
-        jvm = self.spark.sparkContext._jvm
         for day in dates - left:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/show_date={_NO_DATE if day is None else day}")
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            drop_folder(self.spark, f"{self.root}/show_date={_NO_DATE if day is None else day}")
 
     def tables(self, t: Tables) -> Tables:
         """``t`` with this rollup, which covers every window."""

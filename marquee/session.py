@@ -81,10 +81,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[key]
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system it belongs to."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a folder."""
+    files, place = _file_system(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place) if x.isDirectory()]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a table that its owner keeps; nothing happens where there is none."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

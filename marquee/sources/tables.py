@@ -28,6 +28,10 @@ class Tables:
     # Rolled-up shows of a window, where they have been stored (see plans.facts.with_rollup).
     rollup: DataFrame | None = None
     rollup_days: tuple[date, date] | None = None
+    # Tickets by the day of their sale and the newest such day, where they are stored that way (see
+    # sources.ledger).
+    sales: DataFrame | None = None
+    last_sale: date | None = None
 
     def register_views(self) -> None:
         """Make the tables available to ``spark.sql``."""
