@@ -38,7 +38,9 @@ KPI: dict[str, Operator] = {
     "occupancy_summary": lambda t: kpi.occupancy_summary(t, WINDOW),
     "movie_stats_summary": lambda t: kpi.movie_stats_summary(t, WINDOW),
     "rating_breakdown": lambda t: kpi.rating_breakdown(t, WINDOW),
+    "rating_breakdown_rating": lambda t: kpi.rating_breakdown(t, WINDOW.scoped(rating_usia="17+")),
     "movie_rankings": lambda t: kpi.movie_rankings(t, WINDOW),
+    "movie_rankings_rating": lambda t: kpi.movie_rankings(t, WINDOW.scoped(rating_usia="13+", city="ASIA")),
     "movie_rankings_top10": lambda t: kpi.movie_rankings(t, WINDOW, top=10),
     "movie_sales_txn": lambda t: kpi.movie_sales_txn(t, WINDOW),
     "movie_detail": lambda t: kpi.movie_detail(t),
@@ -84,6 +86,7 @@ SALES: dict[str, Operator] = {
     "weekend_weekday": lambda t: sales.weekend_weekday(t, WINDOW),
     "weekend_weekday_summary": lambda t: sales.weekend_weekday_summary(t, WINDOW),
     "payment_mix": lambda t: sales.payment_mix(t, WINDOW),
+    "payment_mix_venue": lambda t: sales.payment_mix(t, WINDOW.scoped(cinema_id=8, payment_type="QRIS")),
     "payment_mix_summary": lambda t: sales.payment_mix_summary(t, WINDOW),
     "risk_summary": lambda t: sales.risk_summary(t, WINDOW),
     "risk_schedules": lambda t: sales.risk_schedules(t, WINDOW),
@@ -184,6 +187,9 @@ ALERTS: dict[str, Operator] = {
     "alerts_filtered": lambda t: alerts.alerts_filtered(
         alerts.alerts(t, WINDOW), examples.read_log(t), status="unread", severity="info"
     ).drop("read_at"),
+    "alerts_count": lambda t: alerts.alerts_count(
+        alerts.alerts(t, WINDOW), examples.read_log(t), status="unread", severity="info"
+    ),
     "alert_summary": lambda t: alerts.alert_summary(alerts.alerts(t, WINDOW), examples.read_log(t)),
 }
 

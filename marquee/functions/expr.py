@@ -61,6 +61,11 @@ def slot_label(start_time="start_time") -> Column:
     return F.concat(F.lpad(start_hour(start_time).cast("string"), 2, "0"), F.lit(":00"))
 
 
+def text_place(name: str) -> Column:
+    """A text as part of an ascending place for ``min_by``, where nulls would come first: here they are last."""
+    return F.struct(F.col(name).isNull(), F.col(name))
+
+
 def start_seconds(start_time="start_time") -> Column:
     parts = F.split(as_col(start_time), ":")
     return sum(

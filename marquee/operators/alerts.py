@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.expr import fill
-from marquee.functions.frames import page
+from marquee.functions.frames import page, totals
 from marquee.operators import kpi, scopes
 from marquee.operators.scopes import SCOPE, by_scope
 from marquee.plans.facts import all_shows, session_facts
@@ -111,6 +111,13 @@ def alerts_filtered(
     return page(out, [F.asc(c) for c in (*SCOPE, "type")], page_number, limit)
 
 
+def alerts_count(
+    rows: DataFrame, read_log: DataFrame, status: str = "all", severity: str | None = None, limit: int = 20
+) -> DataFrame:
+    """Alerts that the same filters leave, and their pages of ``limit``."""
+    return totals(alerts_filtered(rows, read_log, status, severity), limit)
+
+
 def alert_summary(rows: DataFrame, read_log: DataFrame) -> DataFrame:
     """Alerts by severity and unread, per kind of scope; the global row is the network's."""
     severity = F.col("severity")

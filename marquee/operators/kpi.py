@@ -17,10 +17,14 @@ from marquee.functions.expr import (
     rounded_ratio,
     seat_sums,
     start_hour,
+    text_place,
 )
 from marquee.functions.frames import attach, first_per, page
+from marquee.operators import orders
 from marquee.plans.facts import (
     all_shows,
+    last_hour,
+    newest_sale,
     sales_facts,
     session_facts,
     shows,
@@ -202,7 +206,7 @@ def movie_stats_summary(t: Tables, f: Filters) -> DataFrame:
     by_movie = rows.join(t.movies, "movie_id").filter(f.scope("rating_usia"))
     best_movie = by_movie.filter("tickets > 0").agg(
         F.min_by(
-            F.struct("movie_id", "title", "tickets"), F.struct(-F.col("tickets"), F.col("title"), F.col("movie_id"))
+            F.struct("movie_id", "title", "tickets"), F.struct(-F.col("tickets"), text_place("title"), F.col("movie_id"))
         ).alias("m")
     )
     best_genre = (
@@ -271,7 +275,7 @@ def movie_rankings(t: Tables, f: Filters, top: int | None = None) -> DataFrame:
         F.col("revenue").cast("double").alias("revenue"),
         *SEAT_COLUMNS,
     )
-    return rows if top is None else rows.orderBy(F.desc("tickets_sold"), F.asc("title"), F.asc("movie_id")).limit(top)
+    return rows if top is None else orders.ordered("movie_rankings", rows, top)
 
 
 def movie_sales_rows(t: Tables, f: Filters) -> DataFrame:
@@ -284,14 +288,10 @@ def movie_sales_rows(t: Tables, f: Filters) -> DataFrame:
     )
 
 
-def movie_sales_order() -> list[Column]:
-    return [F.desc("total_tickets"), F.desc("total_revenue"), F.asc("title"), F.asc("movie_id")]
-
-
 def movie_sales_txn(t: Tables, f: Filters, top_n: int | None = None) -> DataFrame:
     rows = movie_sales_rows(t, f)
     if top_n:
-        rows = rows.orderBy(*movie_sales_order()).limit(top_n)
+        rows = orders.ordered("movie_sales_txn", rows, top_n)
     return rows.select("movie_id", "title", "total_tickets", F.col("total_revenue").cast("double").alias("total_revenue"))
 
 
@@ -498,7 +498,7 @@ def cinema_rows(t: Tables, f: Filters) -> DataFrame:
     best_movie = first_per(
         by_movie,
         ["cinema_id"],
-        [-F.col("tickets_sold"), F.col("title"), F.col("movie_id")],
+        [-F.col("tickets_sold"), text_place("title"), F.col("movie_id")],
         ["movie_id", "title", "tickets_sold"],
         "top_movie",
     )
@@ -601,9 +601,7 @@ def city_revenue(t: Tables, f: Filters) -> DataFrame:
 
 def last_hour_tickets(t: Tables) -> DataFrame:
     """Tickets of the hour up to the newest ticket, both ends included, summed per show."""
-    newest = t.tiket.agg(F.max("trans_time").alias("newest")).scalar()
-    recent = t.tiket.filter(F.col("trans_time").between(newest - F.expr("INTERVAL 1 HOUR"), newest))
-    return recent.groupBy("schedule_id").agg(
+    return last_hour(t).groupBy("schedule_id").agg(
         F.count(F.lit(1)).alias("tickets"), F.sum("final_price").alias("revenue")
     )
 
@@ -615,7 +613,7 @@ def _sold(frame: DataFrame, *keys: str) -> DataFrame:
 
 
 def last_hour_total(t: Tables) -> DataFrame:
-    newest = t.tiket.agg(F.max("trans_time").alias("window_end"))
+    newest = newest_sale(t).withColumnRenamed("newest", "window_end")
     return attach(
         last_hour_tickets(t).agg(F.coalesce(F.sum("tickets"), F.lit(0)).alias("tickets_last_hour")), newest, "window_end"
     ).select(

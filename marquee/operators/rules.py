@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import constants as C
-from marquee.functions.expr import day_number, genre_array, growth, minmax, money, percent, round2, rounded_ratio
+from marquee.functions.expr import day_number, genre_array, growth, minmax, money, percent, round2, rounded_ratio, text_place
 from marquee.functions.frames import attach
-from marquee.operators import sales
-from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, sold_shows
+from marquee.operators import orders, sales
+from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, sold_shows, tickets_sold
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
 
@@ -49,12 +49,8 @@ def price_actions(slots: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def price_order() -> list[Column]:
-    return [F.desc(F.abs("suggested_price_change_pct")), F.asc("time_slot")]
-
-
 def pricing_recommendation(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
-    return price_actions(sales.time_slots(t, f)).orderBy(*price_order()).limit(top_n or 10)
+    return orders.ordered("pricing_recommendation", price_actions(sales.time_slots(t, f)), top_n or 10)
 
 
 def pricing_recommendation_summary(t: Tables, f: Filters) -> DataFrame:
@@ -124,29 +120,18 @@ def ad_scores(spanned: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ad_order() -> list[Column]:
-    return [
-        F.desc("ad_score"),
-        F.desc("audience_size"),
-        F.desc("total_revenue"),
-        F.asc("title"),
-        F.asc("time_slot"),
-        F.asc("movie_id"),
-    ]
-
-
 def _ad_rows(t: Tables, f: Filters) -> DataFrame:
     sums = ad_sums(session_facts(t, f)).join(t.movies.select("movie_id", "title", "genre"), "movie_id")
     return ad_scores(attach(sums, ad_span(sums), *AD_SPAN))
 
 
 def best_ad_slot(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
-    return _ad_rows(t, f).orderBy(*ad_order()).limit(top_n or 10)
+    return orders.ordered("best_ad_slot", _ad_rows(t, f), top_n or 10)
 
 
 def best_ad_slot_summary(t: Tables, f: Filters) -> DataFrame:
     place = F.struct(
-        *[-F.col(c) for c in ("ad_score", "audience_size", "total_revenue")], F.col("title"), F.col("time_slot")
+        *[-F.col(c) for c in ("ad_score", "audience_size", "total_revenue")], text_place("title"), F.col("time_slot")
     )
     best = F.min_by(F.struct("title", "time_slot", "ad_score"), place).alias("best")
     return (
@@ -232,7 +217,7 @@ def cannibalization(
         .agg(
             F.count(F.lit(1)).alias("titles"),
             F.min_by(
-                F.struct("movie_id", "title", "occupancy"), F.struct(-F.col("occupancy"), F.col("title"), F.col("movie_id"))
+                F.struct("movie_id", "title", "occupancy"), F.struct(-F.col("occupancy"), text_place("title"), F.col("movie_id"))
             ).alias("best"),
         )
         .filter((F.col("titles") >= 2) & (F.col("best.occupancy") >= min_competitor_occupancy))
@@ -291,7 +276,7 @@ def forecast(t: Tables, f: Filters, days_ahead: int = 7, lookback_weeks: int = 4
         ahead.start - timedelta(days=max(1, lookback_weeks) * 7), ahead.start - timedelta(days=1)
     )
     sold = (
-        t.tiket.filter(past.sale_window())
+        tickets_sold(t, past)
         .groupBy("schedule_id", F.to_date("trans_time").alias("day"))
         .agg(F.count(F.lit(1)).alias("tickets"), F.sum("final_price").alias("revenue"))
         .join(all_shows(t).filter(f.scope(*SCOPE_COLUMNS)).select("schedule_id"), "schedule_id")

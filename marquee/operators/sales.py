@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import constants as C
-from marquee.functions.expr import day_type, minmax, money, payment_fee, percent, round2, rounded_ratio
+from marquee.functions.expr import day_type, minmax, money, payment_fee, percent, round2, rounded_ratio, text_place
 from marquee.functions.frames import attach, numbered, of_whole, top_numbered, with_whole
-from marquee.operators import kpi
+from marquee.operators import kpi, orders
 from marquee.plans.facts import (
     sales_facts,
     session_facts,
@@ -167,7 +167,7 @@ def revenue_by_movie(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("total_tickets", "total_revenue")]
     rows = with_whole(kpi.movie_sales_rows(t, f), ["movie_id", "title"], *sums)
     # All titles together come first, so the window holds one row more than is asked for.
-    first = top_numbered(rows, [F.desc("_whole"), *kpi.movie_sales_order()], (top_n or 10) + 1)
+    first = top_numbered(rows, [F.desc("_whole"), *orders.movie_sales()], (top_n or 10) + 1)
     first = first.withColumn("_all", of_whole("total_revenue")).filter("not _whole")
     return first.select(
         (F.col("rank") - 1).alias("rank"),
@@ -180,7 +180,7 @@ def revenue_by_movie(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
 
 
 def revenue_by_movie_summary(t: Tables, f: Filters) -> DataFrame:
-    place = F.struct(-F.col("total_tickets"), -F.col("total_revenue"), F.col("title"), F.col("movie_id"))
+    place = F.struct(-F.col("total_tickets"), -orders.amount("total_revenue"), text_place("title"), F.col("movie_id"))
     best = F.min_by(F.struct("movie_id", "title"), place)
     return (
         kpi.movie_sales_rows(t, f)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marquee import constants as C
 from marquee.functions.expr import growth, money, rounded_ratio
 from marquee.functions.frames import top_per
-from marquee.operators import rules, sales
+from marquee.operators import orders, rules, sales
 from marquee.operators.kpi import PARTS, window_parts, with_occupancy
 from marquee.plans.facts import session_facts, shows, venues
 from marquee.plans.filters import Filters
@@ -180,7 +180,7 @@ def scope_peak_quiet(t: Tables, f: Filters) -> DataFrame:
 
 def scope_pricing(t: Tables, f: Filters, top_n: int = 5) -> DataFrame:
     """The first price actions of every scope."""
-    return top_per(rules.price_actions(scope_time_slots(t, f), *SCOPE), SCOPE, rules.price_order(), top_n)
+    return top_per(rules.price_actions(scope_time_slots(t, f), *SCOPE), SCOPE, orders.prices(), top_n)
 
 
 def scope_pricing_summary(t: Tables, f: Filters) -> DataFrame:
@@ -226,4 +226,4 @@ def scope_ad_slots(t: Tables, f: Filters, top_n: int = 3) -> DataFrame:
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))
     )
     scored = rules.ad_scores(salted.join(span, [*SCOPE, "_salt"]), *SCOPE, "total_candidates")
-    return top_per(scored, SCOPE, rules.ad_order(), top_n)
+    return top_per(scored, SCOPE, orders.ad_slots(), top_n)

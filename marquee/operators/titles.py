@@ -17,7 +17,7 @@ from marquee.functions.expr import (
     seat_sums,
 )
 from marquee.functions.frames import attach, top_numbered
-from marquee.operators import kpi, sales
+from marquee.operators import kpi, orders, sales
 from marquee.plans.facts import SCOPE_COLUMNS, all_shows, session_facts, shows, ticket_sums, rolled
 from marquee.plans.filters import Filters
 from marquee.sources.tables import Tables
@@ -55,7 +55,7 @@ def films_performance(t: Tables, f: Filters, top_n: int = 10) -> DataFrame:
         .groupBy("movie_id")
         .agg(F.sum("tickets").alias("total_tickets"), F.sum("revenue").alias("total_revenue"), *seat_sums())
     )
-    first = top_numbered(sums.join(t.movies, "movie_id"), kpi.movie_sales_order(), top_n or 10)
+    first = top_numbered(sums.join(t.movies, "movie_id"), orders.movie_sales(), top_n or 10)
     shown = Window.partitionBy()  # top_n rows
     tickets, revenue = F.col("total_tickets"), F.col("total_revenue")
     score = (

@@ -42,10 +42,11 @@ MOVIE_ROWS = """
    JOIN tiket USING (schedule_id) WHERE show_date {w} GROUP BY 1)
 """.format(w=WINDOW)
 
-RANK_SELECT = f"""SELECT movie_id, title, {GENRE_TEXT} AS genre, rating_usia, duration_min,
+def rankings(more: str = "") -> str:
+    return f"""SELECT movie_id, title, {GENRE_TEXT} AS genre, rating_usia, duration_min,
   COUNT(tiket_id) AS tickets_sold, {dbl('COALESCE(SUM(final_price), 0)')} AS revenue, {SEATS}
   FROM shows JOIN movies USING (movie_id) LEFT JOIN tiket USING (schedule_id)
-  WHERE show_date {WINDOW} GROUP BY movie_id, title, genre, rating_usia, duration_min"""
+  WHERE show_date {WINDOW}{more} GROUP BY movie_id, title, genre, rating_usia, duration_min"""
 
 
 def cinema_ctes(window: bool) -> str:
@@ -143,8 +144,14 @@ QUERIES = {
         FROM shows JOIN movies USING (movie_id) LEFT JOIN tiket USING (schedule_id)
         WHERE show_date {WINDOW} GROUP BY 1"""
     ),
-    "movie_rankings": sql(RANK_SELECT),
-    "movie_rankings_top10": sql(RANK_SELECT + " ORDER BY tickets_sold DESC, title, movie_id LIMIT 10"),
+    "rating_breakdown_rating": sql(
+        f"""SELECT rating_usia, COUNT(tiket_id) AS total_tickets_sold, COUNT(DISTINCT schedule_id) AS total_showings, {SEATS}
+        FROM shows JOIN movies USING (movie_id) LEFT JOIN tiket USING (schedule_id)
+        WHERE show_date {WINDOW} AND rating_usia = '17+' GROUP BY 1"""
+    ),
+    "movie_rankings": sql(rankings()),
+    "movie_rankings_rating": sql(rankings(" AND rating_usia = '13+' AND city = 'ASIA'")),
+    "movie_rankings_top10": sql(rankings() + " ORDER BY tickets_sold DESC, title, movie_id LIMIT 10"),
     "movie_sales_txn": sql(
         f"""SELECT movie_id, title, COUNT(*) AS total_tickets, {dbl('SUM(final_price)')} AS total_revenue
         FROM sold_txn JOIN movies USING (movie_id) GROUP BY 1, 2"""

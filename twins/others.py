@@ -104,6 +104,7 @@ QUERIES = {
     ),
     "alerts": sql(ALERTS + "SELECT * FROM alerts"),
     "alerts_filtered": sql(ALERTS + "SELECT * FROM read_alerts WHERE status = 'unread' AND severity = 'info'"),
+    "alerts_count": sql(ALERTS + counted("read_alerts WHERE status = 'unread' AND severity = 'info'", 20)),
     "alert_summary": sql(
         ALERTS
         + "SELECT scope_type, "

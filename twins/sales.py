@@ -2,7 +2,7 @@
 
 from twins import values as C
 from twins.base import AS_OF, WINDOW, big, day, growth, minmax, money, pct, r2, rratio, sql
-from twins.kpi import GROWTHS, RANK_SELECT, TOTALS, cinema_ctes
+from twins.kpi import GROWTHS, TOTALS, cinema_ctes, rankings
 
 CENTS = "CAST(revenue AS DECIMAL(28,2))"
 
@@ -71,13 +71,17 @@ FEE = (
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.PAYMENT_FEES.items())
     + f" ELSE {C.PAYMENT_FEES['unknown']} END AS BIGINT)"
 )
-PAYMENTS = f"""
-, pay AS (SELECT COALESCE(payment_type, 'unknown') AS payment_type, COUNT(*) AS n, SUM(final_price) AS r FROM sold_w GROUP BY 1)
+def payments(rows: str = "sold_w") -> str:
+    return f"""
+, pay AS (SELECT COALESCE(payment_type, 'unknown') AS payment_type, COUNT(*) AS n, SUM(final_price) AS r FROM {rows} GROUP BY 1)
 , mix AS (SELECT payment_type, n AS total_transactions, {pct('n', 'SUM(n) OVER ()')} AS usage_rate,
    {money('r')} AS gross_revenue, {rratio('r', 'n')} AS avg_price, {FEE} AS admin_fee,
    {r2(f'r - n * {FEE}')} AS net_profitability FROM pay)
 """
 
+
+PAYMENTS = payments()
+
 RISK = f"""
 , risk AS (SELECT schedule_id, movie_id, title, studio_id, cinema_id, cinema_name, city, {day('show_date')} AS show_date,
    start_time, status, tickets AS tickets_sold, {money('revenue')} AS revenue
@@ -86,7 +90,7 @@ RISK = f"""
 
 QUERIES = {
     "exec_film_contribution": sql(
-        f""", top AS ({RANK_SELECT} ORDER BY tickets_sold DESC, title, movie_id LIMIT 10)
+        f""", top AS ({rankings()} ORDER BY tickets_sold DESC, title, movie_id LIMIT 10)
         SELECT movie_id, title, tickets_sold AS total_tickets, revenue AS total_revenue,
         {pct('revenue', 'SUM(CAST(revenue AS DECIMAL(28,4))) OVER ()')} AS revenue_share FROM top"""
     ),
@@ -176,6 +180,7 @@ QUERIES = {
         FROM dt e, dt d WHERE e.day_type = 'weekend' AND d.day_type = 'weekday'"""
     ),
     "payment_mix": sql(PAYMENTS + "SELECT * FROM mix"),
+    "payment_mix_venue": sql(payments("sold_w WHERE cinema_id = 8 AND payment_type = 'QRIS'") + "SELECT * FROM mix"),
     "payment_mix_summary": sql(
         PAYMENTS
         + f"""SELECT {big('SUM(total_transactions)')} AS total_transactions,
