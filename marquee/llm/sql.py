@@ -41,10 +41,12 @@ WITH rows AS (
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1
 ), named AS (
   SELECT host, CAST(COALESCE(SUM(bad), 0) AS DOUBLE) AS bad, CAST(COALESCE(SUM(n), 0) AS DOUBLE) AS n,
-    string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS p FROM rows LEFT JOIN outcome USING (page_id) GROUP BY 1
+    regexp_replace(host, '(?s)^.*@|:[0-9]*$|\.(:[0-9]*)?$', '', 'g') AS bare, string_split(bare, '.') AS p,
+    regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') OR starts_with(bare, '[') AS address
+  FROM rows LEFT JOIN outcome USING (page_id) GROUP BY 1
 ), hosts AS (
-  SELECT host, bad, n, CASE WHEN len(p) > 2 AND array_to_string(p[-2:], '.') IN {LONG} THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix,
-    CASE WHEN len(p) < 2 THEN p[-1] WHEN len(p) > 2 AND array_to_string(p[-2:], '.') IN {LONG} THEN array_to_string(p[-3:], '.')
+  SELECT host, bad, n, CASE WHEN address THEN '(address)' WHEN len(p) > 2 AND array_to_string(p[-2:], '.') IN {LONG} THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix,
+    CASE WHEN address THEN bare WHEN len(p) < 2 THEN p[-1] WHEN len(p) > 2 AND array_to_string(p[-2:], '.') IN {LONG} THEN array_to_string(p[-3:], '.')
       ELSE array_to_string(p[-2:], '.') END AS domain FROM named
 ), domains AS (SELECT suffix, domain, SUM(bad) AS bad, SUM(n) AS n FROM hosts GROUP BY 1, 2
 ), suffixes AS (SELECT suffix, SUM(bad) AS bad, SUM(n) AS n FROM domains GROUP BY 1
@@ -52,8 +54,11 @@ WITH rows AS (
 {_level("top", "suffixes", "p", ", overall")}
 {_level("middle", "domains", "top.rate", "JOIN top ON domains.suffix = top.suffix")}
 {_level("low", "hosts", "middle.rate", "JOIN middle ON hosts.suffix = middle.suffix AND hosts.domain = middle.domain")}
-, known AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) AS lower FROM low)
-, ruled AS (SELECT rows.*, round(rate, 6) AS rate, round(lower, 6) AS lower, lower > 0.5 AS bad,
+, sides AS (SELECT host, rate, (n + s) * rate AS a, (n + s) * (1 - rate) AS b, 0.5 < (a + 1) / (n + s + 2) AS below FROM low)
+, tails AS (SELECT host, rate, below, CASE WHEN below THEN a ELSE b END AS u, CASE WHEN below THEN b ELSE a END AS v FROM sides)
+, known AS (SELECT host, rate, list_sum([exp(lgamma(u + v + i) - lgamma(u + 1 + i) - lgamma(v) + (u + i) * ln(0.5) + v * ln(0.5))
+    FOR i IN range(CAST(ceil(9 * sqrt((u + 1) / 0.5) + 160) AS BIGINT) + 1)]) AS tail, CASE WHEN below THEN 1 - tail ELSE tail END AS sure FROM tails)
+, ruled AS (SELECT rows.*, round(rate, 6) AS rate, round(sure, 6) AS sure, sure >= 0.95 AS bad,
     CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
@@ -61,7 +66,7 @@ WITH rows AS (
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM rows JOIN known USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN bad THEN 'block' ELSE 'allow' END AS verdict, rate, lower FROM ruled
+  WHEN bad THEN 'block' ELSE 'allow' END AS verdict, rate, sure FROM ruled
 """
 
 SUBSTRINGS = rf"""

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -54,7 +55,7 @@ def test_query_on_whole_table(engine, small):
         host, path = parts(rows[r["page_id"]])
         pattern, verdict = rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, pattern)
-        assert r["verdict"] == (verdict or ("block" if r["lower"] > 0.5 else "allow"))
+        assert r["verdict"] == (verdict or ("block" if r["sure"] >= 0.95 else "allow"))
 
 
 def test_shrinkage_follows_the_levels(engine):
@@ -117,7 +118,78 @@ def test_estimates_equal_the_formulas(engine):
         b, n, d = host[r["host"]]
         rate = (b + s * p2[d]) / (n + s)
         assert r["rate"] == pytest.approx(rate)
-        assert r["lower"] == pytest.approx(rate - o.z * (rate * (1 - rate) / (n + s + 1)) ** 0.5)
+        assert r["weight"] == pytest.approx(n + s)
+        assert r["sure"] == pytest.approx(above(rate, n + s, o.limit), abs=1e-9)
+
+
+def above(rate, weight, limit):
+    """The beta law's density summed up by Simpson's rule, in a variable that is flat at both ends."""
+    a, b = weight * rate, weight * (1 - rate)
+    constant = math.lgamma(weight) - math.lgamma(a) - math.lgamma(b)
+
+    def density(t):  # p = 1 / (1 + exp(-t))
+        return math.exp(constant - a * soft(-t) - b * soft(t))
+
+    def soft(t):
+        return max(t, 0.0) + math.log1p(math.exp(-abs(t)))
+
+    first = math.log(limit / (1 - limit))
+    middle = math.log(a / b)
+    last = max(first, middle) + 40 * max(1 / math.sqrt(a * b / weight), 1 / b, 0.1)
+    steps = 40_000
+    h = (last - first) / steps
+    return h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * density(first + i * h) for i in range(steps + 1))
+
+
+def test_posterior_probability(engine):
+    cases = [(r, w, x) for r in (0.02, 0.3, 0.5, 0.7, 0.97) for w in (1.0, 7.5, 240.0, 1e5) for x in (0.1, 0.5, 0.9)]
+    cases += [(x + d / w**0.5, w, x) for x in (0.1, 0.5, 0.9) for w in (1e3, 1e6) for d in (-0.9, -0.1, 0.0, 0.1, 0.9)]
+    for limit in (0.1, 0.5, 0.9):
+        mine = [c for c in cases if c[2] == limit]
+        frame = engine.createDataFrame([(r, w) for r, w, _ in mine], "rate double, weight double")
+        got = frame.select(urls.share_above(F.col("rate"), F.col("weight"), limit)).collect()
+        for (rate, weight, _), (value,) in zip(mine, got):
+            assert value == pytest.approx(above(rate, weight, limit), abs=1e-7), (rate, weight, limit)
+
+
+def test_owners(engine):
+    hosts = ["a.b.co.uk", "co.uk", "x.org", "10.0.0.1:80", "[::1]:8080", "u@w.x.org.:1", "localhost", "", "a.city.kawasaki.jp", "b.c.kobe.jp", "1.2.3"]
+    frame = engine.createDataFrame([(h,) for h in hosts], "host string")
+    plain = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_owner(frame, Options()).collect()}
+    assert plain["a.b.co.uk"] == ("b.co.uk", "co.uk") and plain["co.uk"] == ("co.uk", "uk")
+    assert plain["10.0.0.1:80"] == ("10.0.0.1", urls.ADDRESS) and plain["[::1]:8080"] == ("[::1]", urls.ADDRESS)
+    assert plain["u@w.x.org.:1"] == plain["x.org"] == ("x.org", "org") and plain["localhost"] == ("localhost", "localhost")
+    assert plain[""] == ("", "") and plain["1.2.3"] == ("2.3", "3")
+    table = engine.createDataFrame([("jp",), ("kobe.jp",), ("kawasaki.jp",), ("uk",), ("org",), ("org",), (None,)], "suffix string")
+    longer = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_owner(frame, Options(), table).collect()}
+    assert len(longer) == len(hosts)
+    assert longer["a.city.kawasaki.jp"] == ("city.kawasaki.jp", "kawasaki.jp") and longer["b.c.kobe.jp"] == ("c.kobe.jp", "kobe.jp")
+    assert longer["a.b.co.uk"] == ("co.uk", "uk") and longer["x.org"] == ("x.org", "org") and longer[""] == ("", "")
+    assert longer["10.0.0.1:80"] == ("10.0.0.1", urls.ADDRESS)
+
+
+def test_sql_on_planted_hosts(engine):
+    """The given tables hold no bad host, so the SQL is held against one that does, at each level."""
+    import duckdb
+    import pyarrow as pa
+
+    from marquee.llm import sql
+
+    rows = [(f"http://h{i % 6}.farm.org/{i}", int(i % 12 != 0)) for i in range(400)] + [(f"http://h{i % 6}.fine.org/{i}", int(i % 12 == 0)) for i in range(400)]
+    rows += [("http://quiet.farm.org/", None), ("http://quiet.fine.org/", None), ("http://10.0.0.1:80/a", 1), ("http://u@x.net./fr", 1), ("none", 0), (None, 1)]
+    pages = pa.table({"page_id": pa.array(range(len(rows)), pa.int64()), "url": pa.array([u for u, _ in rows], pa.string())})
+    labels = pa.table({"doc_id": pa.array(range(len(rows)), pa.int64()), "quality": pa.array([None if b is None else 1 - b for _, b in rows], pa.int64()), "toxic": pa.array([None] * len(rows), pa.int64())})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    con.register("labels", labels)
+    want = {r[0]: r[1:] for r in con.sql(sql.URLS).fetchall()}
+    frames = [engine.createDataFrame(x.to_pylist(), s) for x, s in ((pages, "page_id long, url string"), (labels, "doc_id long, quality long, toxic long"))]
+    got = {r["page_id"]: tuple(r)[1:] for r in urls.judge(frames[0], urls.page_labels(frames[1])).collect()}
+    assert got.keys() == want.keys()
+    for key, row in got.items():
+        assert row[:4] == want[key][:4] and row[4:] == pytest.approx(want[key][4:], abs=2e-6)
+    verdict = {rows[k][0]: r[3] for k, r in got.items()}
+    assert verdict["http://h1.farm.org/1"] == "block" and verdict["http://h1.fine.org/1"] == "allow"
 
 
 def test_no_python_in_the_plan(engine, small):
