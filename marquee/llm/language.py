@@ -105,7 +105,7 @@ def raw_scores(column: pa.Array, model: Model) -> np.ndarray:
     """Mean score of every row and language before the bias; long texts in pieces."""
     out = np.zeros((len(column), len(model.languages)))
     buckets = len(model.scores)
-    for start, stop in slices(column, _PIECE):
+    for start, stop in slices(column, _PIECE // 4):
         data, offsets = text_bytes(column.slice(start, stop - start))
         total, count = np.zeros((stop - start, out.shape[1])), np.zeros(stop - start)
         if stop - start == 1 and len(data) > 2 * _PIECE:

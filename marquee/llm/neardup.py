@@ -95,26 +95,30 @@ def superminhash(values: np.ndarray, first: np.ndarray, slots: int, seed: int) -
     return ranks.reshape(sets, slots)
 
 
-def _signature(options: Options):
+def signatures(column: pa.Array, options: Options) -> pa.Array:
+    """Size, digest of the whole set, and band keys of each text."""
     bands, width = options.bands, options.rows
+    sizes, digests, found = [], [], []
+    for a, b in slices(column, _SLICE):
+        sets = Shingles(column.slice(a, b - a), options.shingle)
+        ranks = superminhash(sets.values, sets.first, bands * width, options.seed)
+        keys = np.zeros((b - a, bands), np.uint64)
+        for r in range(width):
+            keys = mix(keys * _STEP + ranks[:, r::width] + np.arange(1, bands + 1, dtype=np.uint64))
+        count = np.diff(sets.first)
+        sizes.append(count)
+        digests += [xxhash.xxh3_128_digest(sets.of(i).tobytes()) for i in range(b - a)]
+        found.append(keys.view(np.int64))
+    n = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+    keys = np.concatenate(found) if found else np.empty((0, bands), np.int64)
+    lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["n", "digest", "bands"])
+
 
+def _signature(options: Options):
     @F.arrow_udf(_SIGNED)
     def signed(column: pa.Array) -> pa.Array:
-        sizes, digests, found = [], [], []
-        for a, b in slices(column, _SLICE):
-            sets = Shingles(column.slice(a, b - a), options.shingle)
-            ranks = superminhash(sets.values, sets.first, bands * width, options.seed)
-            keys = np.zeros((b - a, bands), np.uint64)
-            for r in range(width):
-                keys = mix(keys * _STEP + ranks[:, r::width] + np.arange(1, bands + 1, dtype=np.uint64))
-            count = np.diff(sets.first)
-            sizes.append(count)
-            digests += [xxhash.xxh3_128_digest(sets.of(i).tobytes()) for i in range(b - a)]
-            found.append(keys.view(np.int64))
-        n = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-        keys = np.concatenate(found) if found else np.empty((0, bands), np.int64)
-        lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["n", "digest", "bands"])
+        return signatures(column, options)
 
     return signed
 
@@ -164,8 +168,9 @@ def _verified(options: Options):
     return verify
 
 
-# Bytes of text that are signed together; each of their shingles holds a permutation of the slots.
-_SLICE = 1 << 20
+# Bytes of text that are signed together; each of their shingles holds a permutation of the slots,
+# two bytes each, and a copy of it while finished texts are taken out.
+_SLICE = 1 << 18
 # Members that one copy of a leader's text is compared with.
 _CHUNK = 64
 # Members from which on a group's differences from its leader are worth keeping.

@@ -431,6 +431,10 @@ def _decoder(words: Vocabulary):
     return lambda ids: b"".join(map(table.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:]
 
 
+# Bytes of text whose lattices are in memory together.
+_SLICE = 1 << 18
+
+
 def sample(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """Up to k distinct segmentations of every text, by falling perturbed log probability.
 
@@ -443,7 +447,7 @@ def sample(docs: DataFrame, options: Options = Options()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(words, options)
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), _SLICE):
                 yield _sampled_rows(lattices, batch.slice(a, b - a), options)
 
     return docs.select("doc_id", "text").mapInArrow(run, SAMPLED)
@@ -499,7 +503,7 @@ def encoded(docs: DataFrame, options: Options = Options()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, decode = Lattices(words, options), _decoder(words)
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), _SLICE):
                 rows = _sampled_rows(lattices, batch.slice(a, b - a), options)
                 ids = [x.as_buffer() for x in rows.column(2)]
                 digests = [None if x is None else hashlib.sha256(x).hexdigest() for x in ids]

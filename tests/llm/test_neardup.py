@@ -144,3 +144,18 @@ def test_components_of_paths_and_stars(engine):
 
 def test_no_links(engine):
     assert components(engine.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_are_signed_a_little_at_a_time():
+    """The permutations of a megabyte of text took more than 100 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    random.seed(4)
+    texts = pa.array([" ".join(str(random.randrange(10**6)) for _ in range(3000)) for _ in range(60)])
+    tracemalloc.start()
+    found = neardup.signatures(texts, Options())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 60 and peak < 60e6

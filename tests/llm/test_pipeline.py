@@ -93,3 +93,9 @@ def test_odd_rows_pass_all_stages(engine, documents):
     empty = documents([])
     for _, stage in C.STAGES:
         assert stage(engine, empty, FOLDER).count() == 0
+
+
+def test_workers_get_few_documents_at_a_time(engine, documents):
+    engine.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    C.segmentation(engine, documents([(1, "a text")]), "")
+    assert int(engine.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
