@@ -155,8 +155,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         t, store = read_retail(spark, sf_dir), snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
-        for as_of, run_at in RUNS:
-            store.upsert(insights.insight_records(t, as_of, run_at))
+        for records in insights.insight_runs(t, RUNS):
+            store.upsert(records)
         _STORES[key] = store
     return _STORES[key].read()
 
@@ -231,8 +231,8 @@ def _streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs arrive as files, each file with rows of one run."""
     landing = new_folder(spark, "landing")
     t = read_retail(spark, sf_dir)
-    for as_of, run_at in RUNS:
-        insights.insight_records(t, as_of, run_at).write.mode("append").parquet(landing)
+    for records in insights.insight_runs(t, RUNS):
+        records.write.mode("append").parquet(landing)
     store = snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
     return insights.decoded(activity.upsert_stream(spark, landing, store))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,11 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
     """
     f = Filters.rolling(as_of)
     t = rolled(t, f.with_previous())
-    pricing = stored(scopes.scope_pricing(t, f, actions.PRICED), "pricing")
+    hours = stored(scopes.scope_time_slots(t, f), "hours")
+    pricing = stored(scopes.scope_pricing(t, f, actions.PRICED, slots=hours), "pricing")
     best = stored(actions.candidate_actions(t, f, pricing=pricing), "actions")
     insight = actions.scope_insight(scopes.scope_metrics(t, f), best)
-    slots = scopes.scope_pricing_summary(t, f)
+    slots = scopes.scope_pricing_summary(t, f, slots=hours)
     first_ads = stored(scopes.scope_ad_slots(t, f), "ads")
     candidates = first_ads.filter("position = 1").select(
         *SCOPE, "total_candidates", F.lit(C.AD_FORMULA).alias("scoring_formula")
@@ -96,6 +98,19 @@ def insight_records(t: Tables, as_of: date | str, run_at: datetime) -> DataFrame
     ).select(*INSIGHT.fieldNames())
 
 
+def insight_runs(t: Tables, runs: Iterable[tuple[date | str, datetime]]) -> Iterator[DataFrame]:
+    """The records of several runs over the same tables, each ``as_of, run_at``.
+
+    The shows of all their windows are rolled up together, so that tickets are summed once.
+    """
+    runs = list(runs)
+    windows = [Filters.rolling(as_of).with_previous() for as_of, _ in runs]
+    if windows:
+        t = rolled(t, Filters(start=min(w.start for w in windows), end=max(w.end for w in windows)))
+    for as_of, run_at in runs:
+        yield insight_records(t, as_of, run_at)
+
+
 def newest_first() -> list[Column]:
     return [
         F.desc_nulls_last("period_end"),

@@ -17,6 +17,7 @@ from marquee.operators import orders, rules, sales
 from marquee.operators.kpi import PARTS, window_parts, with_occupancy
 from marquee.plans.facts import session_facts, shows, venues
 from marquee.plans.filters import Filters
+from marquee.session import stored
 from marquee.sources.tables import Tables
 
 SCOPE = ["scope_type", "scope_value"]
@@ -178,14 +179,18 @@ def scope_peak_quiet(t: Tables, f: Filters) -> DataFrame:
     return sales.peak_and_quiet(scope_time_slots(t, f), *SCOPE)
 
 
-def scope_pricing(t: Tables, f: Filters, top_n: int = 5) -> DataFrame:
-    """The first price actions of every scope."""
-    return top_per(rules.price_actions(scope_time_slots(t, f), *SCOPE), SCOPE, orders.prices(), top_n)
+def scope_pricing(t: Tables, f: Filters, top_n: int = 5, slots: DataFrame | None = None) -> DataFrame:
+    """The first price actions of every scope; ``slots`` is :func:`scope_time_slots` where it is known."""
+    slots = slots or scope_time_slots(t, f)
+    return top_per(rules.price_actions(slots, *SCOPE), SCOPE, orders.prices(), top_n)
 
 
-def scope_pricing_summary(t: Tables, f: Filters) -> DataFrame:
-    """Per scope: start hours looked at, changes proposed, the best and the weakest hour."""
-    slots = scope_time_slots(t, f)
+def scope_pricing_summary(t: Tables, f: Filters, slots: DataFrame | None = None) -> DataFrame:
+    """Per scope: start hours looked at, changes proposed, the best and the weakest hour.
+
+    ``slots`` is :func:`scope_time_slots` where it is known.
+    """
+    slots = slots or scope_time_slots(t, f)
     changes = (
         rules.price_actions(slots, *SCOPE)
         .groupBy(*SCOPE)
@@ -214,16 +219,18 @@ SALTS = 64
 def scope_ad_slots(t: Tables, f: Filters, top_n: int = 3) -> DataFrame:
     """The first advertising slots of every scope.
 
-    The extremes of a scope are an aggregate that is joined back. The titles of one scope may
-    be many, so the join key has a salt: the extremes of a scope that can be large are repeated
-    once per salt, and its titles spread over as many tasks. A room is small and has one salt.
+    The sums are written once, since the extremes of a scope are an aggregate of them that is joined
+    back. Rooms are many and small and are joined by scope. The others are few, so that their
+    extremes are sent to the tasks and their titles stay where they are; should they be too many for
+    that, the titles of one scope may be many as well, so the join key has a salt: the extremes are
+    repeated once per salt, and the titles of a scope spread over as many tasks.
     """
     sums = rules.ad_sums(by_scope(_room_sums(t, f, "movie_id", "time_slot")), *SCOPE, shows=F.sum("shows"))
-    titled = sums.join(t.movies.select("movie_id", "title", "genre"), "movie_id")
-    salts = F.when(F.col("scope_type") == "studio", F.lit(1)).otherwise(F.lit(SALTS))
-    salted = titled.withColumn("_salt", F.pmod(F.xxhash64("movie_id", "time_slot"), salts))
-    span = rules.ad_span(titled, *SCOPE).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))
-    )
-    scored = rules.ad_scores(salted.join(span, [*SCOPE, "_salt"]), *SCOPE, "total_candidates")
+    titled = stored(sums.join(t.movies.select("movie_id", "title", "genre"), "movie_id"), "titles")
+    rooms, others = titled.filter("scope_type = 'studio'"), titled.filter("scope_type <> 'studio'")
+    in_rooms = rooms.join(rules.ad_span(rooms, *SCOPE), SCOPE)
+    salted = others.withColumn("_salt", F.pmod(F.xxhash64("movie_id", "time_slot"), F.lit(SALTS)))
+    span = stored(rules.ad_span(others, *SCOPE), "spans").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    spanned = in_rooms.unionByName(salted.join(span, [*SCOPE, "_salt"]).drop("_salt"))
+    scored = rules.ad_scores(spanned, *SCOPE, "total_candidates")
     return top_per(scored, SCOPE, orders.ad_slots(), top_n)

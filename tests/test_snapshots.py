@@ -181,3 +181,27 @@ def test_raw_responses(spark):
     assert len(actions) == 1
     assert (actions[0]["action_type"], actions[0]["priority"], actions[0]["color"]) == ("premium_pricing", "low", "green")
     assert actions[0]["occupancy"] == 81.46 and actions[0]["city"] is None
+
+
+def test_runs_share_one_rollup_and_give_the_records_of_each(spark, monkeypatch):
+    from marquee.catalog import RUNS
+    from marquee.plans import facts
+    from marquee.sources.retail import read_retail
+
+    t, built, once = read_retail(spark, "/root/testdata/sf0.001"), [], facts.with_rollup
+    monkeypatch.setattr(facts, "with_rollup", lambda *given: built.append(1) or once(*given))
+    together = [sorted(map(str, frame.collect())) for frame in insights.insight_runs(t, RUNS[:2])]
+    assert len(built) == 1
+    assert together == [sorted(map(str, insights.insight_records(t, *run).collect())) for run in RUNS[:2]]
+    assert len(built) == 3
+
+
+def test_ad_slots_of_few_scopes_stay_where_they_are(spark):
+    """Only the extremes of rooms are joined by shuffling titles."""
+    from marquee.operators import scopes
+    from marquee.plans.filters import Filters
+    from marquee.sources.retail import read_retail
+
+    f = Filters.rolling("2024-02-11")
+    plan = scopes.scope_ad_slots(read_retail(spark, "/root/testdata/sf0.001"), f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 1 and "lineitem" not in plan
