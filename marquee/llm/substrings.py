@@ -7,8 +7,10 @@ once, and equal sequences get equal symbols except near their ends. Where a symb
 what lies outside, it is left out: at the ends of a run, a right symbol at the beginning, a left
 symbol at the end. What remains of a window is a function of its words alone.
 
-1. The window's anchor is the least of its remaining symbols by hash. Windows in a row that share
-   an anchor are one stretch; a stretch is known by its anchor and 128 bits of all its words.
+1. The window's anchor is the least of its remaining symbols by hash, together with the words beside it
+   on the side where the window has more room: half of the words that the symbol leaves to a window,
+   so that phrases of few words do not bring documents together. Windows in a row that share an
+   anchor are one stretch; a stretch is known by its anchor and 128 bits of all its words.
 2. Anchors that occur once in all documents settle their windows: they are unique.
 3. Stretches that occur twice settle theirs: they are repeated. Copied documents end here.
 4. Only what is left, stretches alike in their anchor and different further out, that is the ends
@@ -93,7 +95,8 @@ class Stretches:
     """Windows of the rows of a slice, in stretches that share an anchor.
 
     Stretch k is of row ``row[k]``; its windows begin at words ``low[k]`` to ``high[k]`` of the
-    slice. ``symbol[k]`` names its anchor, ``name[k]`` and ``more[k]`` all its words in 128 bits.
+    slice. ``symbol[k]`` names its anchor and the words on one side of it, ``name[k]`` and
+    ``more[k]`` all its words in 128 bits.
     """
 
     def __init__(self, words: Words, options: Options):
@@ -109,24 +112,30 @@ class Stretches:
             self.row, self.low, self.high = empty, empty, empty
             self.symbol = self.name = self.more = np.empty(0, np.uint64)
             return
-        self.runs = Runs(words)
-        anchor, symbol = self._anchors(at, options)
+        runs = Runs(words)
+        anchor, edges = self._anchors(at, options)
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]) | (anchor[1:] < 0)))
         begin = np.flatnonzero(new)
         end = np.concatenate((begin[1:], [len(at)])) - 1
-        self.row, self.low, self.high = of[begin], at[begin], at[end]
-        self.name, self.more = self.runs.hashed(self.low, self.high + w)
-        lone = anchor[begin] < 0
-        self.symbol = np.where(lone, self.name, symbol[np.maximum(anchor[begin], 0)])
-
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both halves of the hashes of the windows that begin at some words."""
-        if not len(at):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        return self.runs.hashed(at, at + self.window)
+        low, high, anchor = at[begin], at[end], anchor[begin]
+        # The anchor's words are a to b. Windows up to ``turn`` have no less room on its left, the
+        # others on its right, and all of either kind hold ``room`` words on that side.
+        lone = anchor < 0
+        a, b = edges[np.where(lone, 0, anchor)], edges[np.where(lone, 0, anchor) + 1]
+        turn = np.where(lone, high, (a + b - w) >> 1)
+        room = (w - (b - a) + 1) >> 1
+        sides = [np.stack(x, 1).ravel() for x in ((low, np.maximum(low, turn + 1)), (np.minimum(high, turn), high), (a - room, a), (b, b + room))]
+        some = np.flatnonzero(sides[0] <= sides[1])
+        self.low, self.high, a, b = (x[some] for x in sides)
+        self.row = of[begin][some >> 1]
+        self.name, self.more = runs.hashed(self.low, self.high + w)
+        lone = lone[some >> 1]
+        near, _ = runs.hashed(np.where(lone, self.low, a), np.where(lone, self.low + w, b))
+        self.symbol = np.where(lone, self.name, mix(near + (some & 1).astype(np.uint64)))
 
     def _anchors(self, at: np.ndarray, options: Options) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each window's anchor among the last round's symbols, or -1, and the symbols."""
+        """The place of each window's anchor among the last round's symbols, or -1, and the words at
+        which these symbols begin, with the end of the last."""
         h, first = self.words.hashes, self.words.first
         heads = np.zeros(len(h) + 1, bool)
         heads[first] = True
@@ -160,7 +169,7 @@ class Stretches:
             some = low <= high
             low = np.where(some, place[np.where(some, low, 0)], 1)
             high = np.where(some, place[np.where(some, high, 0)], 0)
-            symbol, head = named[~second], head[~second]
+            symbol, head, start = named[~second], head[~second], start[~second]
         # The least hash of each range, the first of equal ones, from ranges of 1, 2, 4, ... symbols.
         rank = mix(symbol ^ np.uint64(_BASE))
         size = np.maximum(high - low + 1, 0)
@@ -175,7 +184,7 @@ class Stretches:
                 break
             x, y = least[: len(least) - span], least[span:]
             least, span = np.where(rank[x] <= rank[y], x, y), 2 * span
-        return out[which], symbol
+        return out[which], np.append(start, len(h))
 
 
 def _digest(parts: list[bytes]) -> str:
@@ -194,6 +203,7 @@ def _parsed(options: Options):
                 words = Words(part.column(2))
                 found = Stretches(words, options)
                 ends = np.searchsorted(found.row, np.arange(b - a + 1)).astype(np.int32)
+                spans = (found.low - words.first[:-1][found.row]) * options.window + found.high - found.low
                 digests = [_digest(_row_bytes(words, i).split()) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -201,16 +211,29 @@ def _parsed(options: Options):
                         part.column(1),
                         pa.array(words.counts(), pa.int64()),
                         pa.array(digests),
+                        pa.ListArray.from_arrays(ends, pa.array(spans, pa.int64())),
                         pa.ListArray.from_arrays(ends, pa.array(found.symbol.view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(found.name.view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(found.more.view(np.int64))),
                     ],
-                    ["key", "doc_id", "n_words", "digest", "symbols", "names", "mores"],
+                    ["key", "doc_id", "n_words", "digest", "spans", "symbols", "names", "mores"],
                 )
 
     return parse
 
 
+def _marked(marks: pa.Array, words: Words, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each marked stretch the row, the words at which its first and last window begin, and its marks.
+
+    A span is the first word in its row times the words of a window, and the number of further windows.
+    """
+    flat = marks.flatten()
+    row = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+    low, further = np.divmod(flat.field(0).to_numpy(), options.window)
+    low += words.first[:-1][row]
+    return row, low, low + further, *(flat.field(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+
+
 def _windows(options: Options, share: int, asked_only: bool):
     """One share of the 128-bit hashes of the windows of marked stretches; ``asked`` where the answer is not known yet.
 
@@ -222,22 +245,17 @@ def _windows(options: Options, share: int, asked_only: bool):
             for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(1))
-                found = Stretches(words, options)
-                first = np.searchsorted(found.row, np.arange(b - a + 1))
-                marks = part.column(2)
-                flat = marks.flatten()
-                row = np.repeat(np.arange(b - a), np.diff(marks.offsets.to_numpy()))
-                k = first[row] + flat.field(0).to_numpy()
-                settled = flat.field(1).to_numpy(zero_copy_only=False)
-                speaks = flat.field(2).to_numpy(zero_copy_only=False)
+                row, low, high, settled, speaks = _marked(part.column(2), words, options)
                 if asked_only:
                     speaks = speaks & ~settled
-                k, row, asked = k[speaks], row[speaks], ~settled[speaks]
-                many = found.high[k] - found.low[k] + 1
+                if not speaks.any():
+                    continue
+                row, low, high, asked = row[speaks], low[speaks], high[speaks], ~settled[speaks]
+                many = high - low + 1
                 inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at = np.repeat(found.low[k], many) + inner
+                at = np.repeat(low, many) + inner
                 row, asked = np.repeat(row, many), np.repeat(asked, many)
-                halves = found.windows(at)
+                halves = Runs(words).hashed(at, at + options.window)
                 mine = halves[0] % np.uint64(options.passes) == share
                 at, row, asked = at[mine], row[mine], asked[mine]
                 hashes = [pa.array(x[mine].view(np.int64)) for x in halves]
@@ -260,15 +278,10 @@ def _removed(options: Options):
             for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
                 words = Words(part.column(1))
-                found = Stretches(words, options)
-                first = np.searchsorted(found.row, np.arange(b - a + 1))
-                edge = np.zeros(len(words.hashes) + 1, np.int64)
-                marks = part.column(2)
-                row = np.repeat(np.arange(b - a), np.diff(marks.offsets.to_numpy()))
-                flat = marks.flatten()
-                k = (first[row] + flat.field(0).to_numpy())[flat.field(1).to_numpy(zero_copy_only=False)]
-                np.add.at(edge, found.low[k], 1)
-                np.add.at(edge, found.high[k] + w, -1)
+                edge = np.zeros(words.first[-1] + 1, np.int64)
+                _, low, high, settled, _ = _marked(part.column(2), words, options)
+                np.add.at(edge, low[settled], 1)
+                np.add.at(edge, high[settled] + w, -1)
                 places = part.column(3)
                 row = np.repeat(np.arange(b - a), np.diff(places.offsets.to_numpy()))
                 at = words.first[:-1][row] + places.flatten().to_numpy()
@@ -290,7 +303,7 @@ def _removed(options: Options):
     return cut
 
 
-MARKS = "array<struct<at:int,settled:boolean,speaks:boolean>>"
+MARKS = "array<struct<span:long,settled:boolean,speaks:boolean>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -308,10 +321,10 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    schema = "key binary, doc_id long, n_words long, digest string, symbols array<long>, names array<long>, mores array<long>"
+    schema = "key binary, doc_id long, n_words long, digest string, spans array<long>, symbols array<long>, names array<long>, mores array<long>"
     parsed = stored(keyed.mapInArrow(_parsed(options), schema), "parsed")
-    found = parsed.select("key", F.posexplode(F.arrays_zip("symbols", "names", "mores")).alias("at", "x"))
-    found = found.select("key", "at", F.col("x.symbols").alias("symbol"), F.col("x.names").alias("name"), F.col("x.mores").alias("more"))
+    found = parsed.select("key", F.explode(F.arrays_zip("spans", "symbols", "names", "mores")).alias("x"))
+    found = found.select("key", F.col("x.spans").alias("span"), F.col("x.symbols").alias("symbol"), F.col("x.names").alias("name"), F.col("x.mores").alias("more"))
     twice = found.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol")
     twice = stored(twice, "symbols")
     release(spark)
@@ -324,13 +337,13 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     alike = alike.join(unsure.select("symbol", F.lit(True).alias("unsure")), "symbol", "left")
     marks = shared.join(alike, ["symbol", "name", "more"]).select(
         "key",
-        "at",
+        "span",
         (F.col("n") > 1).alias("settled"),
         (F.coalesce("unsure", F.lit(False)) & (F.col("key") == F.col("speaker"))).alias("speaks"),
     )
     marks = marks.where("settled or speaks").distinct()
     marks = marks.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("at", "settled", "speaks"))).cast(MARKS).alias("marks"),
+        F.sort_array(F.collect_list(F.struct("span", "settled", "speaks"))).cast(MARKS).alias("marks"),
         F.count_if("settled").alias("settled"),
         F.max("speaks").alias("speaks"),
     )
@@ -350,7 +363,7 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
     texts = stored(texts, "texts")
     release(spark)
     drop(marks)
-    source = texts.select("key", "text", "marks")
+    source = texts.where(F.exists("marks", lambda x: x["speaks"])).select("key", "text", "marks")
     repeated = []
     for share in range(options.passes):
         windows = source.mapInArrow(_windows(options, share, False), "hash long, more long, asked boolean")
@@ -358,7 +371,8 @@ def removals(docs: DataFrame, options: Options = Options(), texts_too: bool = Tr
         again = stored(again.select("hash", "more"), "repeated")
         release(spark)
         # The windows are made a second time; that takes less room than to keep them.
-        asked = source.mapInArrow(_windows(options, share, True), "hash long, more long, key binary, place int")
+        unsettled = source.where(F.exists("marks", lambda x: x["speaks"] & ~x["settled"]))
+        asked = unsettled.mapInArrow(_windows(options, share, True), "hash long, more long, key binary, place int")
         asked = asked.join(again, ["hash", "more"], "left_semi").select("key", "place")
         repeated.append(stored(asked, "places"))
         drop(again)

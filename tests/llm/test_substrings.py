@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from marquee.llm import queries, substrings
 from marquee.llm.substrings import Options
+from marquee.llm.words import Words
 from tests.llm.conftest import clashing
 
 
@@ -83,3 +85,16 @@ def test_words_and_windows_that_sums_of_powers_confuse(documents):
     rows = [(1, f"{words[0]} {rest}"), (2, f"{words[1]} {rest.replace('w5 ', 'v5 ')}"), (3, runs[0]), (4, runs[1])]
     rows += [(5, f"x {words[0]} " + "y " * 5), (6, " ".join(words * 20))]
     assert found(documents(rows)) == brute(rows)
+
+
+def test_phrases_of_few_words_bring_no_texts_together():
+    """Texts with phrases in common, and no window, share no anchor and are not compared."""
+    random.seed(4)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(8)) for i in range(20)]
+    texts = [" ".join(f"{' '.join(f'v{random.randrange(10**9)}' for _ in range(6))} {random.choice(phrases)}" for _ in range(40)) for _ in range(50)]
+    found = substrings.Stretches(Words(pa.array(texts)), Options())
+    assert max(Counter(found.symbol.tolist()).values()) == 1
+    # Each window is in one stretch, and equal windows share their anchor wherever they begin.
+    assert sum(found.high - found.low + 1) == sum(len(t.split()) - 34 for t in texts)
+    moved = substrings.Stretches(Words(pa.array([" ".join(["x", *texts[0].split()[5:200]])])), Options())
+    assert len(set(moved.symbol.tolist()) & set(found.symbol.tolist())) >= len(moved.symbol) - 3
