@@ -112,5 +112,28 @@ def test_results_do_not_depend_on_partitions_or_cache(documents):
     assert key(a) == key(b)
 
 
+def test_frequent_words_stay_when_room_is_made(lattices, monkeypatch):
+    added, add = Counter(), Lattices.add
+    monkeypatch.setattr(Lattices, "add", lambda t, words: (added.update(map(str, words)), add(t, words))[1])
+    narrow, often = Lattices(lattices.v, Options(samples=3, nodes=120)), ["then", "a\nox", "漢字😀", f"a{BLANK}b", ""]
+    for i in range(40):
+        texts = [" ".join([*often, *often, f"once{i}", f"{i}漢"]), f"new{i} {often[i % 5]}"]
+        keys, fresh = np.array([i, i + 1000], np.uint64), Lattices(lattices.v, K3)
+        (got, bound), (want, wanted) = sampled(narrow, texts, keys), sampled(fresh, texts, keys)
+        for p, q in zip(got, want, strict=True):
+            assert pieces._ids(narrow, p.edge).tolist() == pieces._ids(fresh, q.edge).tolist()
+            assert np.allclose(p.log, q.log) and np.allclose(p.top, q.top)
+        assert np.allclose(bound, wanted)
+    # In the fresh lattices every time, in the narrow ones once.
+    assert [added[x] for x in [*often, "once0", "new39"]] == [41] * 5 + [2] * 2
+
+
+def test_texts_without_words_and_nulls_alone(documents):
+    for text in (None, "", " ", BLANK):
+        out = pieces.sample(documents([(1, text)])).withColumn("back", pieces.decoded(pieces.F.col("ids"))).collect()
+        assert len(out) == 1 and {r["back"] for r in out} == {text}
+        assert all((r["log_prob"] is None) == (text is None) and r["n_pieces"] == len(r["ids"] or b"") // 4 for r in out)
+
+
 def test_empty_table(documents):
     assert pieces.sample(documents([])).count() == 0
