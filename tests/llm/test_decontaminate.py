@@ -277,3 +277,32 @@ def test_counts_of_an_items_words_leave_none_out():
             half = len(index.items[i].hashes) // 2
             least = sum(x in has for x in bucket[max(0, 8 * a - half) : 8 * (a + size) + half].tolist())
             assert least <= n <= sum(x in has for x in bucket[low:high].tolist())
+
+
+def test_all_passages_of_all_documents_shape_the_space(engine, documents):
+    """The old bound of 16,384 passages, drawn from texts, left most of these out; repeated ones count once."""
+    texts = [invented(i, 48 * 20) for i in range(900)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(9000 + i, " ".join(texts[0])) for i in range(50)]
+    rows += [(10_000, None), (10_001, ""), (10_002, " ".join(texts[1][:50]))]
+    bench = engine.createDataFrame([(1, " ".join(texts[2][:40])), (2, None)], BENCH)
+    found = [tuple(r["buckets"]) for r in decontaminate._passages(documents(rows), bench, Options()).collect()]
+    assert len(found) == 900 * 20 + 1 + 1 and len(set(found)) == len(found)
+
+
+def test_the_space_is_summed_over_all_tasks(engine, documents):
+    """More tasks than are added at once, against the sum of all passages in numpy."""
+    import numpy as np
+
+    options = Options(buckets=1 << 16, rank=4)
+    rows = [(i, " ".join(invented(i, 30 + i))) for i in range(400)]
+    passages = decontaminate._passages(documents(rows), engine.createDataFrame([], BENCH), options)
+    lists = [r["buckets"] for r in passages.collect()]
+    idf = np.random.default_rng(3).uniform(0.5, 9, options.buckets)
+    a = np.array([np.bincount(x, minlength=options.buckets) * idf for x in lists])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    wide = passages.repartition(2 * decontaminate._TASKS + 7)
+    space, strength = decontaminate.latent_space(wide, idf, options)
+    base, _ = np.linalg.qr(a.T @ (a @ np.random.default_rng(options.seed).normal(size=(options.buckets, 4))))
+    want, turn = np.linalg.eigh((a @ base).T @ (a @ base))
+    assert np.allclose(strength, want[::-1], rtol=1e-4)
+    assert np.allclose(np.abs((space * (base @ turn[:, ::-1])).sum(0)), 1, atol=1e-4)
