@@ -228,13 +228,14 @@ def _streamed(slide: str | None = None, sink: Callable[..., DataFrame] = activit
 
 
 def _streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs arrive as files, each file with rows of one run."""
-    landing = new_folder(spark, "landing")
+    """The runs arrive as files, each file with rows of one run, and are merged run by run."""
+    landing, state = new_folder(spark, "landing"), new_folder(spark, "upsert-state")
     t = read_retail(spark, sf_dir)
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
     for records in insights.insight_runs(t, RUNS):
         records.write.mode("append").parquet(landing)
-    store = snapshots.SnapshotStore(spark, new_folder(spark, "insights"))
-    return insights.decoded(activity.upsert_stream(spark, landing, store))
+        activity.upsert_stream(spark, landing, store, state=state)
+    return insights.decoded(store.read())
 
 
 OTHERS: dict[str, WithFolder] = {

@@ -20,6 +20,8 @@ from marquee.schemas import INSIGHT
 from marquee.session import exists, stored
 
 KEY = ["scope_type", "scope_value", "period_start", "period_end"]
+# When an incoming row has arrived, above 0; the column may be missing.
+ARRIVED = "_arrived"
 POINTER = T.StructType(
     [
         T.StructField("period_end", T.DateType()),
@@ -42,10 +44,19 @@ def conform(frame: DataFrame, schema: T.StructType = INSIGHT) -> DataFrame:
     )
 
 
+def _arriving(frame: DataFrame) -> DataFrame:
+    """Incoming rows in the present layout, with their time of arrival where they have one."""
+    if ARRIVED not in frame.columns:
+        return conform(frame)
+    return conform(frame, T.StructType([*INSIGHT.fields, T.StructField(ARRIVED, T.LongType())]))
+
+
 def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert or overwrite by key. The newest row wins, the incoming one where two are as new;
-    the creation time stays that of the first row."""
-    both = conform(existing).withColumn("_new", F.lit(0)).unionByName(conform(incoming).withColumn("_new", F.lit(1)))
+    """Insert or overwrite by key. The newest row wins, the incoming one where two are as new, and of
+    incoming ones the one that has arrived last; the creation time stays that of the first row."""
+    come = F.col(ARRIVED) if ARRIVED in incoming.columns else F.lit(1)
+    both = conform(existing).withColumn("_new", F.lit(0).cast("long"))
+    both = both.unionByName(_arriving(incoming.withColumn(ARRIVED, come)).withColumnRenamed(ARRIVED, "_new"))
     rest = [c for c in INSIGHT.fieldNames() if c not in KEY and c != "created_at"]
     return (
         both.groupBy(*KEY)
@@ -88,7 +99,7 @@ class SnapshotStore:
     def upsert(self, incoming: DataFrame) -> int:
         """Write the merged periods as a new version and point readers to it."""
         # Written once, because it is used twice: for its periods and for its rows.
-        rows = stored(conform(incoming), "incoming")
+        rows = stored(_arriving(incoming), "incoming")
         touched = {r["period_end"] for r in rows.select("period_end").distinct().collect()}
         version = max((number for number, _ in self._newest().values()), default=0)
         if not touched:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.schemas import EVENTS, INSIGHT
 from marquee.session import exists, new_folder, stored
-from marquee.sources.snapshots import SnapshotStore
+from marquee.sources.snapshots import ARRIVED, SnapshotStore
 
 # What tells the rows of a table of hours apart.
 HOUR = ["window_start", "window_end", "event_type"]
@@ -122,10 +122,15 @@ def run_update(spark: SparkSession, frame: DataFrame, purpose: str, state: str |
     return spark.read.schema(frame.schema).parquet(out).select(*frame.columns)
 
 
-def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore, files: int = 1) -> DataFrame:
+def upsert_stream(
+    spark: SparkSession, landing: str, store: SnapshotStore, files: int | None = None, state: str | None = None
+) -> DataFrame:
     """Merge insights that arrive as files into the store, one new version per micro-batch.
 
-    ``files`` is the number of files that a micro-batch takes.
+    A micro-batch takes all files that have arrived, or at most ``files``. Each one reads and writes the
+    periods that it touches, so a run of many files in few micro-batches costs its rows and not its rows
+    times its files. Of rows with one key and time the one of the newest file stays, however the files
+    are dealt over micro-batches. ``state`` continues an earlier run.
 
     A micro-batch that runs twice gives the same table: rows are merged by key and time.
     """
@@ -133,12 +138,14 @@ def upsert_stream(spark: SparkSession, landing: str, store: SnapshotStore, files
     def merge(batch: DataFrame, batch_id: int) -> None:
         store.upsert(batch)
 
+    arriving = spark.readStream.schema(INSIGHT)
+    if files is not None:
+        arriving = arriving.option("maxFilesPerTrigger", str(files))
     query = (
-        spark.readStream.schema(INSIGHT)
-        .option("maxFilesPerTrigger", str(files))
-        .parquet(landing)
+        arriving.parquet(landing)
+        .select("*", F.unix_micros("_metadata.file_modification_time").alias(ARRIVED))
         .writeStream.foreachBatch(merge)
-        .option("checkpointLocation", new_folder(spark, "upsert-state"))
+        .option("checkpointLocation", state or new_folder(spark, "upsert-state"))
         .trigger(availableNow=True)
         .start()
     )

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from marquee import catalog
 from marquee.schemas import EVENTS
-from marquee.session import new_folder
+from marquee.session import folder_names, new_folder
 from marquee.sources.snapshots import SnapshotStore
 from marquee.streaming import activity
-from tests.conftest import by
+from tests.conftest import SMALL, by
 from tests.test_snapshots import T1, T2, rows
 
+T0 = T1 - timedelta(days=1)
+
 
 def events(spark, folder, *times, kind="view"):
     items = [(i, t, 1, kind, 1.5, "{}") for i, t in enumerate(times)]
@@ -127,3 +130,40 @@ def test_upsert_stream(spark):
     store = SnapshotStore(spark, new_folder(spark, "store"))
     got = by(activity.upsert_stream(spark, landing, store), "scope_value")
     assert (got["A"]["title"], got["A"]["created_at"], got["B"]["title"]) == ("two", T1, "b")
+
+
+def test_upsert_stream_rewrites_a_period_once_for_all_files(spark):
+    """Many files of one period are one version, later files continue it, and of rows as new the newest file's stays."""
+    landing, state = new_folder(spark, "landing"), new_folder(spark, "state")
+    for i in range(6):
+        both = rows(spark, ("city", "A", "2024-02-01", f"title {i}", T1), ("city", f"B{i}", "2024-02-01", "b", T1))
+        both.coalesce(1).write.mode("append").parquet(landing)
+    store = SnapshotStore(spark, new_folder(spark, "store"))
+    got = by(activity.upsert_stream(spark, landing, store, state=state), "scope_value")
+    assert {k: r["title"] for k, r in got.items()} == {"A": "title 5"} | {f"B{i}": "b" for i in range(6)}
+    assert len(folder_names(spark, f"{store.root}/data")) == 1
+    rows(spark, ("city", "A", "2024-02-01", "old", T0)).write.mode("append").parquet(landing)
+    rows(spark, ("city", "B0", "2024-02-01", "as new", T1)).write.mode("append").parquet(landing)
+    got = by(activity.upsert_stream(spark, landing, store, state=state), "scope_value")
+    assert (got["A"]["title"], got["A"]["created_at"], got["B0"]["title"], len(got)) == ("title 5", T0, "as new", 7)
+    assert len(folder_names(spark, f"{store.root}/data")) == 2
+    one_by_one = SnapshotStore(spark, new_folder(spark, "store"))
+    again = activity.upsert_stream(spark, landing, one_by_one, files=1)
+    assert by(again, "scope_value") == got
+
+
+def test_streamed_runs_are_merged_run_by_run(spark, monkeypatch):
+    """Three runs are three versions, however many files each has; the third meets the period of the first."""
+    seen = []
+    plain_upsert = SnapshotStore.upsert
+    monkeypatch.setattr(SnapshotStore, "upsert", lambda self, rows: seen.append(plain_upsert(self, rows)))
+
+    def runs(t, wanted):
+        for i in range(3):
+            part = rows(spark, *[("city", f"{k}", "2024-02-01", f"run {i}", (T0, T1, T2)[i]) for k in range(8)])
+            yield part.repartition(4, "scope_value")
+
+    monkeypatch.setattr(catalog.insights, "insight_runs", runs)
+    out = catalog._streamed_upsert(spark, SMALL).collect()
+    assert seen == [1, 2, 3]
+    assert {(r["scope_value"], r["title"], r["created_at"]) for r in out} == {(f"{k}", "run 2", T0) for k in range(8)}
