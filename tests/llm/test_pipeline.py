@@ -99,3 +99,21 @@ def test_workers_get_few_documents_at_a_time(engine, documents):
     engine.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     C.segmentation(engine, documents([(1, "a text")]), "")
     assert int(engine.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_decontamination_leaves_no_passage_out(engine, documents, monkeypatch):
+    """The stage's space is of all 18,000 passages that it is given, and of the benchmark items."""
+    from tests.llm.test_decontaminate import invented
+
+    seen = []
+    whole = C.decontaminate.latent_space
+
+    def space(passages, idf, options):
+        seen.append(passages.count())
+        return whole(passages, idf, options)
+
+    monkeypatch.setattr(C.decontaminate, "latent_space", space)
+    docs = documents([(i, " ".join(invented(i, 48 * 20))) for i in range(900)])
+    assert C.decontamination(engine, docs, FOLDER).count() == 900
+    items = engine.read.parquet(f"{FOLDER}/benchmark.parquet")
+    assert seen == [18_000 + C.decontaminate._passages(docs.limit(0), items, C.decontaminate.Options()).count()]
